@@ -23,6 +23,8 @@ from framegrid.llm.common import scratch
 
 #: Page ids in a shard's range, bytes at which a file rolls, bytes of payload from which copies become revisits.
 SHARD, ROLL, REVISIT = 4096, 8_000_000, 1000
+#: At most so many tasks read files.
+TASKS = 10_000
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "file string, shard long, records long, bytes long, crc32 long"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -58,9 +60,8 @@ def record_bytes(page: int | None, url: str | None, payload: bytes | None, diges
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record of an uncompressed WARC file."""
-    stream = io.BytesIO(data)
+def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of every record of an uncompressed WARC stream."""
     while line := stream.readline():
         if line.strip() != b"WARC/1.1":
             raise ValueError("not a WARC record")
@@ -159,7 +160,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if zlib.crc32(data) != crc:
                     raise ValueError(f"{name}: its checksum is not the manifest's")
                 rows = []
-                for head, block in parse_records(gzip.decompress(data)):
+                for head, block in parse_records(gzip.GzipFile(fileobj=io.BytesIO(data))):
                     kind, page, to = head["WARC-Type"], head["WARC-Page-ID"], head.get("WARC-Refers-To-Page-ID")
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     rows.append((int(page) if page else None, head["WARC-Target-URI"], kind, int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(to) if to else None, payload))
@@ -168,7 +169,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("file", "crc32")
-    return files.repartition("file").mapInArrow(read, schema)
+    return files.repartition(min(max(1, files.count()), TASKS), "file").mapInArrow(read, schema)
 
 
 def archived_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
