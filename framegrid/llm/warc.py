@@ -74,21 +74,21 @@ def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], b
         yield head, block
 
 
-def planned_records(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload (null for revisits), digest, size, original: which record each page becomes.
-
-    Payloads are compared by SHA-1 and length; of equal ones the largest page id is the response.
-    Only digests are shuffled; the join's hot digests are split by adaptive execution.
-    """
+def page_rows(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, url, payload, digest (SHA-1), size of every row; null html is an empty payload."""
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    large = F.col("size") >= REVISIT
-    last = rows.where(large).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
-    out = rows.join(last.drop("n"), ["digest", "size"], "left")
-    original = F.when(large & (F.coalesce(F.col("page_id") != F.col("last"), F.col("last").isNotNull())), F.col("last"))
-    out = out.withColumn("original", original)
-    return out.select("page_id", "url", F.when(F.col("original").isNull(), F.col("payload")).alias("payload"), "digest", "size", "original")
+    return rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """page_id, digest, original of the pages that revisit another: of equal payloads the largest page id is the response.
+
+    Only digests are shuffled; hot ones are pre-aggregated, and split in the join by adaptive execution.
+    """
+    large = rows.where(F.col("size") >= REVISIT).select("page_id", "digest", "size")
+    last = large.groupBy("digest", "size").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null").drop("n")
+    return large.join(last, ["digest", "size"]).where("page_id is null or page_id <> original").select("page_id", "digest", "original").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", html: str = "html", shard: int = SHARD, roll: int = ROLL) -> DataFrame:
@@ -101,8 +101,11 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
     """
     spark = pages.sparkSession
     where = F.coalesce(F.floor(F.col("page_id") / shard), F.lit(2**62)).cast("long")
-    rows = planned_records(pages, id, url, html).withColumn("shard", where)
-    order = ["shard", F.col("page_id").asc_nulls_last(), "digest", F.col("url").asc_nulls_first()]
+    rows = page_rows(pages, id, url, html)
+    # Each revisit's original is sorted right before the page's own rows, so that payloads are shuffled only once.
+    notes = revisits(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.lit(None).cast("long").alias("size"), "original")
+    rows = rows.withColumn("original", F.lit(None).cast("long")).unionByName(notes).withColumn("shard", where)
+    order = ["shard", F.col("page_id").asc_nulls_last(), "digest", F.col("original").asc_nulls_last(), F.col("url").asc_nulls_first()]
     rows = rows.repartition("shard").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +113,7 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
         fs.create_dir(root, recursive=True)
         done: list[tuple] = []
         now: int | None = None
+        noted: tuple = ()
         seq, count, size, crc, out, temp = 0, 0, 0, 0, None, ""
 
         def close() -> None:
@@ -123,13 +127,17 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
 
         for batch in batches:
             for r in batch.to_pylist():
+                if r["original"] is not None:
+                    noted = (r["page_id"], r["digest"], r["original"])
+                    continue
+                original = noted[2] if noted[:2] == (r["page_id"], r["digest"]) else None
                 if r["shard"] != now:
                     close()
                     now, seq = r["shard"], 0
                 if out is None:
                     temp = f"{root}/_temporary-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(temp, compression=None)
-                data = gzip.compress(record_bytes(r["page_id"], r["url"], r["payload"], r["digest"], r["size"], r["original"]), 6, mtime=0)
+                data = gzip.compress(record_bytes(r["page_id"], r["url"], r["payload"], r["digest"], r["size"], original), 6, mtime=0)
                 out.write(data)
                 count, size, crc = count + 1, size + len(data), zlib.crc32(data, crc)
                 if size >= roll:
