@@ -127,10 +127,11 @@ def reply_threads(linked: DataFrame) -> DataFrame:
     as a block of its own, so no conversation is gathered in one place.
     """
     jumps = materialise(linked.where("turn is not null").select("conv_id", "turn", F.col("reply_to").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("level"), F.col("turn").alias("top")).distinct(), "jumps")
-    while not jumps.where("up is not null").isEmpty():
+    while not (going := jumps.where("up is not null")).isEmpty():
         far = jumps.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("up").alias("_up"), F.col("level").alias("_level"), F.col("top").alias("_top"))
-        step = jumps.join(far, jumps["conv_id"].eqNullSafe(F.col("_c")) & (jumps["up"] == F.col("_t")), "left")
-        jumps = materialise(step.select("conv_id", "turn", F.col("_up").alias("up"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"), F.coalesce("_top", "top").alias("top")), "jumps")
+        step = going.join(far, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_t")), "left")
+        step = step.select("conv_id", "turn", F.col("_up").alias("up"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"), F.coalesce("_top", "top").alias("top"))
+        jumps = materialise(jumps.where("up is null").unionByName(step), "jumps")
     ends = jumps.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("top").alias("thread"), "level")
     out = linked.join(ends, linked["conv_id"].eqNullSafe(F.col("_c")) & (linked["turn"] == F.col("_t")), "left").drop("_c", "_t")
     block = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("text"), F.lit("\n"))
