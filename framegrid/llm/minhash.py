@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,8 +29,8 @@ from framegrid.llm.components import connected_components
 BANDS, ROWS = 24, 4
 #: Signature entries compared before each pruning decision, and the probability of dropping a true pair.
 BATCH, MISS = 16, 1e-6
-#: Rows of a bucket compared with each other in one tile.
-TILE = 256
+#: Rows of a bucket on either side of a tile, within which they are compared with each other.
+TILE = 1024
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,26 +180,69 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name:
     return materialise(both.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long"), f"{name}-links")
 
 
-def _tile_pairs(threshold: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = key
-        left, right = rows[rows["sub"] == i], rows[rows["sub"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sa, sb = _signatures(left["sig"]), _signatures(right["sig"])
-        ka, kb = band_keys(sa), band_keys(sb)
-        place = np.flatnonzero(ka[0] == band)[0]
-        out = []
-        for r in range(len(left)):
-            new = (right["comp"].to_numpy() != left["comp"].iat[r]) & ~(kb[:, :place] == ka[r, :place]).any(axis=1)
-            if i == j:
-                new &= right["id"].to_numpy() > left["id"].iat[r]
-            new = np.flatnonzero(new)
-            new = new[likely(np.broadcast_to(sa[r], (len(new), sa.shape[1])), sb[new], threshold)]
-            out.append(pd.DataFrame({"a": left["id"].iat[r], "b": right["id"].to_numpy()[new]}))
-        return pd.concat(out).astype("int64") if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    return run
+def _tile_links(rows: list[dict], threshold: float, words: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join different components within one tile of a bucket.
+
+    Pairs that share an earlier band are left to that band's bucket.  Survivors of the pruning are
+    confirmed from the likeliest on, and not at all once their components have met.
+    """
+    key, i, j = (rows[0][k] for k in ("key", "i", "j"))
+    left, right = [r for r in rows if r["sub"] == i], [r for r in rows if r["sub"] == j]
+    if not left or not right:
+        return []
+    sa, sb = _signatures([r["sig"] for r in left]), _signatures([r["sig"] for r in right])
+    ka, kb = band_keys(sa), band_keys(sb)
+    place = int(np.flatnonzero(ka[0] == key)[0])
+    comp, ids = np.array([r["comp"] for r in right]), np.array([r["id"] for r in right])
+    found: list[tuple[int, int, int]] = []
+    for k, r in enumerate(left):
+        new = (comp != r["comp"]) & ~(kb[:, :place] == ka[k, :place]).any(axis=1)
+        if i == j:
+            new &= ids > r["id"]
+        new = np.flatnonzero(new)
+        new = new[likely(np.broadcast_to(sa[k], (len(new), sa.shape[1])), sb[new], threshold)]
+        found += [(-int(m), k, int(c)) for m, c in zip((sb[new] == sa[k]).sum(axis=1), new)]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+    links = []
+    for _, k, c in sorted(found):
+        x, y = root(left[k]["comp"]), root(right[c]["comp"])
+        if x != y:
+            for r in (left[k], right[c]):
+                if r["id"] not in sets:
+                    sets[r["id"]] = shingle_set(r["t"], words)
+            if similar(sets[left[k]["id"]], sets[right[c]["id"]], percent):
+                parent[max(x, y)] = min(x, y)
+                links.append((left[k]["id"], right[c]["id"]))
+    return links
+
+
+def _links_in_tiles(rest: DataFrame, threshold: float, words: int, percent: int) -> DataFrame:
+    """(u, v) from rows sorted by tile; a task holds one tile at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def close() -> pa.RecordBatch:
+            links = _tile_links(held, threshold, words, percent) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(row[k] != held[0][k] for k in ("key", "i", "j")):
+                    yield close()
+                    held = []
+                held.append(row)
+        yield close()
+
+    tiled = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return tiled.select("key", "i", "j", "id", "comp", "sub", "sig", "t").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 80) -> DataFrame:
@@ -230,14 +272,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     links = _confirm(_prune(pairs, sigs, threshold), texts, words, percent, "led")
 
     first = materialise(connected_components(links), "first")
-    placed = in_buckets.join(first, "id", "left").select("key", "id", "c", F.coalesce("component", "id").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    tiles = F.ceil(F.col("c") / TILE).cast("int")
-    rest = placed.join(split, "key").withColumn("sub", F.pmod(F.xxhash64("id"), tiles).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).select("key", "id", "comp", "sub", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
-    more = rest.join(sigs, "id").groupBy("key", "i", "j").applyInPandas(_tile_pairs(threshold), "a long, b long")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(_confirm(more.join(pairs, ["a", "b"], "left_anti"), texts, words, percent, "rest"))
+    placed = led.where("c > 2").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    rest = materialise(placed.join(split, "key"), "rest")
+    held = only_ids(texts, rest.select("id").distinct(), "id").groupBy("id").agg(F.max("t").alias("t"))
+    held = materialise(held.join(sigs, "id"), "rest-texts")
+    rest = rest.withColumn("sub", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rest = rest.select("key", "id", "comp", "sub", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
+    more = materialise(_links_in_tiles(rest.join(held, "id"), threshold, words, percent).distinct(), "rest-links")
+    links = links.unionByName(more)
 
     component = connected_components(links).withColumnRenamed("id", "rep")
     found = member.select("id", "rep").distinct().join(component, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
