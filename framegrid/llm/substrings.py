@@ -3,7 +3,7 @@
 Windows of consecutive words that recur in other documents are found and removed from all but
 the document of smallest id.  Windows are dealt to shards by their minimizer, the five-word run
 of smallest hash within the window, so that equal windows always meet.  A shard confirms which of
-its windows recur, compiles them into an Aho-Corasick automaton over its own numbered words, and
+its windows recur, compiles them into an Aho-Corasick automaton over its own numbered phrases, and
 streams its stretches of all documents through it to locate every occurrence.
 
 Only stretches whose minimizer occurs in different texts are dealt at all.  Which do is told by
@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +28,8 @@ from framegrid.llm.common import materialise, only_ids
 
 #: Words of a window and of its minimizer.
 WINDOW, RUN = 13, 5
+#: An automaton's letters are numbered runs of so many words: a window is then five letters, not thirteen.
+PHRASE = 9
 #: Bits of each filter, sent to every task whatever the size of the corpus.
 FILTER_BITS = 1 << 25
 #: A minimizer that occurs more often than this has its windows dealt singly; windows that a shard gets on average.
@@ -58,9 +59,13 @@ def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
 def minimizers(h: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """For every window the place and hash of its minimizer (the leftmost of the smallest)."""
     runs = run_hashes(h, run)
-    best = sliding_window_view(runs, window - run + 1).argmin(axis=1)
-    at = np.arange(len(best)) + best
-    return at, runs[at]
+    n = len(h) - window + 1
+    least, at = runs[:n].copy(), np.arange(n)
+    for k in range(1, window - run + 1):
+        less = runs[k : k + n] < least
+        least[less] = runs[k : k + n][less]
+        at[less] = np.flatnonzero(less) + k
+    return at, least
 
 
 def text_hash(words: list[bytes]) -> int:
@@ -124,34 +129,37 @@ def locate(units: pd.DataFrame) -> pd.DataFrame:
     ``units`` has text (words joined by spaces), low and high (smallest and largest id of the
     unit's documents).  Windows that only one document has are not in the automaton.
     """
-    numbers: dict[bytes, int] = {}
-    sequences = [tuple(numbers.setdefault(w, len(numbers) + 1) for w in t.split(b" ")) for t in units["text"]]
-    lowest: dict[tuple, int] = {}
-    highest: dict[tuple, int] = {}
-    for seq, low, high in zip(sequences, units["low"].tolist(), units["high"].tolist()):
-        for i in range(len(seq) - WINDOW + 1):
-            g = seq[i : i + WINDOW]
-            if (x := lowest.get(g)) is None:
-                lowest[g], highest[g] = low, high
-            else:
-                if low < x:
-                    lowest[g] = low
-                if high > highest[g]:
-                    highest[g] = high
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    mins: list[int] = []
-    for g, low in lowest.items():
-        if low < highest[g]:
-            automaton.add_word(g, len(mins))
-            mins.append(low)
-    firsts = []
-    if mins:
+    words = [t.split(b" ") for t in units["text"]]
+    lengths = np.array([len(x) for x in words])
+    line = word_hashes([w for x in words for w in x])
+    of = np.repeat(np.arange(len(words)), lengths)
+    own = of[: len(line) - WINDOW + 1]
+    inside = np.flatnonzero(own == of[WINDOW - 1 :])  # windows within one unit
+    windows = run_hashes(line, WINDOW)[inside]
+    order = np.argsort(windows, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(windows[order].view(np.int64)) != 0])
+    unit = own[inside][order]
+    low = np.minimum.reduceat(units["low"].to_numpy()[unit], edge)
+    high = np.maximum.reduceat(units["high"].to_numpy()[unit], edge)
+    recurs = np.flatnonzero(low < high)
+    places, low = inside[order[edge[recurs]]].tolist(), low[recurs].tolist()
+    # A node's children are searched in turn, so a phrase's number is written in three letters of small alphabets.
+    number = np.unique(run_hashes(line, PHRASE), return_inverse=True)[1]
+    digits = np.stack((number >> 16 & 0xFFFF, number >> 8 & 0xFF, number & 0xFF), axis=1) + np.array([0x10000, 0x100, 0x200])
+    letters = digits.astype("<u4").tobytes().decode("utf-32-le")
+    size = WINDOW - PHRASE + 1
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, at in enumerate(places):
+        automaton.add_word(letters[3 * at : 3 * (at + size)], k)
+    if places:
         automaton.make_automaton()
-    for seq in sequences:
-        first = [_NONE] * (len(seq) - WINDOW + 1)
-        for end, k in automaton.iter(seq) if mins else ():
-            first[end - WINDOW + 1] = mins[k]
+    firsts, at = [], 0
+    for length in lengths.tolist():
+        first = [_NONE] * (length - WINDOW + 1)
+        for end, k in automaton.iter(letters[3 * at : 3 * (at + length - PHRASE + 1)]) if places else ():
+            first[end // 3 - size + 1] = low[k]
         firsts.append(first)
+        at += length
     return pd.DataFrame({"key": units["key"], "th": units["th"], "firsts": firsts})
 
 
@@ -178,18 +186,20 @@ def recurring_windows(docs: DataFrame, id: str = "doc_id", text: str = "text", b
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, common = tables.value
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("text", pa.binary())]))
         for batch in batches:
-            fps, ns, shas, parts = [], [], [], []
+            fps, ns, shas, keys, starts, sizes, texts, ends = [], [], [], [], [], [], [], [0]
             for x in batch.column(1).to_pylist():
                 words = (x or b"").split()
                 line = b" ".join(words)
                 fps.append(xxhash.xxh3_64_intdigest(line) - 2**63)
                 ns.append(len(words))
                 shas.append(hashlib.sha256(line).hexdigest())
-                own = stretches(words, shared, common, bits) if len(words) >= WINDOW else []
-                parts.append([{"key": k, "start": i, "n": n, "text": b" ".join(words[i : i + n + WINDOW - 1])} for k, i, n in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(shas, pa.string()), pa.array(parts, kind)], names=["id", "fp", "n_words", "sha256", "parts"])
+                for k, i, n in stretches(words, shared, common, bits) if len(words) >= WINDOW else ():
+                    keys.append(k), starts.append(i), sizes.append(n), texts.append(b" ".join(words[i : i + n + WINDOW - 1]))
+                ends.append(len(keys))
+            flat = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary())], names=["key", "start", "n", "text"])
+            parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(shas, pa.string()), parts], names=["id", "fp", "n_words", "sha256", "parts"])
 
     scanned = materialise(bare.mapInArrow(scan, "id long, fp long, n_words long, sha256 string, parts array<struct<key:long,start:int,n:int,text:binary>>"), "stretches")
     first = scanned.where("id is not null").groupBy("fp", "n_words", "sha256").agg(F.min("id").alias("first"))
