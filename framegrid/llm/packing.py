@@ -9,6 +9,7 @@ of one or two pieces that no other choice can beat, and best-fit decreasing pack
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,11 +25,17 @@ from framegrid.llm.common import materialise
 #: Pieces of one length are ranked in so many hashed buckets, so that a hot length has no single task.
 BUCKETS = 64
 
-#: Token bytes of this many different word chunks are kept in each Python worker.
-CACHED_CHUNKS = 400_000
+#: Token bytes of about this many different pieces are kept in each Python worker, from the second time that a piece is met;
+#: a table of so many hash slots tells which were met.
+CACHED_PIECES, SEEN = 250_000, 1 << 23
+
+# Fixed: how the byte-level tokenizers cut a text into pieces, for ASCII and Latin-1 letters.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_OTHER = re.compile(rf"[^\t\n\r -~{_LETTERS}]")
 
 _tokenizers: dict[str, object] = {}
-_chunks: dict[str, dict[str, bytes]] = {}
+_pieces: dict[str, tuple[dict[str, bytes], bytearray]] = {}
 
 
 def _tokenizer(path: str):
@@ -45,43 +52,47 @@ def _ids(texts: list[str], path: str) -> list[bytes]:
     return [np.asarray(x.ids, dtype="<u4").tobytes() for x in out]
 
 
+def _piece_ids(pieces: list[str], path: str) -> list[bytes]:
+    """Ids of pieces without line breaks, encoded as lines of one text: a line break is a piece and an id of its own."""
+    if not pieces:
+        return []
+    lines = "\n".join(["", *pieces, ""])
+    ids = np.asarray(_tokenizer(path).encode_batch_fast([lines], add_special_tokens=False)[0].ids, dtype="<u4")
+    cuts = np.flatnonzero(ids == ids[0])
+    if len(cuts) != len(pieces) + 1:
+        return _ids(pieces, path)
+    data = ids.tobytes()
+    return [data[a:b] for a, b in zip((4 * cuts[:-1] + 4).tolist(), (4 * cuts[1:]).tolist())]
+
+
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text, as the tokenizer gives them for the whole text.
 
-    A byte-level tokenizer of this kind never merges across the start of a blank that follows a
-    non-blank and precedes a non-blank.  So texts are cut before such single spaces, and each
-    different chunk is encoded once and kept.  Texts with other spacing, or with the text of a
-    special token, are encoded whole.
+    A byte-level tokenizer of this kind merges within pieces only: runs of letters, of digits or
+    of other signs, with a space before them, and runs of blanks.  For texts in Latin-1 letters
+    these are found here, and the ids of pieces that come again are kept.  Texts with other
+    characters, or that may hold a special token, are encoded whole.
     """
-    known = _chunks.setdefault(path, {})
-    if len(known) > CACHED_CHUNKS:
+    known, seen = _pieces.setdefault(path, ({}, bytearray(SEEN)))
+    if len(known) > CACHED_PIECES:
         known.clear()
-    out: list[bytes | None] = [None] * len(texts)
-    cut: dict[int, list[str]] = {}
-    whole: list[int] = []
-    new: dict[str, None] = {}
-    for i, text in enumerate(texts):
-        if "  " in text or " \n" in text or "\n " in text or "<|" in text or text[:1].isspace() or text[-1:].isspace():
-            whole.append(i)
-            continue
-        parts = text.split(" ")
-        for p in set(parts[1:]):
-            if p not in known and p not in new:
-                new[p] = None
-        cut[i] = parts
-    odd = {p for p in new if p[:1].isspace() or p[-1:].isspace() or not p}
-    fresh = [p for p in new if p not in odd]
-    known.update(zip(fresh, _ids([" " + p for p in fresh], path)))
-    first = [i for i, parts in cut.items()]
-    heads = dict(zip(first, _ids([cut[i][0] for i in first], path)))
-    for i, parts in cut.items():
-        if odd and not odd.isdisjoint(parts):
-            whole.append(i)
-        else:
-            out[i] = heads[i] + b"".join(map(known.__getitem__, parts[1:]))
-    for i, x in zip(whole, _ids([texts[i] for i in whole], path)):
-        out[i] = x
-    return out
+        seen[:] = bytes(SEEN)
+    whole = [i for i, t in enumerate(texts) if _OTHER.search(t) or "<|" in t]
+    out = dict(zip(whole, _ids([texts[i] for i in whole], path)))
+    cut = {i: _PIECE.findall(t) for i, t in enumerate(texts) if i not in out}
+    new = set().union(*cut.values()).difference(known)
+    lines = [p for p in new if not p.isspace()]
+    blanks = [p for p in new if p.isspace()]
+    known.update(zip(lines, _piece_ids(lines, path)))
+    known.update(zip(blanks, _ids(blanks, path)))
+    for i, pieces in cut.items():
+        out[i] = b"".join(map(known.__getitem__, pieces))
+    for p in lines:  # most different pieces never come again
+        at = hash(p) % SEEN
+        if not seen[at]:
+            seen[at] = 1
+            del known[p]
+    return [out[i] for i in range(len(texts))]
 
 
 def piece_table(docs: DataFrame, tokenizer: str, capacity: int, end: int, id: str, text: str, with_ids: bool) -> DataFrame:
@@ -91,8 +102,8 @@ def piece_table(docs: DataFrame, tokenizer: str, capacity: int, end: int, id: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 rows: list[tuple] = []
                 for i, ids in enumerate(token_bytes([x or "" for x in part.column("_fg_text").to_pylist()], tokenizer)):
                     ids += tail
@@ -208,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
     places = _places(plan_packing(counts, capacity))
     in_bucket = W.partitionBy("length", "_fg_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = keyed.withColumn("_fg_rank", F.row_number().over(in_bucket) - 1)
-    ranked = ranked.join(F.broadcast(starts.drop("_fg_n")), ["length", "_fg_bucket"])  # capacity * BUCKETS rows at most
+    ranked = ranked.join(starts.drop("_fg_n"), ["length", "_fg_bucket"])  # both are dealt by these already
     ranked = ranked.withColumn("_fg_rank", F.col("_fg_rank") + F.col("_fg_before")).drop("_fg_bucket", "_fg_before")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
