@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Hash buckets of words, and dense features of the text's form after them.
 BUCKETS, FORMS = 1 << 15, 10
 #: At most so many rated documents are fitted on, whatever the number of ratings.
-SAMPLE = 6000
+SAMPLE = 10_000
 
 
 @dataclass(frozen=True)
@@ -43,16 +43,15 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     distinct = {w.lower().strip(b".,;:!?\"'()") for w in words}
     hashed = np.fromiter(map(crc32, distinct), np.int64, len(distinct)) % BUCKETS
-    bucket, times = np.unique(hashed, return_counts=True)
+    bucket = np.unique(hashed)
     lines = text.split(b"\n")
     upper = sum(map(bytes.isupper, words)) / n
     symbols = sum(text.count(c) for c in b"#*$%&|<>") / n
     form = [upper, min(symbols, 3.0), text.count(b"!") / n, len(distinct) / n, len(text) / n / 10, np.log1p(n) / 10, (len(lines) - len(set(lines))) / len(lines), sum(text.count(d) for d in b"0123456789") / len(text), n < 50, 1.0]
-    word_values = np.minimum(times, 1) * (1.0 / np.sqrt(len(bucket)))
-    return np.concatenate((bucket, BUCKETS + np.arange(FORMS))), np.concatenate((word_values * 4, np.array(form, dtype=float)))
+    return np.concatenate((bucket, BUCKETS + np.arange(FORMS))), np.concatenate((np.full(len(bucket), 0.5), np.array(form, dtype=float)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 300, rate: float = 0.1, decay: float = 1e-5) -> OrdinalModel:
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> OrdinalModel:
     """Maximum likelihood by Adam over the whole sample; fixed start and steps, so it is deterministic.
 
     With no rows all grades are equally likely.  Thresholds are a first one and positive gaps.
@@ -63,7 +62,10 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, l
         return OrdinalModel(np.zeros(size), -np.log((levels - ks) / ks))
     lengths = np.array([len(b) for b, _ in rows])
     own = np.repeat(np.arange(len(rows)), lengths)
+    enough = max(5, len(rows) // 250)
     at, val = np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows])
+    often = np.bincount(at, minlength=size)[at] >= enough  # rare words would only be learnt by heart
+    own, at, val = own[often], at[often], val[often]
     theta = np.zeros(size + levels - 1)
     theta[size + 1 :] = np.log(1.0)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
