@@ -110,3 +110,63 @@ def about(seconds: Column) -> Column:
 
 def backoff_ms(attempt: Column) -> Column:
     return F.least(1000 * F.pow(F.lit(2.0), attempt), F.lit(10000.0)).cast("long")
+
+
+def created(jobs: DataFrame, clips: DataFrame) -> DataFrame:
+    """(job_id, status, n_pending): a job is queued if any of its clips is pending, else failed; also one without clips."""
+    n = clips.groupBy("job_id").agg(F.count_if(F.col("status") == "pending").alias("n"))
+    pending = F.coalesce("n", F.lit(0).cast("long"))
+    return jobs.select("job_id").join(n, "job_id", "left").select("job_id", F.when(pending > 0, "queued").otherwise("failed").alias("status"), pending.alias("n_pending"))
+
+
+def canceled(jobs: DataFrame, clips: DataFrame) -> DataFrame:
+    """(job_id, clip_no, clip_status, job_status, asked): waiting jobs and their pending clips end at once, running ones are asked to stop."""
+    waits = F.col("_job").isin("queued", "waiting")
+    both = clips.join(jobs.select("job_id", F.col("status").alias("_job")), "job_id")
+    clip = F.when(waits & (F.col("status") == "pending"), "canceled").otherwise(F.col("status"))
+    return both.select("job_id", "clip_no", clip.alias("clip_status"), F.when(waits, "canceled").otherwise(F.col("_job")).alias("job_status"), (F.col("_job") == "running").alias("asked"))
+
+
+def error_rollup(clips: DataFrame) -> DataFrame:
+    """(job_id, code, detail) of jobs with failures: their only code, else the general one."""
+    failed = F.col("status") == "failed"
+    one = F.when(F.min("code") == F.max("code"), F.min("code")).otherwise("E_PIPELINE")
+    n = clips.groupBy("job_id").agg(one.alias("code"), F.count_if(failed).alias("n"), F.count("*").alias("m"))
+    return n.where("n > 0").select("job_id", "code", F.concat(F.col("n").cast("string"), F.lit(" of "), F.col("m").cast("string"), F.lit(" failed")).alias("detail"))
+
+
+def gpu_gate(free_mb: Column, need_mb: Column) -> Column:
+    """wait or run; unknown memory passes."""
+    return F.when(free_mb < need_mb, "wait").otherwise("run")
+
+
+def encoder_under_load(ratio: Column, encoder: Column, explicit: Column, keyable: Column, most: float = 1.5) -> Column:
+    """The encoder, or the light one on a loaded host where nobody asked for it by name."""
+    return F.when((ratio > most) & ~explicit & ~keyable, "webp").otherwise(encoder)
+
+
+def override_codes(given: DataFrame, rules: DataFrame) -> DataFrame:
+    """``given`` (field, value) with ``code``: null where a rule (field, kind, low, high) of the field takes the value.
+
+    Rules are a fixed table of a few rows.
+    """
+    number = F.expr("try_cast(value as double)")
+    fits = F.when(F.col("kind") == "number", number.between(F.col("low"), F.col("high"))).when(F.col("kind") == "flag", F.col("value").isin("true", "false"))
+    return given.join(F.broadcast(rules), "field", "left").withColumn("code", F.when(~F.coalesce(fits, F.lit(False)), "E_BAD_OVERRIDE")).drop("kind", "low", "high")
+
+
+def bundle(outputs: DataFrame) -> DataFrame:
+    """(job_id, member): the outputs' file names below the job's stem."""
+    each = outputs.select("job_id", "stem", F.explode("outputs").alias("kind", "path"))
+    return each.select("job_id", F.concat("stem", F.lit("/"), F.substring_index("path", "/", -1)).alias("member"))
+
+
+def preview_size(w: Column, h: Column, edge: int = 360) -> tuple[Column, Column]:
+    """Width and height with a long edge of at most ``edge``; never enlarged."""
+    scale = F.least(F.lit(1.0), edge / F.greatest(w, h))
+    return tuple(F.greatest(F.lit(1), F.rint(x * scale).cast("int")).alias(n) for x, n in ((w, "pw"), (h, "ph")))
+
+
+def plan_key(*parts: Column) -> Column:
+    """Name of a stage's stored rows: a digest of all that they depend on."""
+    return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)

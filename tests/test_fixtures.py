@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framegrid.functions import kernels as K
+from framegrid.operators import detection as D
 from framegrid.operators import service as S
 from framegrid.operators import temporal as T
 
@@ -58,3 +59,11 @@ def test_service(spark):
     got = rows.select(S.sanitize(F.col("m")).alias("s")).collect()
     assert len(got[0].s) == 501 and got[1].s == "at clip.mp4: bad"
     assert abs(sum(w for _, _, w in S.stage_bases(qc=False)) - 1) < 1e-9
+
+
+def test_non_maximum(spark):
+    rows = [(1, 0, 0, 0, 10, 10, 0, 0.5), (1, 1, 0, 0, 10, 9, 0, 0.9), (1, 2, 20, 20, 30, 30, 1, 0.3), (1, 3, 50, 50, 60, 60, 0, 0.1), (2, 0, 0, 0, 10, 10, 0, 0.5)]
+    boxes = spark.createDataFrame(rows, "frame long, det int, x0 int, y0 int, x1 int, y1 int, cls int, conf double")
+    assert sorted(map(tuple, D.non_maximum(boxes, ["frame"]).collect())) == [(1, 1), (1, 2), (2, 0)]
+    assert {r.frame: r.det for r in D.subject_box(boxes, ["frame"], 10_000).collect()} == {1: 1, 2: None}
+    assert D.non_maximum(boxes.limit(0), ["frame"]).count() == 0

@@ -2,6 +2,7 @@
 
 import pytest
 
+from framegrid.plans import more  # noqa: F401
 from framegrid.plans.queries import ORACLES, QUERIES
 
 
