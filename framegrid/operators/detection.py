@@ -46,13 +46,18 @@ def non_maximum(boxes: DataFrame, keys: list[str], overlap: float = 0.45, least:
     A group is one frame's boxes, which detectors bound; frames are spread by key.
     """
     kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in [*keys, "det"])
+    sides = F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1", "conf")))
+    held = boxes.where(F.col("conf") >= least).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("det", sides.alias("b")))).alias("all"))
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("det", kind="stable").reset_index(drop=True)
-        kept = K.keep_boxes(b[["x0", "y0", "x1", "y1"]].to_numpy(float), b["conf"].to_numpy(float), overlap)
-        return b.loc[np.sort(kept), [*keys, "det"]]
-
-    return boxes.where(F.col("conf") >= least).groupBy(*keys).applyInPandas(run, kinds)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for *key, dets, b in batch.itertuples(index=False):
+                b = np.stack(list(b))
+                out += [(*key, dets[k]) for k in sorted(K.keep_boxes(b[:, :4], b[:, 4], overlap))]
+            yield pd.DataFrame(out, columns=[*keys, "det"])
+
+    return held.select(*keys, F.col("all.det").alias("dets"), F.col("all.b").alias("b")).mapInPandas(run, kinds)
 
 
 def detect(frames: DataFrame, model, fields: str = "x0 double, y0 double, x1 double, y1 double, cls int, conf double") -> DataFrame:

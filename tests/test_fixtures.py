@@ -62,7 +62,7 @@ def test_service(spark):
 
 
 def test_non_maximum(spark):
-    rows = [(1, 0, 0, 0, 10, 10, 0, 0.5), (1, 1, 0, 0, 10, 9, 0, 0.9), (1, 2, 20, 20, 30, 30, 1, 0.3), (1, 3, 50, 50, 60, 60, 0, 0.1), (2, 0, 0, 0, 10, 10, 0, 0.5)]
+    rows = [(1, 0, 0, 0, 10, 10, 0, 0.5), (1, 1, 0, 0, 10, 11, 0, 0.9), (1, 2, 20, 20, 30, 30, 1, 0.3), (1, 3, 50, 50, 60, 60, 0, 0.1), (2, 0, 0, 0, 10, 10, 0, 0.5)]
     boxes = spark.createDataFrame(rows, "frame long, det int, x0 int, y0 int, x1 int, y1 int, cls int, conf double")
     assert sorted(map(tuple, D.non_maximum(boxes, ["frame"]).collect())) == [(1, 1), (1, 2), (2, 0)]
     assert {r.frame: r.det for r in D.subject_box(boxes, ["frame"], 10_000).collect()} == {1: 1, 2: None}
