@@ -127,6 +127,11 @@ def canceled(jobs: DataFrame, clips: DataFrame) -> DataFrame:
     return both.select("job_id", "clip_no", clip.alias("clip_status"), F.when(waits, "canceled").otherwise(F.col("_job")).alias("job_status"), (F.col("_job") == "running").alias("asked"))
 
 
+def retried(clips: DataFrame) -> DataFrame:
+    """(job_id, clip_no, input) of all clips whose input is still there, whatever became of the clip or its job."""
+    return clips.where("input is not null").select("job_id", "clip_no", "input")
+
+
 def error_rollup(clips: DataFrame) -> DataFrame:
     """(job_id, code, detail) of jobs with failures: their only code, else the general one."""
     failed = F.col("status") == "failed"

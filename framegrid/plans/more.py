@@ -57,6 +57,12 @@ def ops_claim_order(spark, d):
     return V.jobs(spark, d).where("status = 'queued'").orderBy("created_at", "job_id").limit(20).select("job_id", "status")
 
 
+@query(sql.JOBS + "select job_id, status, created_at from job where status = 'queued'")
+def ops_claim_queue(spark, d):
+    """All queued jobs in the order in which they are claimed."""
+    return V.jobs(spark, d).where("status = 'queued'").orderBy("created_at", "job_id").select("job_id", "status", "created_at")
+
+
 @query(sql.JOBS + """select c.job_id, c.clip_no, case when j.status = 'queued' and c.status = 'pending' then 'canceled' else c.status end as clip_status, case when j.status = 'queued' then 'canceled' else j.status end as job_status, j.status = 'running' as asked
 from clip c join job j using (job_id)""")
 def ops_cancel(spark, d):
@@ -69,6 +75,12 @@ def ops_retry(spark, d):
     return V.clips(spark, d).where("status = 'failed' and part % 7 > 0").join(free, "job_id", "left_semi").select("job_id", "clip_no")
 
 
+@query(sql.JOBS + "select job_id, clip_no, part as input from clip where part is not null")
+def ops_retry_inputs(spark, d):
+    """A clip's part stands for its input file."""
+    return S.retried(V.clips(spark, d).withColumn("input", F.col("part")))
+
+
 @query(sql.JOBS + """, e as (select job_id, case part % 3 when 0 then 'E_CUDA_OOM' when 1 then 'E_PIPELINE' else 'E_INPUT_TOO_LONG' end as code from clip where status = 'failed')
 select job_id, case when count(distinct code) = 1 then min(code) else 'E_PIPELINE' end as code, n || ' of ' || m || ' failed' as detail from e join (select job_id, count(*) filter (status = 'failed') as n, count(*) as m from clip group by 1) using (job_id) group by job_id, n, m""")
 def ops_error_rollup(spark, d):
@@ -83,13 +95,27 @@ def ops_gates(spark, d):
     return c.select("job_id", "clip_no", gate.alias("gate"), S.encoder_under_load(F.col("frames") / 20.0, F.lit("gif"), F.col("part") % 2 == 1, F.col("fraction") >= 0.05).alias("encoder"))
 
 
+def given_overrides(clips):
+    """(job_id, clip_no, field, value): four overrides of every clip."""
+    given = F.create_map(F.lit("k"), (F.col("fraction") * 10).cast("string"), F.lit("max_side"), (F.col("part") % 5000).cast("string"), F.lit("qc"), F.when(F.col("part") % 2 == 0, "true").otherwise("maybe"), F.lit("nope"), F.lit("1"))
+    return clips.select("job_id", "clip_no", F.explode(given).alias("field", "value"))
+
+
+def override_rules(spark):
+    return spark.createDataFrame([("k", "number", 0.05, 0.9), ("max_side", "number", 64.0, 4096.0), ("qc", "flag", None, None)], "field string, kind string, low double, high double")
+
+
 @query(sql.JOBS + """, o as (select job_id, clip_no, unnest(['k', 'max_side', 'qc', 'nope']) as field, unnest([(fraction * 10)::varchar, (part % 5000)::varchar, case when part % 2 = 0 then 'true' else 'maybe' end, '1']) as value from clip where part % 50 = 0)
 select job_id, clip_no, field, case field when 'k' then case when value::double between 0.05e0 and 0.9e0 then null else 'E_BAD_OVERRIDE' end when 'max_side' then case when value::double between 64 and 4096 then null else 'E_BAD_OVERRIDE' end when 'qc' then case when value in ('true', 'false') then null else 'E_BAD_OVERRIDE' end else 'E_BAD_OVERRIDE' end as code from o""")
 def ops_overrides(spark, d):
-    given = F.create_map(F.lit("k"), (F.col("fraction") * 10).cast("string"), F.lit("max_side"), (F.col("part") % 5000).cast("string"), F.lit("qc"), F.when(F.col("part") % 2 == 0, "true").otherwise("maybe"), F.lit("nope"), F.lit("1"))
-    rows = V.clips(spark, d).where("part % 50 = 0").select("job_id", "clip_no", F.explode(given).alias("field", "value"))
-    rules = spark.createDataFrame([("k", "number", 0.05, 0.9), ("max_side", "number", 64.0, 4096.0), ("qc", "flag", None, None)], "field string, kind string, low double, high double")
-    return S.override_codes(rows, rules).select("job_id", "clip_no", "field", "code")
+    return S.override_codes(given_overrides(V.clips(spark, d).where("part % 50 = 0")), override_rules(spark)).select("job_id", "clip_no", "field", "code")
+
+
+@query(sql.JOBS + """, o as (select job_id, clip_no, unnest(['k', 'max_side', 'qc', 'nope']) as field, unnest([(fraction * 10)::varchar, (part % 5000)::varchar, case when part % 2 = 0 then 'true' else 'maybe' end, '1']) as value from clip)
+select job_id, clip_no, field, case field when 'k' then case when value::double between 0.05e0 and 0.9e0 then null else 'E_BAD_OVERRIDE' end when 'max_side' then case when value::double between 64 and 4096 then null else 'E_BAD_OVERRIDE' end when 'qc' then case when value in ('true', 'false') then null else 'E_BAD_OVERRIDE' end else 'E_BAD_OVERRIDE' end as code from o""")
+def ops_overrides_all(spark, d):
+    """The overrides of every clip."""
+    return S.override_codes(given_overrides(V.clips(spark, d)), override_rules(spark)).select("job_id", "clip_no", "field", "code")
 
 
 @query(sql.JOBS + """select c.job_id, 'job' || c.job_id || '/clip' || clip_no || e.ext as member from clip c join job j using (job_id), (values ('.gif'), ('.json')) e(ext) where c.status = 'done' and j.status = 'done'""")
