@@ -95,17 +95,24 @@ def joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) ->
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _pattern(head: str, cut: bool) -> int | None:
-    """Hash of the two whole words before a span, A-Z lower-cased, or None.
+def _pattern(text: str, at: int) -> int | None:
+    """Hash of the two whole words before a span that starts at ``at``, A-Z lower-cased, or None.
 
     Opening quotes and brackets right before the span belong to it; any other piece of a word
-    there, or fewer than two words, gives no pattern.  ``cut`` says that ``head`` may start
-    inside a word.
+    there, or fewer than two words, gives no pattern.  Words and blanks may be of any length: the
+    part looked at grows until it holds two words that it surely doesn't cut.
     """
-    before = head.encode("utf-8", "replace").lower().split()
-    if before and not head[-1] in " \t\n\v\f\r" and before.pop().strip(b"\"'([{<"):
-        return None
-    return pair_hash(crc32(before[-2]), crc32(before[-1])) if len(before) >= 2 + cut else None
+    size = 200
+    while True:
+        head = text[max(0, at - size) : at]
+        before = head.encode("utf-8", "replace").lower().split()
+        if before and not head[-1] in " \t\n\v\f\r" and before.pop().strip(b"\"'([{<"):
+            return None
+        if len(before) >= 2 + (at > size):
+            return pair_hash(crc32(before[-2]), crc32(before[-1]))
+        if at <= size:
+            return None
+        size *= 4
 
 
 def pair_hash(a, b):
@@ -117,10 +124,8 @@ def pair_hash(a, b):
 
 def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and identifier-shaped words that no seed overlaps, each with its instance and pattern."""
-    if not _DIGIT.search(text):
-        return []
     out = [(a, b, True) for a, _, b in spans]
-    for m in _WORD.finditer(text):
+    for m in _WORD.finditer(text) if _DIGIT.search(text) else ():
         w = m.group()
         if len(w) > 5 and sum("0" <= c <= "9" for c in w) >= DIGITS and (x := _IDENTIFIER.search(w)):
             a, b = m.start() + x.start(), m.start() + x.end()
@@ -128,7 +133,7 @@ def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
                 out.append((a, b, False))
     rows = []
     for a, b, seed in sorted(out):
-        if (p := _pattern(text[max(0, a - 200) : a], a > 200)) is not None:
+        if (p := _pattern(text, a)) is not None:
             rows.append({"start": a, "end": b, "seed": seed, "instance": text[a:b].lower(), "pattern": p})
     return rows
 
