@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import materialise, small
+from framegrid.llm.common import materialise
 from framegrid.llm.components import connected_components
 
 #: Dimensions of a block.
@@ -137,29 +137,24 @@ def unit_vectors(column: list) -> tuple[np.ndarray, np.ndarray]:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def cosine_links(docs: DataFrame, id: str = "vec_id", vector: str = "embedding", least: float = 0.9, seed: int = 5) -> DataFrame:
-    """(id column, n_links, component_id, kept): one row per id.
+def block_budgets(parts: list[slice], dim: int, least: float) -> list[float]:
+    return [(2 - 2 * least) * (p.stop - p.start) / dim for p in parts]
 
-    Vectors are linked if their cosine, in double precision, is at least ``least``; n_links
-    counts the other vectors linked directly, component_id is the smallest id reachable and kept
-    marks it.  Vectors that are null, zero, or hold null or non-finite components link with
-    nothing, nor do those with a null id or of another length than the most usual one; rows that
-    repeat an id are one vector, the greatest of them; other columns are ignored; an empty table
-    gives an empty one.  Only a bounded sample of vectors reaches the driver, to shape the cells.
-    """
-    spark = docs.sparkSession
-    v = F.col(vector).cast("array<double>")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = docs.select(F.col(id).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
-    rows = materialise(rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))), "vectors")
-    usual = rows.where("ok").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = usual["dim"] if usual else 1
-    good = rows.where("ok").where(F.size("v") == dim).select("id", "v")
+
+def link_rows(ids: np.ndarray, n: np.ndarray, forest: list[tuple[int, int]]) -> pd.DataFrame:
+    u, w = zip(*forest) if forest else ((), ())
+    counted = pd.DataFrame({"u": ids[n > 0], "v": ids[n > 0], "n": n[n > 0]})
+    return pd.concat((counted, pd.DataFrame({"u": u, "v": w, "n": 0}))).astype("int64")
+
+
+def tiled_links(good: DataFrame, dim: int, least: float, seed: int) -> DataFrame:
+    """(u, v, n) of the vectors (id, v) of one length: counts of links where u = v, and a spanning forest of them."""
+    spark = good.sparkSession
     parts, turn = blocks_of(dim), rotation(dim, seed)
-    budgets = [(2 - 2 * least) * (p.stop - p.start) / dim for p in parts]
+    budgets = block_budgets(parts, dim, least)
 
     sample = [r["v"] for r in good.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()]
-    dims, cuts = median_tree(unit_vectors(sample) @ turn if sample else np.zeros((0, dim)), DEPTH if not small(good, CHUNK) else 0)
+    dims, cuts = median_tree(unit_vectors(sample) @ turn, DEPTH)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,12 +201,44 @@ def cosine_links(docs: DataFrame, id: str = "vec_id", vector: str = "embedding",
         a, b = (np.frombuffer(b"".join(t["x"]), np.float64).reshape(len(t), dim) for t in (left, right))
         ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
         n_a, n_b, forest = join_chunks(ids_a, a, ids_b, b, i == j, parts, budgets, turn, least)
-        u, w = zip(*forest) if forest else ((), ())
-        ids, n = np.concatenate((ids_a, ids_b)), np.concatenate((n_a, n_b))
-        counted = pd.DataFrame({"u": ids[n > 0], "v": ids[n > 0], "n": n[n > 0]})
-        return pd.concat((counted, pd.DataFrame({"u": u, "v": w, "n": 0}))).astype("int64")
+        return link_rows(np.concatenate((ids_a, ids_b)), np.concatenate((n_a, n_b)), forest)
+
+    return materialise(tiled.groupBy("i", "j").applyInPandas(tile, "u long, v long, n long"), "links")
+
 
-    found = materialise(tiled.groupBy("i", "j").applyInPandas(tile, "u long, v long, n long"), "links")
+def chunk_links(good: DataFrame, least: float, seed: int) -> DataFrame:
+    """(u, v, n), as of ``tiled_links``, of vectors (id, v, dim) of all lengths that have one chunk of them at most."""
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        dim = int(rows["dim"].iloc[0])
+        ids, x = rows["id"].to_numpy(), unit_vectors(rows["v"].to_list())
+        parts = blocks_of(dim)
+        n, m, forest = join_chunks(ids, x, ids, x, True, parts, block_budgets(parts, dim, least), rotation(dim, seed), least)
+        return link_rows(ids, n + m, forest)
+
+    return materialise(good.groupBy("dim").applyInPandas(whole, "u long, v long, n long"), "links")
+
+
+def cosine_links(docs: DataFrame, id: str = "vec_id", vector: str = "embedding", least: float = 0.9, seed: int = 5) -> DataFrame:
+    """(id column, n_links, component_id, kept): one row per id.
+
+    Vectors are linked if their cosine, in double precision, is at least ``least``; n_links
+    counts the other vectors linked directly, component_id is the smallest id reachable and kept
+    marks it.  Vectors that are null, zero, or hold null or non-finite components link with
+    nothing, nor do those with a null id; vectors link only with others of their length; rows that
+    repeat an id are one vector, the greatest of them; other columns are ignored; an empty table
+    gives an empty one.  Only a bounded sample of vectors reaches the driver, to shape the cells.
+    """
+    v = F.col(vector).cast("array<double>")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = docs.select(F.col(id).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
+    rows = materialise(rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))), "vectors")
+    good = rows.where("ok").select("id", "v", F.size("v").alias("dim"))
+    # Lengths of more than a chunk are at most a CHUNK-th of the rows and usually one.
+    large = sorted(r["dim"] for r in good.groupBy("dim").count().where(F.col("count") > CHUNK).select("dim").collect())
+    found = chunk_links(good.where(~F.col("dim").isin(large)), least, seed)
+    for dim in large:
+        found = found.unionByName(tiled_links(good.where(F.col("dim") == dim).select("id", "v"), dim, least, seed))
     links = found.where("u = v").groupBy("u").agg(F.sum("n").alias("n_links")).withColumnRenamed("u", "id")
     component = connected_components(found.where("u <> v").select("u", "v"))
     out = rows.select("id").join(links, "id", "left").join(component, "id", "left")
