@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framegrid.llm.common import materialise, only_ids
 
@@ -251,19 +252,28 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", bi
 
 
 def removed_words(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the texts' recurring words removed: the same columns, words joined by one space where any went."""
+    """``docs`` with the texts' recurring words removed: the same columns, words joined by one space where any went.
+
+    One row per row of ``docs``: repeated rows stay, and of an id with several texts each is cut by its own windows.
+    """
     table, hits = recurring_windows(docs, id, text)
     gone = table.where("whole").select("id", "fp", F.expr(f"sequence(0, int(n_words) - {WINDOW})").alias("starts"))
-    every = materialise(hits.join(gone, ["id", "fp"], "left_anti").unionByName(gone), "starts").withColumnsRenamed({"id": "_fg_id", "fp": "_fg_fp", "starts": "_fg_starts"})
+    every = hits.join(gone, ["id", "fp"], "left_anti").unionByName(gone).dropDuplicates(["id", "fp"])
+    every = materialise(every, "starts").withColumnsRenamed({"id": "_fg_id", "fp": "_fg_own", "starts": "_fg_starts"})
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [text_hash((x or "").encode().split()) for x in batch.column(text).to_pylist()]
+            yield batch.append_column("_fg_fp", pa.array(fps, pa.int64()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.names.index(text)
             out = []
-            for x, fp, starts in zip(*(batch.column(k).to_pylist() for k in (text, "_fg_fp", "_fg_starts"))):
-                words = (x or "").encode().split()
-                out.append(b" ".join(kept_words(words, starts)).decode() if starts is not None and text_hash(words) == fp else x)
+            for x, starts in zip(*(batch.column(k).to_pylist() for k in (text, "_fg_starts"))):
+                out.append(x if starts is None else b" ".join(kept_words((x or "").encode().split(), starts)).decode())
             yield batch.set_column(place, text, pa.array(out, pa.string()))
 
-    joined = docs.join(every, F.col(id) == F.col("_fg_id"), "left")
-    return joined.mapInArrow(cut, joined.schema).select(*docs.columns).distinct()
+    named = docs.mapInArrow(name, T.StructType([*docs.schema.fields, T.StructField("_fg_fp", T.LongType())]))
+    joined = named.join(every, (F.col(id).cast("long") == F.col("_fg_id")) & (F.col("_fg_fp") == F.col("_fg_own")), "left")
+    return joined.mapInArrow(cut, joined.schema).select(*docs.columns)
