@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,9 +47,10 @@ def flicker(df: DataFrame, still: float = 1.0) -> DataFrame:
     return roll_up(per_frame(step.withColumn("static", static), (F.col("a") > OPAQUE) & (F.col("pa") > OPAQUE) & (F.col("jump") > JUMP) & F.col("static")))
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """(clip_id, n, x0, y0, x1, y1) of pixels that never change and are always opaque."""
-    same = df.groupBy("clip_id", "y", "x").agg((F.min("r") == F.max("r")).alias("s"), F.bool_and(F.col("a") > OPAQUE).alias("o"))
+def frozen(df: DataFrame, channels: tuple[str, ...] = ("r",)) -> DataFrame:
+    """(clip_id, n, x0, y0, x1, y1) of pixels that never change in any of ``channels`` and are always opaque."""
+    still = reduce(and_, (F.min(c) == F.max(c) for c in channels))
+    same = df.groupBy("clip_id", "y", "x").agg(still.alias("s"), F.bool_and(F.col("a") > OPAQUE).alias("o"))
     hit = F.col("s") & F.col("o")
     return same.groupBy("clip_id").agg(F.count_if(hit).alias("n"), *(f(F.when(hit, F.col(c))).alias(n) for f, c, n in ((F.min, "x", "x0"), (F.min, "y", "y0"), (F.max, "x", "x1"), (F.max, "y", "y1"))))
 

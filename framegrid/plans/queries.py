@@ -335,6 +335,12 @@ def qc_frozen(spark, d):
     return Q.frozen(V.colours(spark, d).where("frame_idx < 2"))
 
 
+@query(sql.GRID + ", s as (select clip_id, y, x, min(r) = max(r) and min(g) = max(g) and min(b) = max(b) and bool_and(a > 127) as h from px group by all) select clip_id, count(*) filter (h) as n, min(x) filter (h) as x0, min(y) filter (h) as y0, max(x) filter (h) as x1, max(y) filter (h) as y1 from s group by clip_id")
+def qc_frozen_clip(spark, d):
+    """Over all frames of a clip and all its colours."""
+    return Q.frozen(V.colours(spark, d), ("r", "g", "b"))
+
+
 @query(sql.GRID + """, ar as (select clip_id, frame_idx, count(*) filter (a > 127) as n from px group by all), j as (select clip_id, frame_idx, round(abs(n - lag(n) over w) / greatest(lag(n) over w, 1)::double, 6) as jump from ar window w as (partition by clip_id order by frame_idx))
 select clip_id, arg_max(frame_idx, (jump, -frame_idx)) as worst_frame, max(jump) as worst_jump, round(avg(jump), 6) as mean_jump from j where jump is not null group by clip_id""")
 def qc_area_jump(spark, d):
