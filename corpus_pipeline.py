@@ -42,7 +42,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The classifier, the tokenizer and the packing are not SQL; tests hold each stage against brute force.
+#: The classifier, the tokenizer and the packing are not SQL; tests check operators alone and of the chain only that rows come out.
 ORACLE_SQL = None
 
 
