@@ -30,7 +30,10 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+(?=@)")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+#: Whole runs within which the matches of a kind lie; each is read once, however long.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_GROUPED = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9._/-]{4,}[A-Za-z0-9]")
@@ -51,44 +54,51 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
-def _valid(kind: str, found: str) -> bool:
-    if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in found.split("."))
-    if kind == "card":
-        digits = found.replace(" ", "").replace("-", "")
-        return 12 <= len(digits) <= 19 and luhn(digits)
-    if kind == "phone":
-        return 9 <= sum("0" <= c <= "9" for c in found) <= 15
-    return True
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the email pattern, tried once at every @, from the start of the run of local characters before it.
 
-
-def _emails(text: str) -> Iterator[re.Match]:
-    """The matches of the email pattern, tried only at the start of a run of its characters that meets an @.
-
-    A run that starts a match is used whole, so the leftmost match of each run begins where the
-    run begins; what a match has taken is skipped.
+    All that comes before the @ in that run can start a match equally, so the leftmost match
+    begins where the run begins, or where the match before it ends.
     """
     at = 0
-    while run := _LOCAL_RUN.search(text, at):
-        m = PATTERNS["email"].match(text, run.start())
+    while (sign := text.find("@", at)) >= 0:
+        m = PATTERNS["email"].match(text, at + len(text[at:sign].rstrip(_LOCAL)))
         if m:
-            yield m
-        at = m.end() if m else run.end()
+            yield m.span()
+        at = m.end() if m else sign + 1
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Every four parts of a whole run of dotted numbers, from its first on, whose values are at most 255."""
+    for run in _DOTTED.finditer(text) if "." in text else ():
+        parts = run.group().split(".")
+        at = run.start()
+        for k in range(0, len(parts) - 3, 4):
+            own = parts[k : k + 4]
+            end = at + sum(map(len, own)) + 3
+            if all(len(p) <= 3 or len(p.lstrip("0")) <= 3 for p in own) and all(int(p.lstrip("0") or "0") <= 255 for p in own):
+                yield at, end
+            at = end + 1
+
+
+def _cards(text: str) -> Iterator[tuple[int, int]]:
+    for run in _GROUPED.finditer(text):
+        if run.end() - run.start() >= 12:
+            digits = run.group().replace(" ", "").replace("-", "")
+            if 12 <= len(digits) <= 19 and luhn(digits):
+                yield run.span()
+
+
+def _phones(text: str) -> Iterator[tuple[int, int]]:
+    for m in PATTERNS["phone"].finditer(text) if "+" in text else ():
+        if 9 <= sum(map(m.group().count, "0123456789")) <= 15:
+            yield m.span()
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, end) of valid fixed matches, by start and then kind; leftmost, not overlapping within a kind."""
-    spans: list[tuple[int, int, int]] = []
-    digit = _DIGIT.search(text) is not None
-    for k, kind in enumerate(KINDS):
-        if kind == "email":
-            found = _emails(text) if "@" in text else ()
-        elif not digit or kind == "phone" and "+" not in text:
-            continue
-        else:
-            found = PATTERNS[kind].finditer(text)
-        spans += [(m.start(), k, m.end()) for m in found if _valid(kind, m.group())]
-    return sorted(spans)
+    finders = [_emails, _ips, _cards, _phones] if _DIGIT.search(text) else [_emails]
+    return sorted((a, k, b) for k, find in enumerate(finders) for a, b in find(text))
 
 
 def joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) -> str:
@@ -125,11 +135,15 @@ def pair_hash(a, b):
 def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and identifier-shaped words that no seed overlaps, each with its instance and pattern."""
     out = [(a, b, True) for a, _, b in spans]
+    place, upto = 0, 0  # spans and words are both in order: the furthest end of the spans that start before a word
     for m in _WORD.finditer(text) if _DIGIT.search(text) else ():
         w = m.group()
-        if len(w) > 5 and sum("0" <= c <= "9" for c in w) >= DIGITS and (x := _IDENTIFIER.search(w)):
+        if len(w) > 5 and sum(map(w.count, "0123456789")) >= DIGITS and (x := _IDENTIFIER.search(w)):
             a, b = m.start() + x.start(), m.start() + x.end()
-            if not any(a < e and s < b for s, _, e in spans) and sum("0" <= c <= "9" for c in x.group()) >= DIGITS:
+            while place < len(spans) and spans[place][0] < b:
+                upto = max(upto, spans[place][2])
+                place += 1
+            if upto <= a and sum(map(x.group().count, "0123456789")) >= DIGITS:
                 out.append((a, b, False))
     rows = []
     for a, b, seed in sorted(out):
@@ -258,7 +272,9 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars``, if there, is counted again.
 
     Spans that overlap give one replacement, the first and longest.  Only rows with spans are
-    joined with them; all other rows pass as they are.
+    joined with them; all other rows pass as they are.  Null and empty texts stay as they are,
+    repeated rows and rows with a null id are replaced alike, columns of any other name keep
+    their values, and an empty table gives an empty one.
     """
     spans = find_pii(docs, id, text, **scoring).where("spans <> ''").select(F.col("doc_id").alias("_fg_id"), F.col("fp").alias("_fg_fp"), F.col("spans").alias("_fg_spans")).distinct()
     spans = materialise(spans, "pii-spans")
