@@ -2,19 +2,20 @@
 
 For unit vectors, cosine >= c means squared distance <= 2 - 2c.  The vectors are rotated at
 random and split into blocks of dimensions; if two vectors are that close, then in at least one
-block their squared distance is within the block's proportional share of the budget.  Cells of a
-median tree make the range join: two cells meet only if, in some block, their boxes are within
-the block's share.  Where cells meet, the blocks' range tests give the union of candidates, and
-candidates are verified by the cosine in double precision.
+block their squared distance is within the block's proportional share of the budget.  The range
+join runs on cells, each around a pivot: a vector reaches a cell only if, in some block, it is
+within the block's share of the ball that the cell's vectors fill there, and within the whole
+budget of the whole ball.  Of the cells that are reached, the blocks' range tests give the union
+of candidates, and candidates are verified by the cosine in double precision.
 
 A task gets two bounded chunks of cells and returns, for each vector, how many links it found,
 and a spanning forest of them, so a large group of near copies never becomes a list of pairs.
+The driver holds one row per cell; which chunks a vector goes to is worked out where it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,9 @@ from framegrid.llm.components import connected_components
 #: Dimensions of a block.
 BLOCK = 16
 #: Vectors in a chunk, at which two chunks are compared in one task.
-CHUNK = 4096
-#: The median tree is fitted on at most so many vectors and has at most 2**DEPTH cells; fitting only shapes the cells.
-SAMPLE, DEPTH = 8192, 8
+CHUNK = 8192
+#: Pivots of the cells are chosen among at most so many vectors; the choice only shapes the cells.
+SAMPLE, CELLS = 8192, 256
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -44,48 +45,36 @@ def blocks_of(dim: int, block: int = BLOCK) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
-def median_tree(sample: np.ndarray, depth: int) -> tuple[list[int], np.ndarray]:
-    """Split dimension of each level (those of most variance) and medians by heap position."""
-    dims = list(np.argsort(-sample.var(axis=0), kind="stable")[:depth]) if len(sample) else []
-    cuts = np.zeros(2 ** len(dims))
-    groups = {1: np.arange(len(sample))}
-    for dim in dims:
-        below: dict[int, np.ndarray] = {}
-        for node, own in groups.items():
-            cuts[node] = np.median(sample[own, dim]) if len(own) else 0.0
-            side = sample[own, dim] > cuts[node]
-            below[2 * node], below[2 * node + 1] = own[~side], own[side]
-        groups = below
-    return [int(d) for d in dims], cuts
-
-
-def leaf_of(x: np.ndarray, dims: list[int], cuts: np.ndarray) -> np.ndarray:
-    node = np.ones(len(x), dtype=np.int64)
-    for dim in dims:
-        node = 2 * node + (x[:, dim] > cuts[node])
-    return node - 2 ** len(dims)
-
-
-def leaf_boxes(dims: list[int], cuts: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest and highest coordinate of each cell, infinite where the tree doesn't bound it."""
-    n = 2 ** len(dims)
-    low, high = np.full((n, dim), -np.inf), np.full((n, dim), np.inf)
-    for leaf in range(n):
-        node = 1
-        for level, d in enumerate(dims):
-            right = (leaf >> (len(dims) - 1 - level)) & 1
-            (low if right else high)[leaf, d] = cuts[node]
-            node = 2 * node + right
-    return low, high
-
-
-def meeting_cells(low: np.ndarray, high: np.ndarray, parts: list[slice], budgets: list[float]) -> np.ndarray:
-    """Which pairs of cells have, in some block, boxes within the block's budget."""
-    meet = np.zeros((len(low), len(low)), bool)
-    for i in range(len(low)):
-        gap = np.maximum(0.0, np.maximum(low - high[i], low[i] - high))
-        meet[i] = reduce(np.logical_or, ((gap[:, p] ** 2).sum(axis=1) <= b * (1 + 1e-9) for p, b in zip(parts, budgets)))
-    return meet
+def choose_pivots(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` different vectors of the sample, each the farthest from those before it."""
+    if not len(sample):
+        return np.zeros((1, sample.shape[1]))
+    chosen, near = [0], sample @ sample[0]
+    while len(chosen) < most and near.min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
+def block_radii(x: np.ndarray, cell: np.ndarray, pivots: np.ndarray, parts: list[slice]) -> np.ndarray:
+    """By cell and block, the whole vector last: the greatest distance of the cell's rotated vectors from its pivot; -1 for empty cells."""
+    far = np.full((len(pivots), len(parts) + 1), -1.0)
+    for k, p in enumerate([*parts, slice(None)]):
+        np.maximum.at(far[:, k], cell, np.sqrt(((x[:, p] - pivots[cell][:, p]) ** 2).sum(axis=1)))
+    return far
+
+
+def reached(x: np.ndarray, pivots: np.ndarray, radii: np.ndarray, parts: list[slice], budgets: list[float]) -> np.ndarray:
+    """Which cells (columns) the rotated vectors (rows) reach: no vector of any other cell can be linked with them."""
+
+    def near(p: slice, k: int, budget: float) -> np.ndarray:
+        apart = (x[:, p] ** 2).sum(axis=1)[:, None] + (pivots[:, p] ** 2).sum(axis=1)[None, :] - 2 * x[:, p] @ pivots[:, p].T
+        return np.sqrt(np.maximum(apart, 0)) <= radii[:, k] + np.sqrt(budget) + 1e-6
+
+    some = np.zeros((len(x), len(pivots)), bool)
+    for k, (p, budget) in enumerate(zip(parts, budgets)):
+        some |= near(p, k, budget)
+    return some & near(slice(None), len(parts), sum(budgets)) & (radii[:, -1] >= 0)
 
 
 def candidates(a: np.ndarray, b: np.ndarray, parts: list[slice], budgets: list[float]) -> np.ndarray:
@@ -104,39 +93,62 @@ def candidates(a: np.ndarray, b: np.ndarray, parts: list[slice], budgets: list[f
     return mask
 
 
-def join_chunks(ids_a, a, ids_b, b, same: bool, parts, budgets, turn, least: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Links between two chunks of unit vectors: counts by row of a and of b, and a spanning forest of them."""
+def join_chunks(ids_a, a, ids_b, b, same: bool, parts, budgets, turn, least: float, cells=None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], int]:
+    """Links between two chunks of unit vectors: counts by row of a and of b, a spanning forest of them, and the pairs compared.
+
+    ``cells`` is (cell of each row of b, pivots, radii); rows of b are compared with the rows of a
+    that reach their cell.
+    """
     n_a, n_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     label = np.arange(len(a) + len(b))
     at_b = np.arange(len(b)) if same else len(a) + np.arange(len(b))
     forest: list[tuple[int, int]] = []
-    ra, rb = (a @ turn).astype(np.float32), (b @ turn).astype(np.float32)
-    for start in range(0, len(a), 512):
-        mask = candidates(ra[start : start + 512], rb, parts, budgets)
-        if same:
-            mask &= np.arange(len(b))[None, :] > np.arange(start, start + len(mask))[:, None]
-        rows = np.flatnonzero(mask.any(axis=1))
-        for at in range(0, len(rows), 64):
-            own = rows[at : at + 64]
-            cols = np.flatnonzero(mask[own].any(axis=0))
-            hit = mask[np.ix_(own, cols)] & (np.einsum("ik,jk->ij", a[start + own], b[cols], optimize=True) >= least)
-            n_a[start + own] += hit.sum(axis=1)
-            n_b[cols] += hit.sum(axis=0)
-            for k in np.flatnonzero(hit.any(axis=1)):
-                i, js = start + own[k], cols[hit[k]]
-                for old in np.unique(label[at_b[js]]):
-                    if old != label[i]:
-                        j = js[np.flatnonzero(label[at_b[js]] == old)[0]]
-                        forest.append((int(ids_a[i]), int(ids_b[j])))
-                        label[label == old] = label[i]
-    return n_a, n_b, forest
-
-
-def unit_vectors(column: list) -> tuple[np.ndarray, np.ndarray]:
+    compared = 0
+    ra, rb = a @ turn, (b @ turn).astype(np.float32)
+    cell_b, reach = np.zeros(len(b), np.int64), np.ones((len(a), 1), bool)
+    if cells:
+        cell_b, reach = cells[0], reached(ra, cells[1], cells[2], parts, budgets)
+    ra = ra.astype(np.float32)
+    groups: list[tuple[np.ndarray, np.ndarray]] = []  # rows of a, rows of b whose cells all these reach
+    for cell in np.unique(cell_b):
+        left, right = np.flatnonzero(reach[:, cell]), np.flatnonzero(cell_b == cell)
+        if groups and len(groups[-1][0]) == len(left) == len(a):
+            right = np.concatenate((groups.pop()[1], right))
+        groups.append((left, right))
+    for left, right in groups:
+        near = rb if len(right) == len(b) else rb[right]
+        for start in range(0, len(left), 512):
+            rows = left[start : start + 512]
+            mask = candidates(ra[rows], near, parts, budgets)
+            compared += mask.size
+            if same:
+                mask &= right[None, :] > rows[:, None]
+            some = np.flatnonzero(mask.any(axis=1))
+            for at in range(0, len(some), 64):
+                own = some[at : at + 64]
+                cols = np.flatnonzero(mask[own].any(axis=0))
+                hit = mask[np.ix_(own, cols)] & (np.einsum("ik,jk->ij", a[rows[own]], b[right[cols]], optimize=True) >= least)
+                n_a[rows[own]] += hit.sum(axis=1)
+                n_b[right[cols]] += hit.sum(axis=0)
+                for k in np.flatnonzero(hit.any(axis=1)):
+                    i, js = rows[own[k]], right[cols[hit[k]]]
+                    for old in np.unique(label[at_b[js]]):
+                        if old != label[i]:
+                            j = js[np.flatnonzero(label[at_b[js]] == old)[0]]
+                            forest.append((int(ids_a[i]), int(ids_b[j])))
+                            label[label == old] = label[i]
+    return n_a, n_b, forest, compared
+
+
+def unit_vectors(column: list | np.ndarray) -> np.ndarray:
     x = np.array(column, dtype=np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def read_vectors(column, kind: type, dim: int) -> np.ndarray:
+    return unit_vectors(np.frombuffer(b"".join(column), kind).reshape(-1, dim))
+
+
 def block_budgets(parts: list[slice], dim: int, least: float) -> list[float]:
     return [(2 - 2 * least) * (p.stop - p.start) / dim for p in parts]
 
@@ -147,60 +159,84 @@ def link_rows(ids: np.ndarray, n: np.ndarray, forest: list[tuple[int, int]]) ->
     return pd.concat((counted, pd.DataFrame({"u": u, "v": w, "n": 0}))).astype("int64")
 
 
+def chunk_table(held: dict[int, int], cells: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """By cell: its first chunk and its number of chunks.  Neighbouring small cells share a chunk, large ones have several."""
+    base, parts = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    number, fill = -1, 0
+    for cell in sorted(held):
+        if number < 0 or fill + held[cell] > chunk:
+            number, fill = number + 1, 0
+        base[cell], parts[cell] = number, (held[cell] - 1) // chunk + 1
+        number += int(parts[cell]) - 1
+        fill = chunk if parts[cell] > 1 else fill + held[cell]
+    return base, parts
+
+
+def chunks_of(reach: np.ndarray, base: np.ndarray, parts: np.ndarray) -> list[int]:
+    """The chunks of the cells that one vector reaches."""
+    out: set[int] = set()
+    for cell in np.flatnonzero(reach):
+        out.update(range(int(base[cell]), int(base[cell] + parts[cell])))
+    return sorted(out)
+
+
 def tiled_links(good: DataFrame, dim: int, least: float, seed: int) -> DataFrame:
     """(u, v, n) of the vectors (id, v) of one length: counts of links where u = v, and a spanning forest of them."""
     spark = good.sparkSession
     parts, turn = blocks_of(dim), rotation(dim, seed)
     budgets = block_budgets(parts, dim, least)
+    kind = np.float32 if good.schema["v"].dataType.elementType.typeName() == "float" else np.float64
 
     sample = [r["v"] for r in good.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()]
-    dims, cuts = median_tree(unit_vectors(sample) @ turn, DEPTH)
+    pivots = choose_pivots(unit_vectors(sample), CELLS) @ turn
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = unit_vectors(batch.column("v").to_pylist())
-                leaf = leaf_of(x @ turn, dims, cuts)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(leaf), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "leaf", "x"])
-
-    placed = materialise(good.mapInArrow(place, "id long, leaf long, x binary"), "placed")
-    held = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # 2**DEPTH rows at most
-    # Neighbouring small cells share a chunk, large cells have several: chunk numbers are ranges by leaf.
-    first: dict[int, tuple[int, int]] = {}
-    fill, number, members = 0, -1, []
-    for leaf in sorted(held):
-        if number < 0 or fill + held[leaf] > CHUNK:
-            number, fill = number + 1, 0
-            members.append([])
-        more = (held[leaf] - 1) // CHUNK
-        first[leaf] = (number, more + 1)
-        members[number].append(leaf)
-        for _ in range(more):
-            number += 1
-            members.append([leaf])
-        fill = CHUNK if more else fill + held[leaf]
-    low, high = leaf_boxes(dims, cuts, dim)
-    meet = meeting_cells(low, high, parts, budgets)
-    chunks = len(members)
-    partners = [[j for j in range(chunks) if meet[np.ix_(members[i], members[j])].any()] for i in range(chunks)]
-    schema_c, schema_p = "leaf long, base int, parts int", "chunk int, others array<int>"
-    where = spark.createDataFrame([(k, *x) for k, x in first.items()], schema_c)
-    others = spark.createDataFrame(list(enumerate(partners)), schema_p)
-    if chunks > 2000:
-        others = others.repartition(8)
-    tiled = placed.join(F.broadcast(where), "leaf")  # 2**DEPTH rows at most
-    tiled = tiled.withColumn("chunk", (F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
-    tiled = tiled.join(others, "chunk").withColumn("other", F.explode("others"))
-    tiled = tiled.select("id", "x", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+                x = np.array(batch.column("v").to_pylist(), dtype=kind)
+                cell = (unit_vectors(x) @ turn @ pivots.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "cell", "x"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, n = np.full((len(pivots), len(parts) + 1), -1.0), np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                cell = batch.column("cell").to_numpy()
+                far = np.maximum(far, block_radii(read_vectors(batch.column("x").to_pylist(), kind, dim) @ turn, cell, pivots, parts))
+                n += np.bincount(cell, minlength=len(pivots))
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own]), pa.array(far[own].tolist(), pa.list_(pa.float64()))], names=["cell", "n", "far"])
+
+    placed = materialise(good.mapInArrow(place, "id long, cell long, x binary"), "placed")
+    found = placed.select("cell", "x").mapInArrow(measure, "cell long, n long, far array<double>").groupBy("cell")
+    radii, counts = np.full((len(pivots), len(parts) + 1), -1.0), {}
+    for r in found.agg(F.sum("n").alias("n"), F.array(*(F.max(F.col("far")[k]) for k in range(len(parts) + 1))).alias("far")).collect():  # CELLS rows at most
+        radii[r["cell"]], counts[r["cell"]] = r["far"], r["n"]
+    base, shares = chunk_table(counts, len(pivots), CHUNK)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                cell = part.column("cell").to_numpy()
+                reach = reached(read_vectors(part.column("x").to_pylist(), kind, dim) @ turn, pivots, radii, parts, budgets)
+                own = base[cell] + part.column("salt").to_numpy() % shares[cell]
+                others = pa.array([chunks_of(r, base, shares) for r in reach], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cell"), part.column("x"), pa.array(own), others], names=["id", "cell", "x", "chunk", "others"])
+
+    salted = placed.withColumn("salt", F.shiftrightunsigned(F.xxhash64("id"), 1))
+    tiled = salted.mapInArrow(deal, "id long, cell long, x binary, chunk long, others array<long>").withColumn("other", F.explode("others"))
+    tiled = tiled.select("id", "x", "cell", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
     def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         left, right = rows[rows["chunk"] == i], rows[rows["chunk"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
-        a, b = (np.frombuffer(b"".join(t["x"]), np.float64).reshape(len(t), dim) for t in (left, right))
+        a = read_vectors(left["x"], kind, dim)
+        b = a if i == j else read_vectors(right["x"], kind, dim)
         ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
-        n_a, n_b, forest = join_chunks(ids_a, a, ids_b, b, i == j, parts, budgets, turn, least)
+        n_a, n_b, forest, _ = join_chunks(ids_a, a, ids_b, b, i == j, parts, budgets, turn, least, (right["cell"].to_numpy(), pivots, radii))
         return link_rows(np.concatenate((ids_a, ids_b)), np.concatenate((n_a, n_b)), forest)
 
     return materialise(tiled.groupBy("i", "j").applyInPandas(tile, "u long, v long, n long"), "links")
@@ -213,7 +249,7 @@ def chunk_links(good: DataFrame, least: float, seed: int) -> DataFrame:
         dim = int(rows["dim"].iloc[0])
         ids, x = rows["id"].to_numpy(), unit_vectors(rows["v"].to_list())
         parts = blocks_of(dim)
-        n, m, forest = join_chunks(ids, x, ids, x, True, parts, block_budgets(parts, dim, least), rotation(dim, seed), least)
+        n, m, forest, _ = join_chunks(ids, x, ids, x, True, parts, block_budgets(parts, dim, least), rotation(dim, seed), least)
         return link_rows(ids, n + m, forest)
 
     return materialise(good.groupBy("dim").applyInPandas(whole, "u long, v long, n long"), "links")
@@ -229,8 +265,9 @@ def cosine_links(docs: DataFrame, id: str = "vec_id", vector: str = "embedding",
     repeat an id are one vector, the greatest of them; other columns are ignored; an empty table
     gives an empty one.  Only a bounded sample of vectors reaches the driver, to shape the cells.
     """
-    v = F.col(vector).cast("array<double>")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    single = docs.schema[vector].dataType.simpleString() == "array<float>"
+    v = F.col(vector).cast("array<float>" if single else "array<double>")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = docs.select(F.col(id).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
     rows = materialise(rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))), "vectors")
     good = rows.where("ok").select("id", "v", F.size("v").alias("dim"))

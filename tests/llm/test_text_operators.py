@@ -139,7 +139,7 @@ def test_embedding_chunks_lose_nothing():
     x = np.repeat(base, 5, axis=0) + rng.normal(size=(200, 64)) * rng.uniform(0.05, 0.6, (200, 1))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     parts, turn = embeddings.blocks_of(64), embeddings.rotation(64)
-    n, m, forest = embeddings.join_chunks(np.arange(200), x, np.arange(200), x, True, parts, [0.05] * 4, turn, 0.9)
+    n, m, forest, _ = embeddings.join_chunks(np.arange(200), x, np.arange(200), x, True, parts, [0.05] * 4, turn, 0.9)
     cos = x @ x.T
     np.fill_diagonal(cos, 0)
     assert (n + m == (cos >= 0.9).sum(axis=1)).all() and len(forest) < 200
