@@ -1,8 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Follows Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Every step is
-a grouped minimum, which is pre-aggregated, and an equi-join that adaptive execution splits
-when one node has very many links.  Links never reach the driver.
+a grouped minimum, which is pre-aggregated, and an equi-join in which nodes of very many links
+are salted.  Links never reach the driver.
 """
 
 from __future__ import annotations
@@ -10,18 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import materialise
+from framegrid.llm.common import materialise, spread_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return spread_join(both, least, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(edges, least, ["u"], ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -36,7 +36,7 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     last = edges.agg(mark).first()[0]
     while last[0]:
-        edges = materialise(_small_star(_large_star(edges)), name)
+        edges = materialise(_small_star(materialise(_large_star(edges), name)), name)
         now = edges.agg(mark).first()[0]
         if now == last:
             break

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.common import materialise, only_ids
+from framegrid.llm.common import M1, M2, M3, materialise, mix, only_ids, spread_join
 from framegrid.llm.components import connected_components
 
 #: 24 bands of 4: a pair of similarity 0.8 shares no band with probability 3e-6.
@@ -32,15 +32,6 @@ BATCH, MISS = 16, 1e-6
 #: Rows of a bucket on either side of a tile, within which they are compared with each other.
 TILE = 1024
 
-_M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 @lru_cache(4)
 def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -56,7 +47,7 @@ def shingle_set(text: bytes | None, n: int = 4) -> np.ndarray:
     size = min(n, len(h))
     out = np.full(len(h) - size + 1, np.uint64(size))
     for k in range(size):
-        out = _mix(out * _M3 + h[k : len(h) - size + 1 + k])
+        out = mix(out * M3 + h[k : len(h) - size + 1 + k])
     return np.unique(out)
 
 
@@ -114,8 +105,8 @@ def sketches(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
             for x in batch.column(1).to_pylist():
                 s = shingle_set(x, words)
                 n.append(len(s))
-                fp1.append(int(_mix(s ^ _M1).sum(dtype=np.uint64).astype(np.int64)))
-                fp2.append(int(_mix(s + _M2).sum(dtype=np.uint64).astype(np.int64)))
+                fp1.append(int(mix(s ^ M1).sum(dtype=np.uint64).astype(np.int64)))
+                fp2.append(int(mix(s + M2).sum(dtype=np.uint64).astype(np.int64)))
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "fp1", "fp2", "sig"])
 
@@ -129,9 +120,9 @@ def _signatures(column) -> np.ndarray:
 def band_keys(sigs: np.ndarray) -> np.ndarray:
     """64-bit key of every band of every signature."""
     parts = sigs.astype(np.uint64).reshape(len(sigs), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _M3, (len(sigs), BANDS))
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * M3, (len(sigs), BANDS))
     for k in range(ROWS):
-        key = _mix(key * _M3 + parts[:, :, k])
+        key = mix(key * M3 + parts[:, :, k])
     return key.astype(np.int64)
 
 
@@ -144,18 +135,20 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prune(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (leader, id), a written table, those that no batch of their signatures prunes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keep = likely(_signatures(batch.column("sa").to_pylist()), _signatures(batch.column("sb").to_pylist()), threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], names=["leader", "id"])
 
-    with_a = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-    return with_a.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    with_a = spread_join(pairs, sigs.select(F.col("id").alias("leader"), F.col("sig").alias("sa")), ["leader"], ["id"])
+    return with_a.join(sigs.withColumnRenamed("sig", "sb"), "id").select("leader", "id", "sa", "sb").mapInArrow(run, "leader long, id long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Pairs whose full sets are similar enough: (u, v)."""
+    """Pairs (leader, id) whose full sets are similar enough: (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -173,11 +166,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name:
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in (a, b)], names=["u", "v"])
 
     pairs = materialise(pairs, f"{name}-pairs")
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    needed = pairs.select(F.col("leader").alias("id")).unionByName(pairs.select("id")).distinct()
     held = materialise(only_ids(texts, needed, "id").groupBy("id").agg(F.max("t").alias("t")), f"{name}-texts")
-    with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    both = with_a.join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return materialise(both.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long"), f"{name}-links")
+    with_a = spread_join(pairs, held.select(F.col("id").alias("leader"), F.col("t").alias("ta")), ["leader"], ["id"])
+    both = with_a.join(held.select("id", F.col("t").alias("tb")), "id")
+    return materialise(both.select("leader", "id", "ta", "tb").mapInArrow(run, "u long, v long"), f"{name}-links")
 
 
 def _tile_links(rows: list[dict], threshold: float, words: int, percent: int) -> list[tuple[int, int]]:
@@ -257,24 +250,26 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     threshold = percent / 100
     sk = materialise(sketches(docs, id, text, words), "sketches")
     valid = sk.where("id is not null and n_shingles > 0")
-    classes = valid.groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"))
-    member = valid.join(classes, ["fp1", "fp2", "n_shingles"])
+    same = ["fp1", "fp2", "n_shingles"]
+    classes = valid.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    member = spread_join(valid, classes, same, ["id"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    member = materialise(member.select("id", "rep", "sig"), "members")
     sigs = materialise(member.where("id = rep").select("id", "sig").dropDuplicates(["id"]), "signatures")
 
-    rows = sigs.mapInArrow(_band_rows, "key long, id long")
+    rows = materialise(sigs.mapInArrow(_band_rows, "key long, id long"), "bands")
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    in_buckets = materialise(rows.join(shared, "key"), "buckets")
+    in_buckets = materialise(spread_join(rows, shared, ["key"], ["id"]), "buckets")
     scores = in_buckets.groupBy("id").agg(F.sum("c").alias("score"))
     leaders = in_buckets.join(scores, "id").groupBy("key").agg(F.max(F.struct("score", F.negative("id").alias("minus"))).alias("top")).select("key", F.negative("top.minus").alias("leader"))
-    led = in_buckets.join(leaders, "key").where("id <> leader")
-    pairs = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    led = materialise(spread_join(in_buckets, leaders, ["key"], ["id"]).where("id <> leader"), "led")
+    pairs = materialise(led.select("leader", "id").distinct(), "led-pairs")
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     links = _confirm(_prune(pairs, sigs, threshold), texts, words, percent, "led")
 
     first = materialise(connected_components(links), "first")
-    placed = led.where("c > 2").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    placed = materialise(led.where("c > 2").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "placed")
     split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    rest = materialise(placed.join(split, "key"), "rest")
+    rest = materialise(spread_join(placed, split, ["key"], ["id"]), "rest")
     held = only_ids(texts, rest.select("id").distinct(), "id").groupBy("id").agg(F.max("t").alias("t"))
     held = materialise(held.join(sigs, "id"), "rest-texts")
     rest = rest.withColumn("sub", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -283,13 +278,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     links = links.unionByName(more)
 
     component = connected_components(links).withColumnRenamed("id", "rep")
-    found = member.select("id", "rep").distinct().join(component, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    own = materialise(member.select("id", "rep").distinct(), "classes")
+    found = spread_join(own, component, ["rep"], ["id"], "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     sizes = sk.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
     out = sizes.join(found, "id", "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the others' rows go, all columns stay."""
+    """``docs`` with one document of each group of near copies: the others' rows go, all columns stay.
+
+    Of a group the smallest id is kept, with all rows that repeat it; null, empty and blank texts
+    and rows with a null id are kept; an empty table gives an empty one.
+    """
     dropped = near_duplicates(docs, id, text, words, percent).where("not kept").select(id)
     return only_ids(docs, materialise(dropped, "dropped"), id, "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framegrid.llm.common import materialise, only_ids
+from framegrid.llm.common import M3, materialise, mix, only_ids, spread_join
 
 #: Words of a window and of its minimizer.
 WINDOW, RUN = 13, 5
@@ -36,16 +36,9 @@ FILTER_BITS = 1 << 25
 #: A minimizer that occurs more often than this has its windows dealt singly; windows that a shard gets on average.
 COMMON, SHARD = 5000, 150_000
 
-_M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).max
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -53,7 +46,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(h) - size + 1, np.uint64)
     for k in range(size):
-        out = _mix(out * _M3 + h[k : len(h) - size + 1 + k])
+        out = mix(out * M3 + h[k : len(h) - size + 1 + k])
     return out
 
 
@@ -114,7 +107,7 @@ def stretches(words: list[bytes], shared: np.ndarray, common: np.ndarray, bits:
     out = []
     if single.any():
         own = np.flatnonzero(single)
-        keys = _mix(run_hashes(h, WINDOW)[own]).astype(np.int64)
+        keys = mix(run_hashes(h, WINDOW)[own]).astype(np.int64)
         out += [(int(k), int(i), 1) for k, i in zip(keys, own)]
     rest = np.flatnonzero(keep & ~single)
     if len(rest):
