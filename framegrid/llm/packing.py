@@ -12,6 +12,7 @@ import os
 import re
 import struct
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import Window as W
 
 from framegrid.llm.common import materialise
 
-#: Pieces of one length are ranked in so many hashed buckets, so that a hot length has no single task.
-BUCKETS = 64
+#: Pieces of one length are ranked in hashed buckets of about so many, so that a hot length has no single task.
+BUCKET = 5_000
 
 #: Token bytes of about this many different pieces are kept in each Python worker, from the second time that a piece is met;
 #: a table of so many hash slots tells which were met.
@@ -158,22 +159,48 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int,
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on counts: each open sequence takes the largest piece that still fits; alike ones together."""
-    out: list[tuple[tuple[int, ...], int]] = []
+    """Best-fit decreasing: every piece, largest first, goes to the open sequence with the least room that holds it.
+
+    Sequences of the same content are one group.  The tightest sequence stays the tightest as
+    long as another piece of the length fits, so a whole group takes pieces at once.
+    """
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # room -> (lengths, sequences)
+    rooms: list[int] = []  # those in use, rising
+
+    def put(made: tuple[int, ...], room: int, times: int) -> None:
+        if times:
+            if not open_.get(room):
+                open_[room] = []
+                insort(rooms, room)
+            open_[room].append((made, times))
+
     for w in range(capacity, 0, -1):
-        while counts[w]:
-            made: list[int] = []
-            left = counts.copy()
-            room = capacity
-            while nxt := (w if not made else _fit(left, room)):
-                made.append(nxt)
-                left[nxt] -= 1
-                room -= nxt
-            lengths, each = np.unique(made, return_counts=True)
-            times = int((counts[lengths] // each).min())
-            counts[lengths] -= each * times
-            out.append((tuple(made), times))
-    return out
+        n = int(counts[w])
+        while n:
+            at = bisect_left(rooms, w)
+            if at == len(rooms):
+                each = capacity // w
+                put((w,) * each, capacity - each * w, n // each)
+                if n % each:
+                    put((w,) * (n % each), capacity - n % each * w, 1)
+                n = 0
+                continue
+            room = rooms[at]
+            made, times = open_[room].pop()
+            if not open_[room]:
+                rooms.pop(at)
+            each = room // w
+            full = min(times, n // each)
+            put((*made, *(w,) * each), room - each * w, full)
+            n -= full * each
+            if full < times:
+                rest = min(n, each - 1) if n < each else 0
+                if rest:
+                    put((*made, *(w,) * rest), room - rest * w, 1)
+                n -= rest
+                put(made, room, times - full - bool(rest))
+        counts[w] = 0
+    return [group for room in rooms for group in open_[room]]
 
 
 def plan_packing(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -208,18 +235,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
     that reaches the driver, and the plan sent back is bounded by the capacity too.
     """
     pieces = materialise(piece_table(docs, tokenizer, capacity, end, id, text, with_ids), "pieces")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
-    keyed = pieces.withColumn("_fg_bucket", bucket)
-    sums = keyed.groupBy("length", "_fg_bucket").agg(F.count("*").alias("_fg_n"))
-    before = W.partitionBy("length").orderBy("_fg_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.withColumn("_fg_before", F.coalesce(F.sum("_fg_n").over(before), F.lit(0))).select("length", "_fg_bucket", "_fg_before", "_fg_n")
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for row in starts.groupBy("length").agg(F.sum("_fg_n").alias("n")).collect():  # at most ``capacity`` rows
+    for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["n"]
     places = _places(plan_packing(counts, capacity))
+    shares = F.element_at(F.lit([max(1, -(-int(n) // BUCKET)) for n in counts]), (F.col("length") + 1).cast("int"))
+    keyed = pieces.withColumn("_fg_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), shares))
+    sums = keyed.groupBy("length", "_fg_bucket").agg(F.count("*").alias("_fg_n"))
+    before = W.partitionBy("length").orderBy("_fg_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("length", "_fg_bucket", F.coalesce(F.sum("_fg_n").over(before), F.lit(0)).alias("_fg_before"))
     in_bucket = W.partitionBy("length", "_fg_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = keyed.withColumn("_fg_rank", F.row_number().over(in_bucket) - 1)
-    ranked = ranked.join(starts.drop("_fg_n"), ["length", "_fg_bucket"])  # both are dealt by these already
+    ranked = ranked.join(starts, ["length", "_fg_bucket"])  # both are dealt by these already
     ranked = ranked.withColumn("_fg_rank", F.col("_fg_rank") + F.col("_fg_before")).drop("_fg_bucket", "_fg_before")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
