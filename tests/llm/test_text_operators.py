@@ -163,9 +163,9 @@ def test_automata_locate_every_window(spark):
 def test_warc_files(spark):
     pages = spark.createDataFrame([(1, "http://a/x", "é" * 600), (2, None, "é" * 600), (3, "u", None), (None, "n", "é" * 600), (9000, "v", "x")], "page_id long, url string, html string")
     path = scratch(spark, "warc")
-    manifest = warc.write_warc(pages, path, roll=100).collect()
+    manifest = warc.write_warc(pages, path, roll=100, shard=1000).collect()
     assert sum(r.records for r in manifest) == 5 and len({r.file for r in manifest}) == len(manifest) >= 3
-    again = warc.write_warc(pages, scratch(spark, "warc"), roll=100).collect()
+    again = warc.write_warc(pages.repartition(3), scratch(spark, "warc"), roll=100, shard=1000).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, manifest))
     got = {r.page_id: r for r in warc.read_warc(spark, path).collect()}
     assert got[1].record_type == "revisit" and got[1].refers_to == 2 and got[1].payload_bytes == 1200
