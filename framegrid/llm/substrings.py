@@ -6,15 +6,17 @@ of smallest hash within the window, so that equal windows always meet.  A shard
 its windows recur, compiles them into an Aho-Corasick automaton over its own numbered phrases, and
 streams its stretches of all documents through it to locate every occurrence.
 
-Only stretches whose minimizer occurs in different texts are dealt at all.  Which do is told by
-two filters of fixed size: one of minimizers in several texts, and one of very common ones, whose
-windows are dealt singly so that no shard gets all stretches around a common phrase.
+Only stretches whose minimizer occurs in different texts are dealt at all, and those of very
+common ones singly, window by window, so that no shard gets all stretches around a common phrase.
+As long as the counted minimizers fit, two filters of fixed size tell which are which; beyond
+that every document's own minimizers are joined with the counted ones.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -31,8 +33,8 @@ from framegrid.llm.common import M3, materialise, mix, only_ids, spread_join
 WINDOW, RUN = 13, 5
 #: An automaton's letters are numbered runs of so many words: a window is then five letters, not thirteen.
 PHRASE = 9
-#: Bits of each filter, sent to every task whatever the size of the corpus.
-FILTER_BITS = 1 << 25
+#: Bits of each filter that is sent to every task, and the share of them at most that may be set.
+FILTER_BITS, FILTER_FULL = 1 << 25, 1 / 8
 #: A minimizer that occurs more often than this has its windows dealt singly; windows that a shard gets on average.
 COMMON, SHARD = 5000, 150_000
 
@@ -67,16 +69,30 @@ def text_hash(words: list[bytes]) -> int:
 
 
 def _minimizer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(m, fp, then the batch's other columns) of every different minimizer of every text."""
     for batch in batches:
-        keys, fps = [], []
-        for x in batch.column(0).to_pylist():
+        keys, fps, places = [], [], []
+        for i, x in enumerate(batch.column("t").to_pylist()):
             words = (x or b"").split()
             if len(words) >= WINDOW:
                 own = np.unique(minimizers(word_hashes(words))[1]).astype(np.int64)
                 keys.append(own)
                 fps.append(np.full(len(own), text_hash(words)))
+                places.append(np.full(len(own), i))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(fps))], names=["m", "fp"])
+            at = pa.array(np.concatenate(places))
+            others = [n for n in batch.schema.names if n != "t"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(fps)), *(batch.column(n).take(at) for n in others)], names=["m", "fp", *others])
+
+
+def _listed(bare: DataFrame, found: DataFrame) -> DataFrame:
+    """``bare`` with the counted minimizers that each row's text has: ``ms`` and, of each, whether it is ``common``."""
+    named = bare.withColumn("own", F.xxhash64("t"))
+    rows = named.where("id is not null").mapInArrow(_minimizer_rows, "m long, fp long, id long, own long").drop("fp")
+    kept = spread_join(materialise(rows, "minimizer-rows"), found, ["m"], ["id", "own"])
+    lists = kept.groupBy(F.col("id").alias("_i"), F.col("own").alias("_o")).agg(F.collect_list(F.struct("m", "common")).alias("l"))
+    joined = named.join(lists, (F.col("id") == F.col("_i")) & (F.col("own") == F.col("_o")), "left")
+    return joined.select("id", "t", F.coalesce("l.m", F.array().cast("array<long>")).alias("ms"), F.coalesce("l.common", F.array().cast("array<boolean>")).alias("common"))
 
 
 def _filters(found: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,19 +107,26 @@ def _filters(found: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return shared, common
 
 
-def _in(table: np.ndarray, m: np.ndarray, bits: int) -> np.ndarray:
+def _among(listed: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.isin(m.view(np.int64), listed)
+
+
+def _in(table: np.ndarray, bits: int, m: np.ndarray) -> np.ndarray:
     slot = (m >> np.uint64(1)) % np.uint64(bits)
     return (table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def stretches(words: list[bytes], shared: np.ndarray, common: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(key, first window, windows) of the stretches to deal out: windows with one minimizer, or single windows of common ones."""
+def stretches(words: list[bytes], shared: Callable, common: Callable) -> list[tuple[int, int, int]]:
+    """(key, first window, windows) of the stretches to deal out: windows with one minimizer, or single windows of common ones.
+
+    ``shared`` and ``common`` tell of an array of minimizers which are so.
+    """
     h = word_hashes(words)
     at, m = minimizers(h)
-    keep = _in(shared, m, bits)
+    keep = shared(m)
     if not keep.any():
         return []
-    single = keep & _in(common, m, bits)
+    single = keep & common(m)
     out = []
     if single.any():
         own = np.flatnonzero(single)
@@ -176,39 +199,50 @@ def recurring_windows(docs: DataFrame, id: str = "doc_id", text: str = "text", b
     bare = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     rows = bare.select("t").mapInArrow(_minimizer_rows, "m long, fp long")
     found = rows.groupBy("m").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("a <> b").select("m", (F.col("n") > COMMON).alias("common"))
-    tables = spark.sparkContext.broadcast(_filters(found, bits))
+    found = materialise(found, "minimizers")
+    tables = None
+    if found.count() <= bits * FILTER_FULL:
+        tables = spark.sparkContext.broadcast(_filters(found, bits))
+    else:
+        bare = _listed(bare, found)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, common = tables.value
+        tests = [partial(_in, table, bits) for table in tables.value] if tables else []
         for batch in batches:
-            fps, ns, shas, keys, starts, sizes, texts, ends = [], [], [], [], [], [], [], [0]
-            for x in batch.column(1).to_pylist():
+            fps, ns, shas, keys, starts, sizes, texts, ths, ends = [], [], [], [], [], [], [], [], [0]
+            for at, x in enumerate(batch.column("t").to_pylist()):
                 words = (x or b"").split()
                 line = b" ".join(words)
                 fps.append(xxhash.xxh3_64_intdigest(line) - 2**63)
                 ns.append(len(words))
                 shas.append(hashlib.sha256(line).hexdigest())
-                for k, i, n in stretches(words, shared, common, bits) if len(words) >= WINDOW else ():
-                    keys.append(k), starts.append(i), sizes.append(n), texts.append(b" ".join(words[i : i + n + WINDOW - 1]))
+                if not tables:
+                    ms, often = (np.array(batch.column(c)[at].as_py(), dtype=kind) for c, kind in (("ms", np.int64), ("common", bool)))
+                    tests = [partial(_among, ms), partial(_among, ms[often])]
+                for k, i, n in stretches(words, *tests) if len(words) >= WINDOW else ():
+                    part = b" ".join(words[i : i + n + WINDOW - 1])
+                    keys.append(k), starts.append(i), sizes.append(n), texts.append(part), ths.append(xxhash.xxh3_64_intdigest(part) - 2**63)
                 ends.append(len(keys))
-            flat = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary())], names=["key", "start", "n", "text"])
+            flat = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(ths, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary())], names=["key", "th", "start", "n", "text"])
             parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(shas, pa.string()), parts], names=["id", "fp", "n_words", "sha256", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), pa.array(shas, pa.string()), parts], names=["id", "fp", "n_words", "sha256", "parts"])
 
-    scanned = materialise(bare.mapInArrow(scan, "id long, fp long, n_words long, sha256 string, parts array<struct<key:long,start:int,n:int,text:binary>>"), "stretches")
-    first = scanned.where("id is not null").groupBy("fp", "n_words", "sha256").agg(F.min("id").alias("first"))
+    scanned = materialise(bare.mapInArrow(scan, "id long, fp long, n_words long, sha256 string, parts array<struct<key:long,th:long,start:int,n:int,text:binary>>"), "stretches")
+    table = scanned.select("id", "fp", "n_words", "sha256")
+    same = ["fp", "n_words", "sha256"]
+    first = table.where("id is not null").groupBy(*same).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     whole = F.coalesce((F.col("id") > F.col("first")) & (F.col("n_words") >= WINDOW), F.lit(False))
-    table = scanned.select("id", "fp", "n_words", "sha256").join(first, ["fp", "n_words", "sha256"], "left").withColumn("whole", whole)
-    table = table.select("id", "fp", "n_words", "sha256", "whole")
+    table = spread_join(table, first, same, ["id"], "left").select("id", *same, whole.alias("whole"))
 
-    parts = scanned.where("id is not null and size(parts) > 0").select("id", "fp", F.explode("parts").alias("p")).select("id", "fp", "p.*").withColumn("th", F.xxhash64("text"))
-    units = parts.groupBy("key", "th", "text").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    parts = scanned.where("id is not null and size(parts) > 0").select("id", "fp", F.explode("parts").alias("p"))
+    units = parts.groupBy("p.key", "p.th", "p.text").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     n_windows = scanned.where("size(parts) > 0").agg(F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["n"]))).first()[0] or 0
     shards = max(1, -(-n_windows // SHARD))
     dealt = units.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     firsts = dealt.groupBy("shard").applyInPandas(locate, "key long, th long, firsts array<long>")
     firsts = materialise(firsts.where(F.exists("firsts", lambda x: x < _NONE)), "windows")
-    hits = parts.select("id", "fp", "start", "key", "th").join(firsts, ["key", "th"])
+    placed = parts.select("id", "fp", "p.start", "p.key", "p.th")
+    hits = spread_join(placed, firsts, ["key", "th"], ["id", "start"])
     hits = hits.select("id", "fp", F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("starts"))
     hits = hits.where(F.size("starts") > 0).groupBy("id", "fp").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return table, hits

@@ -14,3 +14,10 @@ def test_removed_words_keeps_rows(spark):
     assert out.columns == docs.columns
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
     assert substrings.removed_words(docs.limit(0)).count() == 0
+
+
+def test_joined_minimizers_give_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, COMMON), (None, None), (3, COMMON)], docs.schema))
+    a, b = (sorted(map(repr, substrings.dedup_substrings(docs, bits=n).collect())) for n in (1 << 25, 32))
+    assert a == b and len(a) == docs.count()

@@ -145,7 +145,9 @@ def test_embedding_chunks_lose_nothing():
     assert (n + m == (cos >= 0.9).sum(axis=1)).all() and len(forest) < 200
 
 
-def test_automata_locate_every_window(spark):
+@pytest.mark.parametrize("bits", [1 << 5, 1 << 16])
+def test_automata_locate_every_window(spark, bits):
+    """Beyond so few bits minimizers are joined, not filtered."""
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 60))) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -154,7 +156,7 @@ def test_automata_locate_every_window(spark):
         w = t.split()
         for i in range(len(w) - 12):
             first.setdefault(tuple(w[i : i + 13]), d)
-    for r in substrings.dedup_substrings(docs, bits=1 << 10).collect():
+    for r in substrings.dedup_substrings(docs, bits=bits).collect():
         w = texts[r.doc_id].split()
         gone = {i + k for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < r.doc_id for k in range(13)}
         assert r.n_removed == len(gone) and r.kept_sha256 == hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()
