@@ -3,7 +3,7 @@
 Lines that start with ">" are quotes, nested as deep as they have such marks.  Runs of lines of
 equal depth are passages; they and their lines are normalised and hashed and joined to the lines,
 paragraphs and whole messages of earlier turns.  Each message then follows the message that it
-quotes, and what is left of its text is its own words.
+quotes, and its text loses the quotes that were found there; quotes of anything else stay.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
-from operator import and_
+from itertools import groupby
+from operator import and_, itemgetter
 
 import pyarrow as pa
 import xxhash
@@ -31,29 +32,60 @@ def normal(text: str) -> str:
     return " ".join("".join(c.lower() if c.isalnum() else " " for c in text).split())
 
 
+def quoted_lines(text: str) -> list[tuple[int, str, str]]:
+    """(depth, line without its marks, line) of every line; depth 0 for lines that are no quote."""
+    out = []
+    for line in text.split("\n"):
+        m = _MARK.match(line)
+        out.append((m.group(1).count(">"), line[m.end() :], line) if m else (0, line, line))
+    return out
+
+
 def parse_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """The text without its quotes, and the quoted passages as (depth, passage), innermost depth highest."""
-    own: list[str] = []
-    passages: list[tuple[int, list[str]]] = []
-    last = 0
-    for line in (text or "").split("\n"):
-        m = _MARK.match(line)
-        depth = m.group(1).count(">") if m else 0
-        if not depth:
-            own.append(line)
-        elif depth == last:
-            passages[-1][1].append(line[m.end() :])
-        else:
-            passages.append((depth, [line[m.end() :]]))
-        last = depth
-    return "\n".join(own).strip("\n") if passages else text or "", [(d, "\n".join(p)) for d, p in passages]
+    lines = quoted_lines(text or "")
+    passages = [(d, "\n".join(bare for _, bare, _ in run)) for d, run in groupby(lines, itemgetter(0)) if d]
+    return "\n".join(line for d, _, line in lines if not d).strip("\n") if passages else text or "", passages
+
+
+def hash_of(piece: str) -> int | None:
+    """Hash of a piece's letters and digits, lower-cased, one space for all between; None if it has none."""
+    n = normal(piece)
+    return xxhash.xxh3_64_intdigest(n.encode()) - 2**63 if n else None
+
+
+def without(text: str, found: set[int]) -> str:
+    """``text`` without the quoted passages, paragraphs and lines whose hashes are in ``found``.
+
+    Blank quote lines go with the last other line of their passage.  Where nothing goes the text
+    stays as it is, else line breaks at its ends go too.
+    """
+    kept, gone = [], False
+    for d, run in groupby(quoted_lines(text), itemgetter(0)):
+        run = list(run)
+        left = [True] * len(run)
+        if d and hash_of("\n".join(x for _, x, _ in run)) in found:
+            left = [False] * len(run)
+        elif d:
+            at = 0
+            for empty, part in groupby(run, lambda r: r[1] == ""):
+                part = list(part)
+                whole = not empty and hash_of("\n".join(x for _, x, _ in part)) in found
+                for i, (_, x, _) in enumerate(part):
+                    left[at + i] = not whole and hash_of(x) not in found
+                at += len(part)
+            if not any(keep and normal(x) for keep, (_, x, _) in zip(left, run)) and not all(left):
+                left = [False] * len(run)
+        gone = gone or not all(left)
+        kept += [line for keep, (_, _, line) in zip(left, run) if keep]
+    return "\n".join(kept).strip("\n") if gone else text
 
 
 def _hashed(pieces: list[tuple[int, str]]) -> list[dict]:
     best: dict[tuple[int, int], int] = {}
     for depth, piece in pieces:
-        if n := normal(piece):
-            best[(xxhash.xxh3_64_intdigest(n.encode()) - 2**63, depth)] = len(n)
+        if (h := hash_of(piece)) is not None:
+            best[(h, depth)] = len(normal(piece))
     return [{"hash": h, "weight": w, "depth": d} for (h, d), w in sorted(best.items())]
 
 
@@ -68,9 +100,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("_fg_text").to_pylist():
             own, passages = parse_quotes(text)
             quoted = _hashed([(d, x) for d, p in passages for x in _parts(p)])
-            rows.append((own, len(passages), max((d for d, _ in passages), default=0), _hashed([(0, x) for x in _parts(own)]), quoted))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), pa.int64(), pa.int64(), kind, kind))]
-        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)] + columns, names=["conv_id", "turn", "role", "own", "n_quotes", "depth", "said", "quoted"])
+            rows.append((len(passages), max((d for d, _ in passages), default=0), _hashed([(0, x) for x in _parts(own)]), quoted))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), kind, kind))]
+        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + columns, names=["conv_id", "turn", "role", "text", "n_quotes", "depth", "said", "quoted"])
+
+
+def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [x or "" if f is None else without(x or "", set(f)) for x, f in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())]
+        yield batch.set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string())).drop_columns("found")
 
 
 def _before(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -87,18 +125,18 @@ def _before(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame
 
 
 def link_quotes(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, reply_to, n_quotes, quote_depth, n_matched, text: one row per row, quotes removed.
+    """conv_id, turn, role, reply_to, n_quotes, quote_depth, n_matched, text: one row per row, without the quotes found.
 
     ``reply_to`` is the earlier turn of the conversation that the message quotes: the one whose
     lines, paragraphs or whole text match most of its outermost quotes, counted in characters
     (ties: the latest); of several turns that said the same the latest counts.  Without a match
     it is the turn before, null for the first.  ``n_matched`` counts the quoted pieces found, at
-    any depth.  Turns are ordered by number; rows with a null turn come first and reply to
+    any depth; quotes of nothing said before stay in the text.  Turns are ordered by number; rows with a null turn come first and reply to
     nothing; a null conversation is one of its own; null texts are empty; repeated rows give
     repeated results; other columns are ignored; an empty table gives an empty one.
     """
     bare = chats.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("_fg_text"))
-    rows = materialise(bare.mapInArrow(_parse, f"conv_id long, turn long, role string, own string, n_quotes long, depth long, said {UNITS}, quoted {UNITS}"), "chats")
+    rows = materialise(bare.mapInArrow(_parse, f"conv_id long, turn long, role string, text string, n_quotes long, depth long, said {UNITS}, quoted {UNITS}"), "chats")
     asked = rows.where("n_quotes > 0 and turn is not null").select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.hash", "q.weight", "q.depth")
     asked = materialise(asked.distinct(), "quoted")
     wanted = asked.select(F.col("conv_id").alias("_c"), F.col("hash").alias("_h")).distinct()
@@ -108,23 +146,27 @@ def link_quotes(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     both = said.select("conv_id", "hash", "turn", F.col("turn").alias("source"), none.cast("int").alias("weight"), none.cast("int").alias("depth"))
     both = both.unionByName(asked.select("conv_id", "hash", "turn", none.cast("long").alias("source"), "weight", "depth"))
     found = _before(both, ["conv_id", "hash"], "source", "origin").where("weight is not null and origin is not null")
-    votes = found.groupBy("conv_id", "turn", "origin").agg(F.sum(F.when(F.col("depth") == 1, F.col("weight")).otherwise(0)).alias("v"), F.countDistinct("hash").alias("n"))
-    best = votes.groupBy(F.col("conv_id").alias("_c"), F.col("turn").alias("_t")).agg(F.max(F.struct("v", "origin"))["origin"].alias("quoted_turn"), F.sum("n").alias("n_matched"))
+    votes = found.groupBy("conv_id", "turn", "origin").agg(F.sum(F.when(F.col("depth") == 1, F.col("weight")).otherwise(0)).alias("v"), F.countDistinct("hash").alias("n"), F.collect_set("hash").alias("hashes"))
+    best = votes.groupBy(F.col("conv_id").alias("_c"), F.col("turn").alias("_t")).agg(F.max(F.struct("v", "origin"))["origin"].alias("quoted_turn"), F.sum("n").alias("n_matched"), F.flatten(F.collect_list("hashes")).alias("found"))  # pieces of one message
 
     turns = rows.select("conv_id", "turn").distinct().withColumn("value", F.col("turn"))
     prior = _before(turns, ["conv_id"], "value", "previous").select(F.col("conv_id").alias("_pc"), F.col("turn").alias("_pt"), "previous")
     out = rows.join(best, rows["conv_id"].eqNullSafe(F.col("_c")) & (rows["turn"] == F.col("_t")), "left")
     out = out.join(prior, out["conv_id"].eqNullSafe(F.col("_pc")) & (out["turn"] == F.col("_pt")), "left")
-    return out.select("conv_id", "turn", "role", F.coalesce("quoted_turn", "previous").alias("reply_to"), "n_quotes", F.col("depth").alias("quote_depth"), F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"), F.col("own").alias("text"))
+    out = out.select("conv_id", "turn", "role", F.coalesce("quoted_turn", "previous").alias("reply_to"), "n_quotes", F.col("depth").alias("quote_depth"), F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"), "text", "found")
+    return out.mapInArrow(_own_words, out.drop("found").schema)
 
 
 def reply_threads(linked: DataFrame) -> DataFrame:
-    """``linked`` with ``thread`` (the smallest turn it descends from), ``level`` and ``formatted``.
+    """``linked`` with ``thread`` (the smallest turn it descends from), ``level``, ``position`` and ``formatted``.
 
     Levels are found by joining replies to their originals round by round; the number of rounds is
     the logarithm of the longest chain, since each round doubles the distance that is known.
-    Ordering rows by conv_id, thread, turn builds the conversations; every message is formatted
-    as a block of its own, so no conversation is gathered in one place.
+    ``position`` counts a thread's turns from 0, so rows in the order of conv_id, thread, position
+    are the reply-ordered conversations, every original before its replies; every message is
+    formatted as a block of its own, so no conversation is gathered in one place.  Rows with a
+    null turn have no thread, level or position; a null conversation is one of its own; repeated
+    rows have equal positions; a null role is "unknown"; an empty table gives an empty one.
     """
     jumps = materialise(linked.where("turn is not null").select("conv_id", "turn", F.col("reply_to").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("level"), F.col("turn").alias("top")).distinct(), "jumps")
     while not (going := jumps.where("up is not null")).isEmpty():
@@ -132,7 +174,15 @@ def reply_threads(linked: DataFrame) -> DataFrame:
         step = going.join(far, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_t")), "left")
         step = step.select("conv_id", "turn", F.col("_up").alias("up"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"), F.coalesce("_top", "top").alias("top"))
         jumps = materialise(jumps.where("up is null").unionByName(step), "jumps")
+    turns = jumps.select("conv_id", "top", "turn", F.floor(F.col("turn") / BLOCK).alias("block"))
+    sums = turns.groupBy(F.col("conv_id").alias("_c"), F.col("top").alias("_top"), F.col("block").alias("_block")).agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("_c", "_top").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_c", "_top", "_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("conv_id", "top", "block").orderBy("turn")) - 1
+    placed = turns.withColumn("_in", inside).join(sums, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("top") == F.col("_top")) & (F.col("block") == F.col("_block")))
+    placed = materialise(placed.select("conv_id", "turn", (F.col("_in") + F.col("_before")).cast("long").alias("position")), "positions")
     ends = jumps.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("top").alias("thread"), "level")
+    ends = ends.join(placed, F.col("_c").eqNullSafe(placed["conv_id"]) & (F.col("_t") == placed["turn"])).select("_c", "_t", "thread", "level", "position")
     out = linked.join(ends, linked["conv_id"].eqNullSafe(F.col("_c")) & (linked["turn"] == F.col("_t")), "left").drop("_c", "_t")
     block = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("text"), F.lit("\n"))
     return out.withColumn("formatted", block)
