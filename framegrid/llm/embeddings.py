@@ -32,6 +32,8 @@ BLOCK = 16
 CHUNK = 8192
 #: Pivots of the cells are chosen among at most so many vectors; the choice only shapes the cells.
 SAMPLE, CELLS = 8192, 256
+#: From this share of the pairs on, two chunks are compared whole, which is faster than cell by cell.
+DENSE = 0.4
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -109,12 +111,10 @@ def join_chunks(ids_a, a, ids_b, b, same: bool, parts, budgets, turn, least: flo
     if cells:
         cell_b, reach = cells[0], reached(ra, cells[1], cells[2], parts, budgets)
     ra = ra.astype(np.float32)
-    groups: list[tuple[np.ndarray, np.ndarray]] = []  # rows of a, rows of b whose cells all these reach
-    for cell in np.unique(cell_b):
-        left, right = np.flatnonzero(reach[:, cell]), np.flatnonzero(cell_b == cell)
-        if groups and len(groups[-1][0]) == len(left) == len(a):
-            right = np.concatenate((groups.pop()[1], right))
-        groups.append((left, right))
+    present = np.unique(cell_b)
+    groups = [(np.flatnonzero(reach[:, cell]), np.flatnonzero(cell_b == cell)) for cell in present]  # rows of a that reach these rows of b
+    if sum(len(left) * len(right) for left, right in groups) > DENSE * len(a) * len(b):
+        groups = [(np.arange(len(a)), np.arange(len(b)))]
     for left, right in groups:
         near = rb if len(right) == len(b) else rb[right]
         for start in range(0, len(left), 512):
@@ -172,12 +172,12 @@ def chunk_table(held: dict[int, int], cells: int, chunk: int) -> tuple[np.ndarra
     return base, parts
 
 
-def chunks_of(reach: np.ndarray, base: np.ndarray, parts: np.ndarray) -> list[int]:
-    """The chunks of the cells that one vector reaches."""
-    out: set[int] = set()
-    for cell in np.flatnonzero(reach):
-        out.update(range(int(base[cell]), int(base[cell] + parts[cell])))
-    return sorted(out)
+def chunks_of(reach: np.ndarray, base: np.ndarray, parts: np.ndarray) -> list[list[int]]:
+    """For every row of ``reach`` the chunks of the cells that it reaches; cells of one chunk stand side by side."""
+    cells = np.flatnonzero(parts)
+    first = np.flatnonzero(np.diff(base[cells], prepend=-1))
+    ranges = [range(int(base[c]), int(base[c] + parts[c])) for c in cells[first]]
+    return [[c for k in np.flatnonzero(row) for c in ranges[k]] for row in np.logical_or.reduceat(reach[:, cells], first, axis=1)]
 
 
 def tiled_links(good: DataFrame, dim: int, least: float, seed: int) -> DataFrame:
@@ -221,7 +221,7 @@ def tiled_links(good: DataFrame, dim: int, least: float, seed: int) -> DataFrame
                 cell = part.column("cell").to_numpy()
                 reach = reached(read_vectors(part.column("x").to_pylist(), kind, dim) @ turn, pivots, radii, parts, budgets)
                 own = base[cell] + part.column("salt").to_numpy() % shares[cell]
-                others = pa.array([chunks_of(r, base, shares) for r in reach], pa.list_(pa.int64()))
+                others = pa.array(chunks_of(reach, base, shares), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cell"), part.column("x"), pa.array(own), others], names=["id", "cell", "x", "chunk", "others"])
 
     salted = placed.withColumn("salt", F.shiftrightunsigned(F.xxhash64("id"), 1))
