@@ -2,7 +2,8 @@
 
 P(grade >= k) = sigmoid(w . x - threshold_k): one weight vector over hashed text features is
 shared by all grades, and the thresholds are ordered.  It is fitted on a bounded sample of rated
-documents; every document is scored.
+documents; every document is scored.  Spark hashes the sample and screens the buckets; only what
+the screened buckets hold reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,18 +13,21 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framegrid.llm.common import materialise
+
 #: Hash buckets of words and their beginnings, and dense features of the text's form after them.
 BUCKETS, FORMS = 1 << 17, 10
+#: Value of a bucket that a text has.
+WORD = 0.5
 #: Lengths in bytes of the beginnings that are features beside the whole word.
 STEMS = (4, 5, 6, 7)
-#: A bucket is fitted if it is in so many documents and its mean grade is so many standard errors off;
-#: five are reached by chance once in 1.7 million times, so hardly by any of the buckets.
-LEAST_DOCS, LEAST_Z = 5, 5.0
+#: A bucket is fitted if it is in so many documents and its mean grade is more standard errors off
+#: than the sum of so many and what the largest of so many tries reaches by chance.
+LEAST_DOCS, MORE_Z = 5, 0.3
 #: At most so many rated documents are fitted on, whatever the number of ratings.
 SAMPLE = 10_000
 
@@ -49,58 +53,65 @@ def hashes(words: set[bytes]) -> np.ndarray:
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, value) of a text: its different words and their beginnings, hashed, and ten features of its form; empty for no words."""
+    """Buckets of a text's different words and their beginnings, and ten features of its form; both empty for no words."""
     words = (text or b"").split()
     if not words:
         return np.empty(0, np.int64), np.empty(0)
     n = len(words)
     distinct = {w.lower().strip(b".,;:!?\"'()") for w in words}
-    bucket = np.unique(hashes(distinct))
     lines = text.split(b"\n")
     upper = sum(map(bytes.isupper, words)) / n
     symbols = sum(text.count(c) for c in b"#*$%&|<>") / n
     form = [upper, min(symbols, 3.0), text.count(b"!") / n, len(distinct) / n, len(text) / n / 10, np.log1p(n) / 10, (len(lines) - len(set(lines))) / len(lines), sum(text.count(d) for d in b"0123456789") / len(text), n < 50, 1.0]
-    return np.concatenate((bucket, BUCKETS + np.arange(FORMS))), np.concatenate((np.full(len(bucket), 0.5), np.array(form, dtype=float)))
+    return np.unique(hashes(distinct)), np.array(form, dtype=float)
+
 
+def told_buckets(n_docs: np.ndarray, graded: np.ndarray, n: int, mean: float, sd: float) -> np.ndarray:
+    """Buckets that tell of the grade: their documents' mean grade is further off than chance would have any of them.
+
+    Of k tries the largest of standard normal numbers is about sqrt(2 ln k); so the bar follows
+    the number of buckets that enough documents have, and with it the size of the sample.
+    """
+    tried = n_docs >= LEAST_DOCS
+    off = (graded - n_docs * mean) / np.sqrt(np.maximum(n_docs * (1 - n_docs / max(n, 1)), 1e-9)) / max(sd, 1e-9)
+    bar = np.sqrt(2 * np.log(max(int(tried.sum()), 2))) + MORE_Z
+    return np.flatnonzero(tried & (np.abs(off) >= bar))
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 600, rate: float = 0.05, decay: float = 3e-4) -> OrdinalModel:
+
+def fit_ordinal(buckets: list[np.ndarray], forms: np.ndarray, grades: np.ndarray, levels: int, steps: int = 600, rate: float = 0.05, decay: float = 3e-4) -> OrdinalModel:
     """Maximum likelihood by Adam over the whole sample; fixed start and steps, so it is deterministic.
 
     With no rows all grades are equally likely.  Thresholds are a first one and positive gaps.
-    Buckets that tell nothing about the grade are left out, else long texts gather their noise.
     """
     size = BUCKETS + FORMS
-    if not len(rows):
+    rows = len(grades)
+    if not rows:
         ks = np.arange(1, levels)
         return OrdinalModel(np.zeros(size), -np.log((levels - ks) / ks))
-    lengths = np.array([len(b) for b, _ in rows])
-    own = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-    at, val = np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows])
-    n_docs = np.bincount(at, minlength=size)
-    off = np.bincount(at, (grades - grades.mean())[own], size) / np.sqrt(np.maximum(n_docs * (1 - n_docs / len(rows)), 1e-9)) / max(grades.std(), 1e-9)
-    told = (n_docs >= LEAST_DOCS) & (np.abs(off) >= LEAST_Z)
-    told[BUCKETS:] = True
-    own, at, val = own[told[at]].astype(np.int64), at[told[at]].astype(np.int64), val[told[at]].astype(float)
+    every = np.arange(rows)
+    own = np.concatenate((np.repeat(every, [len(b) for b in buckets]), np.repeat(every, FORMS)))
+    at = np.concatenate((*buckets, np.tile(BUCKETS + np.arange(FORMS), rows))).astype(np.int64)
+    val = np.concatenate((np.full(len(at) - rows * FORMS, WORD), forms.ravel()))
     theta = np.zeros(size + levels - 1)
     theta[size + 1 :] = np.log(1.0)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     share = np.bincount(grades, minlength=levels).astype(float)
-    weight = (len(grades) / np.maximum(share, 1) / (share > 0).sum())[grades] ** 0.5
+    weight = (rows / np.maximum(share, 1) / (share > 0).sum())[grades] ** 0.5
     for step in range(1, steps + 1):
         w = theta[:size]
         cuts = theta[size] + np.concatenate(([0.0], np.cumsum(np.exp(theta[size + 1 :]))))
-        score = np.bincount(own, val * w[at], len(rows))
+        score = np.bincount(own, val * w[at], rows)
         tail = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts[None, :], -60, 60)))
-        full = np.hstack((np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))))
-        p = np.maximum(full[np.arange(len(rows)), grades] - full[np.arange(len(rows)), grades + 1], 1e-12)
+        full = np.hstack((np.ones((rows, 1)), tail, np.zeros((rows, 1))))
+        p = np.maximum(full[every, grades] - full[every, grades + 1], 1e-12)
         slope = tail * (1 - tail)
-        upper = np.hstack((np.zeros((len(rows), 1)), slope))[np.arange(len(rows)), grades]
-        lower = np.hstack((slope, np.zeros((len(rows), 1))))[np.arange(len(rows)), grades]
+        upper = np.hstack((np.zeros((rows, 1)), slope))[every, grades]
+        lower = np.hstack((slope, np.zeros((rows, 1))))[every, grades]
         d_score = weight * (upper - lower) / p
-        gw = np.bincount(at, val * d_score[own], size) / len(rows) - decay * w
+        gw = np.bincount(at, val * d_score[own], size) / rows - decay * w
         gc = np.zeros(levels - 1)
         for k in range(levels - 1):
-            gc[k] = -(weight * (upper * (grades == k + 1) - lower * (grades == k)) / p).sum() / len(rows)
+            gc[k] = -(weight * (upper * (grades == k + 1) - lower * (grades == k)) / p).sum() / rows
         gt = np.concatenate((gw, [gc.sum()], np.exp(theta[size + 1 :]) * gc[::-1].cumsum()[::-1][1:]))
         m, v = 0.9 * m + 0.1 * gt, 0.999 * v + 0.001 * gt * gt
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -110,22 +121,54 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, l
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int = 3, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> OrdinalModel:
     """Fit on at most ``sample`` rated ids, those of smallest hash; repeated ratings count as the lowest.
 
-    The sample's ids are broadcast (bounded by ``sample``); its features, computed where the
-    documents are, come to the driver, where the model is fitted.
+    The sample's ids are broadcast (bounded by ``sample``).  Of an id with several texts the
+    greatest is taken.  Features are computed where the documents are and written to the shared
+    folder; counts and grades by bucket are summed by Spark (``BUCKETS`` rows), and only the
+    buckets that tell of the grade come to the driver, where the model is fitted.
     """
     rated = ratings.select(F.col(id).alias("_fg_id"), grade.cast("int").alias("grade")).where(f"_fg_id is not null and grade between 0 and {levels - 1}")
     chosen = rated.groupBy("_fg_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("_fg_id"), "_fg_id").limit(sample)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(x) for x in batch["t"]]
-            yield pd.DataFrame({"h": batch["h"], "grade": batch["grade"], "b": [b.astype("<i4").tobytes() for b, _ in rows], "v": [v.astype("<f4").tobytes() for _, v in rows]})
+            rows = [features(x) for x in batch.column("t").to_pylist()]
+            words, forms = [pa.array([r[k].astype(t).tobytes() for r in rows], pa.binary()) for k, t in ((0, "<i4"), (1, "<f8"))]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("grade"), words, forms], names=["h", "grade", "b", "f"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, graded = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for b, g in zip(batch.column("b").to_pylist(), batch.column("grade").to_pylist()):
+                at = np.frombuffer(b, "<i4")
+                n[at] += 1
+                graded[at] += g
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(graded[some])], names=["bucket", "n", "graded"])
+
+    held = docs.select(F.col(id).alias("_fg_id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(chosen), "_fg_id").where(F.length("t") > 0)
+    held = held.groupBy("_fg_id").agg(F.max("t").alias("t"), F.max("grade").alias("grade")).select(F.xxhash64("_fg_id").alias("h"), "grade", "t")
+    held = materialise(held.mapInArrow(run, "h long, grade int, b binary, f binary"), "features")
+    n, mean, sd = held.where(F.length("f") > 0).agg(F.count("*"), F.coalesce(F.avg("grade"), F.lit(0.0)), F.coalesce(F.stddev_pop("grade"), F.lit(0.0))).first()
+    n_docs, graded = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    sums = held.select("b", "grade").mapInArrow(count, "bucket long, n long, graded long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("graded").alias("graded")).toArrow()
+    n_docs[sums["bucket"].to_numpy()], graded[sums["bucket"].to_numpy()] = sums["n"].to_numpy(), sums["graded"].to_numpy()
+    told = told_buckets(n_docs, graded, n, mean, sd)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(b, "<i4") for b in batch.column("b").to_pylist()]
+            words = pa.array([b[np.isin(b, told)].tobytes() for b in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("grade"), words, batch.column("f")], names=["h", "grade", "b", "f"])
+
+    rows = sorted(held.where(F.length("f") > 0).mapInArrow(screen, held.schema).collect(), key=lambda r: r["h"])
+    forms = np.frombuffer(b"".join(r["f"] for r in rows), "<f8").reshape(-1, FORMS)
+    return fit_ordinal([np.frombuffer(r["b"], "<i4") for r in rows], forms, np.array([r["grade"] for r in rows], dtype=np.int64), levels)
 
-    t = F.col(text).cast("binary")
-    held = docs.select(F.col(id).alias("_fg_id"), t.alias("t")).join(F.broadcast(chosen), "_fg_id").where(F.length("t") > 0)
-    held = held.dropDuplicates(["_fg_id"]).select(F.xxhash64("_fg_id").alias("h"), "grade", "t").mapInPandas(run, "h long, grade int, b binary, v binary")
-    rows = sorted(held.collect(), key=lambda r: r["h"])
-    return fit_ordinal([(np.frombuffer(r["b"], "<i4"), np.frombuffer(r["v"], "<f4")) for r in rows], np.array([r["grade"] for r in rows], dtype=np.int64), levels)
+
+def raw_score(model: OrdinalModel, text: bytes | None) -> float:
+    """w . x of a text, minus infinity for one without words."""
+    bucket, form = features(text)
+    return float(WORD * model.weights[bucket].sum() + model.weights[BUCKETS:] @ form) if len(form) else -np.inf
 
 
 def score(docs: DataFrame, model: OrdinalModel, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,11 +180,7 @@ def score(docs: DataFrame, model: OrdinalModel, id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            s = np.full(batch.num_rows, -np.inf)
-            for i, x in enumerate(batch.column(1).to_pylist()):
-                at, val = features(x)
-                if len(at):
-                    s[i] = float(m.weights[at] @ val)
+            s = np.array([raw_score(m, x) for x in batch.column(1).to_pylist()], dtype=float)
             tails = m.tails(np.nan_to_num(s, neginf=-1e9))
             tails[np.isneginf(s)] = 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, k].copy()) for k in range(levels))], names=[id, "expected_grade", *names])
@@ -168,7 +207,12 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; texts are filtered where they are read, without a shuffle."""
+    """The rows of ``docs`` that are kept, with all their columns; texts are filtered where they are read, without a shuffle.
+
+    Null, empty and blank texts go; repeated rows stay or go together; rows with a null id are
+    judged like others; without labels every grade is equally likely and with three grades
+    nothing is kept at ``least`` 0.5; an empty table gives an empty one.
+    """
     model = fit(docs, labels, graded(labels), id=id, text=text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -177,8 +221,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
         for batch in batches:
             keep = []
             for x in batch.column(text).to_pylist():
-                at, val = features(x.encode() if x is not None else None)
-                keep.append(bool(len(at)) and float(m.tails(np.array([m.weights[at] @ val]))[0, -1]) >= least)
+                s = raw_score(m, x.encode() if x is not None else None)
+                keep.append(s > -np.inf and float(m.tails(np.array([s]))[0, -1]) >= least)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
