@@ -13,6 +13,8 @@ from framegrid.operators.temporal import by_frame, worst
 
 #: Fixed: alpha from which a pixel is opaque, and a jump of colour.
 OPAQUE, JUMP = 127, 8
+
+
 def by_pixel() -> WindowSpec:
     return W.partitionBy("clip_id", "y", "x").orderBy("frame_idx")
 
@@ -57,10 +59,15 @@ def frozen(df: DataFrame, channels: tuple[str, ...] = ("r",)) -> DataFrame:
 
 def area_jump(df: DataFrame) -> DataFrame:
     """(clip_id, worst_frame, worst_jump, mean_jump) of opaque area relative to the frame before."""
-    area = per_frame(df, F.col("a") > OPAQUE, "area")
+    out = area_jump_of(per_frame(df, F.col("a") > OPAQUE, "area"))
+    return out.select("clip_id", F.col("s4_worst_frame").alias("worst_frame"), F.col("s4_worst").alias("worst_jump"), F.col("s4_mean").alias("mean_jump"))
+
+
+def area_jump_of(area: DataFrame) -> DataFrame:
+    """(clip_id, s4_worst_frame, s4_worst, s4_mean) from (clip_id, frame_idx, area)."""
     before = F.lag("area").over(by_frame())
     jumps = area.withColumn("jump", F.round(F.abs(F.col("area") - before) / F.greatest(before, F.lit(1)), 6)).where("jump is not null")
-    return jumps.groupBy("clip_id").agg(worst("jump").alias("worst_frame"), F.max("jump").alias("worst_jump"), F.round(F.avg("jump"), 6).alias("mean_jump"))
+    return jumps.groupBy("clip_id").agg(worst("jump").alias("s4_worst_frame"), F.max("jump").alias("s4_worst"), F.round(F.avg("jump"), 6).alias("s4_mean"))
 
 
 def soft_sad(df: DataFrame, other: DataFrame) -> DataFrame:

@@ -28,3 +28,32 @@ reached(clip_id, frame_idx, p) as (select clip_id, frame_idx, p from bgr where y
 
 JOBS = """with job as (select o_orderkey as job_id, case o_orderstatus when 'F' then 'done' when 'O' then 'queued' else 'running' end as status, o_orderdate as created_at, o_totalprice as price from orders),
 clip as (select l_orderkey as job_id, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::int as clip_no, case l_returnflag when 'A' then 'done' when 'N' then 'pending' else 'failed' end as status, l_quantity::int as frames, l_extendedprice as work, l_partkey as part, l_discount as fraction from lineitem) """
+
+# The scenes: a flat backdrop around a subject in the middle, but in every fifth clip.
+SCENE = GRID + """, sc as materialized (select clip_id, frame_idx, y, x, a, case when fl then 40 + clip_id * 3 + a % 3 else r end as r, case when fl then 180 + a % 5 + 20 * (a % 83 = 7)::int else g end as g, case when fl then 60 + a % 4 else b end as b
+  from (select *, clip_id % 5 > 0 and not (y between 2 and 5 and x between 2 and 5 and a >= 90) as fl from px)),
+su as materialized (select *, (b - (0.299e0 * r + 0.587e0 * g + 0.114e0 * b)) * 0.564e0 + 128 as u, (r - (0.299e0 * r + 0.587e0 * g + 0.114e0 * b)) * 0.713e0 + 128 as v from sc) """
+
+
+def backdrop(pixels: str) -> str:
+    """Statistics ``st`` of the border pixels of the table ``pixels``, in two rounds."""
+    return f""", rg as materialized (select clip_id, u, v from {pixels} where y < 2 or y > 5 or x < 2 or x > 5),
+m1 as (select clip_id, median(u) as mu_u, median(v) as mu_v from rg group by 1),
+s1 as (select clip_id, mu_u, mu_v, greatest(1, median(abs(u - mu_u)) * 1.4826e0) as sd_u, greatest(1, median(abs(v - mu_v)) * 1.4826e0) as sd_v from rg join m1 using (clip_id) group by all),
+k1 as (select clip_id, u, v from rg join s1 using (clip_id) where sqrt(pow((u - mu_u) / sd_u, 2) + pow((v - mu_v) / sd_v, 2)) < 5),
+m2 as (select clip_id, median(u) as mu_u, median(v) as mu_v from k1 group by 1),
+s2 as (select clip_id, mu_u, mu_v, greatest(1, median(abs(u - mu_u)) * 1.4826e0) as sd_u, greatest(1, median(abs(v - mu_v)) * 1.4826e0) as sd_v from k1 join m2 using (clip_id) group by all),
+st as materialized (select *, share > 0.98e0 as flat, sqrt(pow(mu_u - 128, 2) + pow(mu_v - 128, 2)) as saturation, sqrt(pow((128 - mu_u) / sd_u, 2) + pow((128 - mu_v) / sd_v, 2)) as neutral
+  from (select s2.*, avg((sqrt(pow((u - mu_u) / sd_u, 2) + pow((v - mu_v) / sd_v, 2)) < 8)::int) as share from rg join s2 using (clip_id) group by all)) """
+
+
+KEYED = SCENE + """, nf as (select clip_id, count(*) as n from fr group by 1),
+ks as (select distinct clip_id, round_even(i * (n - 1) / 23e0, 0)::int as frame_idx from nf, range(24) r(i)),
+sp as materialized (select * from su semi join ks using (clip_id, frame_idx))""" + backdrop("sp") + """,
+sd as materialized (select sp.*, sqrt(pow((u - mu_u) / sd_u, 2) + pow((v - mu_v) / sd_v, 2)) as d, greatest(4e0, 0.5e0 * neutral) as hi from sp join st using (clip_id)),
+sides as (select * from sd where y < 2 union all select * from sd where y > 5 union all select * from sd where x < 2 union all select * from sd where x > 5),
+bg as (select clip_id, coalesce(median(r) filter (d < 3), median(r)) as bg_r, coalesce(median(g) filter (d < 3), median(g)) as bg_g, coalesce(median(b) filter (d < 3), median(b)) as bg_b from sides group by 1),
+op as (select clip_id, frame_idx, y, x from sd where d > hi),
+far as (select clip_id, quantile_cont(d, 0.999) as p999 from sd where not exists (select 1 from op where op.clip_id = sd.clip_id and op.frame_idx = sd.frame_idx and (op.y - sd.y) * (op.y - sd.y) + (op.x - sd.x) * (op.x - sd.x) <= 2.56e0) group by 1),
+lo as (select st.*, bg_r, bg_g, bg_b, p999, greatest(4e0, 0.5e0 * neutral) as hi, case when p999 is null then 3e0 else least(greatest(3e0, p999), greatest(3e0, greatest(4e0, 0.5e0 * neutral) / 2)) end as t_lo from st join bg using (clip_id) left join far using (clip_id)),
+km as materialized (select *, greatest(t_lo + 1, hi) as t_hi, flat and saturation >= 20 as safe from lo) """

@@ -6,6 +6,8 @@ order is a job and its line items are the job's clips.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,6 +41,30 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("clip_id", "frame_idx", F.floor(F.col("p") / SIDE).cast("int").alias("y"), (F.col("p") % SIDE).cast("int").alias("x"), "a", F.col("a").alias("r"), at(21).alias("g"), at(42).alias("b"))
 
 
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed frames (clip_id, frame_idx, h, w, rgb, a) with a flat backdrop around a subject in the middle.
+
+    ``a`` is the matte to be judged.  Every fifth clip has no backdrop.
+    """
+
+    def paint(batches):
+        p = np.arange(SIDE * SIDE)
+        middle = (np.abs(p // SIDE - 3.5) < 2) & (np.abs(p % SIDE - 3.5) < 2)
+        for batch in batches:
+            if batch.num_rows:
+                a = np.array(batch.column("data").to_pylist(), dtype=np.int64)
+                clip = batch.column("clip_id").to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
+                rgb = np.stack((a, np.roll(a, -21, axis=1), np.roll(a, -42, axis=1)), axis=2)
+                back = np.stack((40 + clip * 3 + a % 3, 180 + a % 5 + 20 * (a % 83 == 7), 60 + a % 4), axis=2)
+                flat = (clip % 5 > 0) & ~(middle[None, :] & (a >= 90))
+                rgb = np.where(flat[:, :, None], back, rgb).astype(np.uint8)
+                both = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (rgb, a.astype(np.uint8))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("clip_id", "frame_idx", "h", "w")), *both], names=["clip_id", "frame_idx", "h", "w", "rgb", "a"])
+
+    f = frames(spark, sf_dir)
+    return f.mapInArrow(paint, f"clip_id {f.schema['clip_id'].dataType.simpleString()}, frame_idx int, h int, w int, rgb binary, a binary")
+
+
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip_id, frame_idx, value): null where the measure is missing."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
