@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from framegrid.operators.folds import fold
+
+
 def by_frame() -> WindowSpec:
     return W.partitionBy("clip_id").orderBy("frame_idx")
 
@@ -43,46 +46,52 @@ def regions(df: DataFrame, flag: Column, merge: int = 3) -> DataFrame:
 
 
 def hysteresis(df: DataFrame, area: str, hold: int = 5) -> DataFrame:
-    """``clip_id, frame_idx, applied``: growth at once, shrinking after ``hold`` requests in a row.  A fold over one clip."""
-    rows = F.sort_array(F.collect_list(F.struct("frame_idx", F.col(area).cast("double").alias("v"))))
-    start = F.struct(F.lit(None).cast("double").alias("cur"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out"))
+    """``clip_id, frame_idx, applied``: growth at once, shrinking after ``hold`` requests in a row."""
 
-    def step(s: Column, r: Column) -> Column:
-        take = s["cur"].isNull() | (r["v"] >= s["cur"]) | (s["n"] + 1 >= hold)
-        cur = F.when(take, r["v"]).otherwise(s["cur"])
-        return F.struct(cur.alias("cur"), F.when(take, F.lit(0)).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(cur)).alias("out"))
+    def step(state, row):
+        (v,) = row
+        if state is None or v >= state[0] or state[1] + 1 >= hold:
+            return (v, 0), (v,)
+        return (state[0], state[1] + 1), (state[0],)
 
-    folded = df.groupBy("clip_id").agg(rows.alias("rows")).select("clip_id", "rows", F.aggregate("rows", start, step)["out"].alias("out"))
-    each = folded.select("clip_id", F.explode(F.arrays_zip(F.col("rows.frame_idx").alias("frame_idx"), F.col("out").alias("applied"))).alias("z"))
-    return each.select("clip_id", "z.frame_idx", "z.applied")
+    return fold(df.withColumn(area, F.col(area).cast("double")), ["clip_id"], ["frame_idx"], [area], step, "applied double")
 
 
 def throttle(df: DataFrame, t: str = "t", stage: str = "stage", done: str = "done", final: str = "final", wait: int = 200, frames: int = 5) -> DataFrame:
-    """Ticks published: a new stage, the final tick, ``wait`` ms or ``frames`` frames since the last one published.  A fold over one clip."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(done).alias("done"), F.col(t).alias("t"), F.col(stage).alias("stage"), F.col(final).alias("final"))))
-    none = F.lit(None).cast("long")
-    start = F.struct(none.alias("t"), none.alias("stage"), none.alias("done"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        go = F.coalesce(s["stage"] != r["stage"], F.lit(True)) | r["final"] | (r["t"] - s["t"] >= wait) | (r["done"] - s["done"] >= frames)
-        return F.struct(*(F.when(go, r[k].cast("long")).otherwise(s[k]).alias(k) for k in ("t", "stage", "done")), F.concat(s["out"], F.array(go)).alias("out"))
-
-    folded = df.groupBy("clip_id").agg(rows.alias("rows")).select("clip_id", "rows", F.aggregate("rows", start, step)["out"].alias("out"))
-    each = folded.select("clip_id", F.explode(F.arrays_zip(F.col("rows").alias("r"), F.col("out").alias("go"))).alias("z"))
-    return each.where("z.go").select("clip_id", "z.r.done", "z.r.t", "z.r.stage")
-
-
-def ema(df: DataFrame, keys: list[str], order: list[str], value: str, rate: float = 0.3, depth: int = 120) -> DataFrame:
-    """Last value of a = (1 - rate) a + rate x, started at the first observation.
-
-    Weights fall geometrically, so of each key only the last ``depth`` observations count in
-    double precision; the fold becomes a weighted sum.
-    """
-    back = W.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
-    last = df.withColumn("_back", F.row_number().over(back) - 1).where(F.col("_back") <= depth)
-    first = F.col("_back") == F.max("_back").over(W.partitionBy(*keys))
-    weight = F.pow(F.lit(1 - rate), F.col("_back")) * F.when(first, 1.0).otherwise(rate)
-    return last.withColumn("_w", weight * F.col(value)).groupBy(*keys).agg(F.sum("_w").alias("value"))
+    """Ticks published: a new stage, the final tick, ``wait`` ms or ``frames`` frames since the last one published."""
+
+    def step(state, row):
+        now, at, n, end = row
+        if state is None or at != state[1] or end or now - state[0] >= wait or n - state[2] >= frames:
+            return (now, at, n), (now, at)
+        return state, None
+
+    ticks = df.select("clip_id", F.col(done).cast("long").alias("done"), F.col(t).cast("long").alias("_t"), F.col(stage).cast("long").alias("_stage"), F.col(final).alias("_final"))
+    return fold(ticks, ["clip_id"], ["done"], ["_t", "_stage", "done", "_final"], step, "t long, stage long")
+
+
+def ema(df: DataFrame, keys: list[str], order: list[str], value: str, rate: float = 0.3) -> DataFrame:
+    """Last value of a = (1 - rate) a + rate x, started at the first observation."""
+
+    def step(state, row):
+        (x,) = row
+        state = x if state is None else (1 - rate) * state + rate * x
+        return state, (state,)
+
+    run = fold(df, keys, order, [value], step, "_a double")
+    return run.groupBy(*keys).agg(F.max_by("_a", F.struct(*order)).alias("value"))
+
+
+def smoothed_eta(df: DataFrame, raw: str = "raw", share: float = 0.3, jump: float = 1.5) -> DataFrame:
+    """``clip_id, tick, remaining``: raw estimates pulled in by ``share`` a tick; a rise counts up to ``jump`` times what was shown."""
+
+    def step(state, row):
+        (x,) = row
+        x = max(0.0, x)
+        state = x if state is None else (1 - share) * state + share * min(x, state * jump)
+        return state, (state,)
+
+    return fold(df, ["clip_id"], ["tick"], [raw], step, "remaining double")
 
 
 def worst(value: str) -> Column:

@@ -52,9 +52,14 @@ def ops_create(spark, d):
     return S.created(V.jobs(spark, d), V.clips(spark, d))
 
 
-@query(sql.JOBS + "select job_id, status from (select *, row_number() over (order by created_at, job_id) as k from (select * from job where status = 'queued' order by created_at, job_id limit 20)) where k <= 20")
+@query(sql.JOBS + "select job_id, row_number() over (order by created_at, job_id) as place from job where status = 'queued'")
 def ops_claim_order(spark, d):
-    return V.jobs(spark, d).where("status = 'queued'").orderBy("created_at", "job_id").limit(20).select("job_id", "status")
+    """The places of all queued jobs in the order in which they are claimed: by days, counted first, and within a day."""
+    queued = V.jobs(spark, d).where("status = 'queued'").withColumn("day", F.to_date("created_at"))
+    days = queued.groupBy("day").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per day
+    within = F.row_number().over(W.partitionBy("day").orderBy("created_at", "job_id"))
+    return queued.withColumn("k", within).join(days.select("day", before.alias("before")), "day").select("job_id", (F.col("before") + F.col("k")).alias("place"))
 
 
 @query(sql.JOBS + "select job_id, status, created_at from job where status = 'queued'")
@@ -63,16 +68,16 @@ def ops_claim_queue(spark, d):
     return V.jobs(spark, d).where("status = 'queued'").orderBy("created_at", "job_id").select("job_id", "status", "created_at")
 
 
-@query(sql.JOBS + """select c.job_id, c.clip_no, case when j.status = 'queued' and c.status = 'pending' then 'canceled' else c.status end as clip_status, case when j.status = 'queued' then 'canceled' else j.status end as job_status, j.status = 'running' as asked
+@query(sql.JOBS + """select c.job_id, c.clip_no, case when j.status = 'queued' and c.status = 'pending' then 'cancelled' else c.status end as clip_status, case when j.status = 'queued' then 'cancelled' else j.status end as job_status, j.status = 'running' as asked
 from clip c join job j using (job_id)""")
 def ops_cancel(spark, d):
-    return S.canceled(V.jobs(spark, d), V.clips(spark, d))
+    return S.cancelled(V.jobs(spark, d), V.clips(spark, d))
 
 
-@query(sql.JOBS + "select job_id, clip_no from clip where status = 'failed' and job_id in (select job_id from job where status <> 'running') and part % 7 > 0")
+@query(sql.JOBS + "select job_id, clip_no from clip where part % 7 > 0")
 def ops_retry(spark, d):
-    free = V.jobs(spark, d).where("status <> 'running'").select("job_id")
-    return V.clips(spark, d).where("status = 'failed' and part % 7 > 0").join(free, "job_id", "left_semi").select("job_id", "clip_no")
+    """Of every seventh part the input is gone."""
+    return S.retried(V.clips(spark, d).withColumn("input", F.when(F.col("part") % 7 > 0, F.col("part")))).select("job_id", "clip_no")
 
 
 @query(sql.JOBS + "select job_id, clip_no, part as input from clip where part is not null")
@@ -105,10 +110,10 @@ def override_rules(spark):
     return spark.createDataFrame([("k", "number", 0.05, 0.9), ("max_side", "number", 64.0, 4096.0), ("qc", "flag", None, None)], "field string, kind string, low double, high double")
 
 
-@query(sql.JOBS + """, o as (select job_id, clip_no, unnest(['k', 'max_side', 'qc', 'nope']) as field, unnest([(fraction * 10)::varchar, (part % 5000)::varchar, case when part % 2 = 0 then 'true' else 'maybe' end, '1']) as value from clip where part % 50 = 0)
+@query(sql.JOBS + """, o as (select job_id, clip_no, unnest(['k', 'max_side', 'qc', 'nope']) as field, unnest([(fraction * 10)::varchar, (part % 5000)::varchar, case when part % 2 = 0 then 'true' else 'maybe' end, '1']) as value from clip)
 select job_id, clip_no, field, case field when 'k' then case when value::double between 0.05e0 and 0.9e0 then null else 'E_BAD_OVERRIDE' end when 'max_side' then case when value::double between 64 and 4096 then null else 'E_BAD_OVERRIDE' end when 'qc' then case when value in ('true', 'false') then null else 'E_BAD_OVERRIDE' end else 'E_BAD_OVERRIDE' end as code from o""")
 def ops_overrides(spark, d):
-    return S.override_codes(given_overrides(V.clips(spark, d).where("part % 50 = 0")), override_rules(spark)).select("job_id", "clip_no", "field", "code")
+    return S.override_codes(given_overrides(V.clips(spark, d)), override_rules(spark)).select("job_id", "clip_no", "field", "code")
 
 
 @query(sql.JOBS + """, o as (select job_id, clip_no, unnest(['k', 'max_side', 'qc', 'nope']) as field, unnest([(fraction * 10)::varchar, (part % 5000)::varchar, case when part % 2 = 0 then 'true' else 'maybe' end, '1']) as value from clip)

@@ -67,9 +67,9 @@ def seq_clip_union(spark, d):
 
 @query(sql.GRID + """, ar as (select clip_id, frame_idx, count(*) filter (a > 127) as area from px group by all),
 n as (select *, lag(area) over w as p, lead(area) over w as q from ar window w as (partition by clip_id order by frame_idx))
-select clip_id, frame_idx, area, coalesce(area < 0.8e0 * p and area < 0.8e0 * q, false) as collapsed, case when coalesce(area < 0.8e0 * p and area < 0.8e0 * q, false) then p else area end as fixed from n""")
+select clip_id, frame_idx, area, coalesce(area < 0.6e0 * p and area < 0.6e0 * q, false) as collapsed, case when coalesce(area < 0.6e0 * p and area < 0.6e0 * q, false) then p else area end as fixed from n""")
 def seq_collapse_fix(spark, d):
-    area = Q.per_frame(V.pixels(V.frames(spark, d)), F.col("a") > 127, "area").withColumn("collapsed", T.collapsed("area", 0.8))
+    area = Q.per_frame(V.pixels(V.frames(spark, d)), F.col("a") > 127, "area").withColumn("collapsed", T.collapsed("area"))
     return area.withColumn("fixed", F.when(F.col("collapsed"), F.lag("area").over(T.by_frame())).otherwise(F.col("area")))
 
 
@@ -80,10 +80,10 @@ def seq_median_of_three(spark, d):
 
 
 @query(sql.TRACK + """, x as (select *, row_number() over (partition by clip_id, event_type order by frame_idx desc) - 1 as k, count(*) over (partition by clip_id, event_type) as n from track where value is not null)
-select clip_id, event_type, round(sum(value * pow(0.7e0, k) * case when k = n - 1 then 1e0 else 0.3e0 end) + 1e-9, 6) as coef from x group by all""")
+select clip_id, event_type, round(sum(value * pow(0.7e0, k) * case when k = n - 1 then 1e0 else 0.3e0 end), 5) as coef from x group by all""")
 def ops_coef_ema(spark, d):
     seen = V.track(spark, d).where("value is not null")
-    return T.ema(seen, ["clip_id", "event_type"], ["frame_idx"], "value").select("clip_id", "event_type", F.round(F.col("value") + 1e-9, 6).alias("coef"))
+    return T.ema(seen, ["clip_id", "event_type"], ["frame_idx"], "value").select("clip_id", "event_type", F.round("value", 5).alias("coef"))
 
 
 _TICKS = sql.TRACK + ", k as (select clip_id, frame_idx as done, frame_idx * (10 + clip_id % 90) as t, frame_idx // 20 as stage, frame_idx = max(frame_idx) over (partition by clip_id) as final from track), "
@@ -103,11 +103,11 @@ def ops_throttle(spark, d):
     return T.throttle(ticks(spark, d))
 
 
-@query(_TICKS + "x as (select clip_id, done, (done + 1) / (max(done) over (partition by clip_id) + 1)::double as f, t / 1e3 as e from k) select clip_id, done, round(greatest(0, least(1, (f - 0.1e0) / 0.4e0)) * (e * (1 - f) / f) + (1 - greatest(0, least(1, (f - 0.1e0) / 0.4e0))) * greatest(0, 6e0 - e) + 1e-9, 6) as remaining from x")
+@query(_TICKS + "x as (select clip_id, done, (done + 1) / (max(done) over (partition by clip_id) + 1)::double as f, t / 1e3 as e from k) select clip_id, done, round(greatest(0, least(1, (f - 0.1e0) / 0.4e0)) * (e * (1 - f) / f) + (1 - greatest(0, least(1, (f - 0.1e0) / 0.4e0))) * greatest(0, 6e0 - e), 5) as remaining from x")
 def ops_eta_blend(spark, d):
     n = F.max("done").over(W.partitionBy("clip_id")) + 1
     k = ticks(spark, d).withColumn("f", (F.col("done") + 1) / n)
-    return k.select("clip_id", "done", F.round(S.blended_remaining(F.col("f"), F.col("t") / 1000.0, F.lit(6.0)) + 1e-9, 6).alias("remaining"))
+    return k.select("clip_id", "done", F.round(S.blended_remaining(F.col("f"), F.col("t") / 1000.0, F.lit(6.0)), 5).alias("remaining"))
 
 
 @query(sql.TRACK + "select clip_id, frame_idx, max(coalesce(value, 0)) over (partition by clip_id order by frame_idx) as progress from track")
@@ -330,9 +330,10 @@ def qc_flicker(spark, d):
     return Q.flicker(V.colours(spark, d), still=60.0)
 
 
-@query(sql.GRID + ", s as (select clip_id, y, x, min(r) = max(r) and bool_and(a > 127) as h from px where frame_idx < 2 group by all) select clip_id, count(*) filter (h) as n, min(x) filter (h) as x0, min(y) filter (h) as y0, max(x) filter (h) as x1, max(y) filter (h) as y1 from s group by clip_id")
+@query(sql.GRID + ", s as (select clip_id, y, x, min(r) = max(r) and bool_and(a > 127) as h from px group by all) select clip_id, count(*) filter (h) as n, min(x) filter (h) as x0, min(y) filter (h) as y0, max(x) filter (h) as x1, max(y) filter (h) as y1 from s group by clip_id")
 def qc_frozen(spark, d):
-    return Q.frozen(V.colours(spark, d).where("frame_idx < 2"))
+    """Over all frames of a clip, by one colour."""
+    return Q.frozen(V.colours(spark, d))
 
 
 @query(sql.GRID + ", s as (select clip_id, y, x, min(r) = max(r) and min(g) = max(g) and min(b) = max(b) and bool_and(a > 127) as h from px group by all) select clip_id, count(*) filter (h) as n, min(x) filter (h) as x0, min(y) filter (h) as y0, max(x) filter (h) as x1, max(y) filter (h) as y1 from s group by clip_id")
@@ -359,22 +360,22 @@ def qc_alpha_flips(spark, d):
     return Q.alpha_flips(px, px.withColumn("frame_idx", F.col("frame_idx") + 1))
 
 
-_NEAR = "from dp p join dp q on p.clip_id = q.clip_id and p.frame_idx = q.frame_idx and abs(p.y - q.y) <= 1 and abs(p.x - q.x) <= 1 group by p.clip_id, p.frame_idx, p.y, p.x, p.a, p.d"
+_NEAR = "from dp p join dp q on p.clip_id = q.clip_id and p.frame_idx = q.frame_idx and abs(p.y - q.y) <= 2 and abs(p.x - q.x) <= 2 group by p.clip_id, p.frame_idx, p.y, p.x, p.a, p.d"
 
 
 def band(spark, d):
-    """Pixels with whether any and all neighbours are opaque, from the packed form."""
+    """Pixels with whether any and all within two pixels are opaque, from the packed form."""
     f = V.frames(spark, d)
     opaque = f.withColumn("data", F.transform("data", lambda v: F.when(v > 127, 1).otherwise(0)))
-    grown, shrunk = _long(N.morphology(opaque, "dilate"), "any"), _long(N.morphology(opaque, "erode"), "every")
+    grown, shrunk = _long(N.morphology(opaque, "dilate", 2), "any"), _long(N.morphology(opaque, "erode", 2), "every")
     keys = ["clip_id", "frame_idx", "y", "x"]
     return distanced(spark, d).join(grown, keys).join(shrunk, keys)
 
 
-@query(sql.DIST + f", n as (select p.clip_id, p.frame_idx, p.a, p.d, bool_and(q.a > 127) as e {_NEAR}), f as (select clip_id, frame_idx, round(avg(d), 6) as v from n where a > 127 and not e group by all) select clip_id, round(avg(v), 6) as mean, min(v) as worst from f group by clip_id")
+@query(sql.DIST + f", n as (select p.clip_id, p.frame_idx, p.a, p.d, bool_and(q.a > 127) as e {_NEAR}), f as (select clip_id, frame_idx, round(avg(d), 6) as v from n where a > 127 and not e group by all) select clip_id, round(avg(v), 6) as mean, min(v) as worst, arg_min(frame_idx, (v, frame_idx)) as worst_frame from f group by clip_id")
 def qc_fringe(spark, d):
     edge = band(spark, d).where("a > 127 and every = 0").groupBy("clip_id", "frame_idx").agg(F.round(F.avg("d"), 6).alias("v"))
-    return edge.groupBy("clip_id").agg(F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("worst"))
+    return edge.groupBy("clip_id").agg(F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("worst"), F.min_by("frame_idx", F.struct("v", "frame_idx")).alias("worst_frame"))
 
 
 @query(sql.DIST + f", n as (select p.clip_id, p.frame_idx, p.a, bool_or(q.a > 127) as o, bool_and(q.a > 127) as e {_NEAR}), f as (select clip_id, frame_idx, coalesce(avg((a > 0 and a < 255)::int) filter (o and not e), 0) as v from n group by all) select clip_id, round(avg(v), 6) as soft from f group by clip_id")
@@ -415,14 +416,17 @@ def trk_links(spark, d):
 # Jobs
 
 
-@query(sql.JOBS + ", p as (select job_id, round(100 * avg(case when status in ('done', 'failed', 'canceled') then 1e0 else fraction end), 6) as percent from clip group by 1) select job_id, percent from p")
+@query(sql.JOBS + ", p as (select job_id, round(100 * avg(case when status in ('done', 'failed', 'cancelled') then 1e0 else fraction end), 6) as percent from clip group by 1) select job_id, percent from p")
 def ops_progress(spark, d):
     return S.job_progress(V.clips(spark, d))
 
 
-@query(sql.JOBS + "select job_id, case when bool_or(status = 'done') then 'done' when bool_or(status = 'pending') then 'queued' else 'failed' end as status, count(*) filter (status = 'failed') as n_failed, count(*) as n_clips from clip group by 1")
+@query(sql.JOBS + """, n as (select job_id, count(*) filter (status = 'done') as ok, count(*) filter (status <> 'pending') as begun, count(*) filter (status = 'failed') as n_failed, count(*) as n_clips from clip where job_id % 11 > 0 group by 1)
+select job_id, case when job_id % 3 = 0 and coalesce(ok, 0) = 0 then 'cancelled' when n_clips > 0 and (ok > 0 or begun = 0) then 'done' else 'failed' end as status, coalesce(n_failed, 0) as n_failed, coalesce(n_clips, 0) as n_clips from job left join n using (job_id)""")
 def ops_job_status(spark, d):
-    return S.final_status(V.clips(spark, d))
+    """Every third job was asked to stop; every eleventh has no clips."""
+    jobs = V.jobs(spark, d).select("job_id", (F.col("job_id") % 3 == 0).alias("asked"))
+    return S.final_status(jobs, V.clips(spark, d).where("job_id % 11 > 0"))
 
 
 @query(sql.JOBS + "select status, count(*) as n, min(created_at) as oldest from job group by 1")
@@ -430,7 +434,7 @@ def ops_status_summary(spark, d):
     return V.jobs(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.min("created_at").alias("oldest"))
 
 
-@query(sql.JOBS + "select job_id, case when status not in ('done', 'failed', 'canceled') then 'keep' when date_diff('microsecond', created_at, timestamp '2000-01-10') / 86400e6 > 14 then 'delete' when date_diff('microsecond', created_at, timestamp '2000-01-10') / 86400e6 > 1 then 'prune' else 'keep' end as action from job")
+@query(sql.JOBS + "select job_id, case when status not in ('done', 'failed', 'cancelled') then 'keep' when date_diff('microsecond', created_at, timestamp '2000-01-10') / 86400e6 > 14 then 'delete' when date_diff('microsecond', created_at, timestamp '2000-01-10') / 86400e6 > 1 then 'prune' else 'keep' end as action from job")
 def ops_retention(spark, d):
     return V.jobs(spark, d).select("job_id", S.retention(F.col("created_at"), F.lit("2000-01-10").cast("timestamp"), F.col("status")).alias("action"))
 
@@ -451,10 +455,11 @@ def ops_page(spark, d):
     return page.crossJoin(F.broadcast(total)).select("job_id", "total", "created_at")  # one row
 
 
-@query(sql.JOBS + "select job_id, case status when 'running' then 'failed' else status end as status, case status when 'running' then 'E_SERVER_RESTART' end as code from job")
+@query(sql.JOBS + ", w as (select job_id, case when status = 'queued' and job_id % 3 = 0 then 'waiting_gpu' else status end as status from job) select job_id, case status when 'running' then 'failed' when 'waiting_gpu' then 'queued' else status end as status, case status when 'running' then 'E_SERVER_RESTART' end as code from w")
 def ops_restart_recovery(spark, d):
     s = F.col("status")
-    return V.jobs(spark, d).select("job_id", F.when(s == "running", "failed").otherwise(s).alias("status"), F.when(s == "running", "E_SERVER_RESTART").alias("code"))
+    held = V.jobs(spark, d).withColumn("status", F.when((s == "queued") & (F.col("job_id") % 3 == 0), "waiting_gpu").otherwise(s))
+    return held.select("job_id", F.when(s == "running", "failed").when(s == "waiting_gpu", "queued").otherwise(s).alias("status"), F.when(s == "running", "E_SERVER_RESTART").alias("code"))
 
 
 @query(sql.JOBS + "select j.job_id, coalesce(bool_or(c.fraction < 0.05e0) filter (c.status = 'pending'), true) as needs_gpu from job j left join clip c using (job_id) group by 1")
@@ -478,11 +483,11 @@ def ops_pending_total(spark, d):
 _MESSAGES = ("user canceled", "ffmpeg timeout (3600)", "CUDAMALLOC failed", "ffmpeg: out of memory", "cudnn: Out of Memory", "failed to allocate 12 bytes", "broken")
 
 
-@query(sql.JOBS + """, m as (select job_id, clip_no, case when part % 13 = 0 then 'canceled' when part % 13 = 1 then 'too_long' when part % 13 = 2 then 'timeout' else 'other' end as kind,
+@query(sql.JOBS + """, m as (select job_id, clip_no, case when part % 13 = 0 then 'cancelled' when part % 13 = 1 then 'too_long' when part % 13 = 2 then 'timeout' else 'other' end as kind,
 lower((['user canceled', 'ffmpeg timeout (3600)', 'CUDAMALLOC failed', 'ffmpeg: out of memory', 'cudnn: Out of Memory', 'failed to allocate 12 bytes', 'broken'])[part % 7 + 1]) as m from clip)
-select job_id, clip_no, case when kind = 'canceled' then 'E_CANCELLED' when kind = 'too_long' then 'E_INPUT_TOO_LONG' when kind = 'timeout' or contains(m, 'ffmpeg timeout') then 'E_ENCODE_TIMEOUT' when regexp_matches(m, 'failed to allocate|cuda_error_out_of_memory|cudamalloc') or (contains(m, 'out of memory') and regexp_matches(m, 'cuda|cudnn|cublas|onnxruntime|gpu')) then 'E_CUDA_OOM' else 'E_PIPELINE' end as code from m""")
+select job_id, clip_no, case when kind = 'cancelled' then 'E_CANCELLED' when kind = 'too_long' then 'E_INPUT_TOO_LONG' when kind = 'timeout' or contains(m, 'ffmpeg timeout') then 'E_ENCODE_TIMEOUT' when regexp_matches(m, 'failed to allocate|cuda_error_out_of_memory|cudamalloc') or (contains(m, 'out of memory') and regexp_matches(m, 'cuda|cudnn|cublas|onnxruntime|gpu')) then 'E_CUDA_OOM' else 'E_PIPELINE' end as code from m""")
 def ops_error_code(spark, d):
-    kind = F.when(F.col("part") % 13 == 0, "canceled").when(F.col("part") % 13 == 1, "too_long").when(F.col("part") % 13 == 2, "timeout").otherwise("other")
+    kind = F.when(F.col("part") % 13 == 0, "cancelled").when(F.col("part") % 13 == 1, "too_long").when(F.col("part") % 13 == 2, "timeout").otherwise("other")
     message = F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("part") % 7 + 1).cast("int"))
     return V.clips(spark, d).select("job_id", "clip_no", S.error_code(kind, message).alias("code"))
 
