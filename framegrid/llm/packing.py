@@ -23,8 +23,9 @@ from pyspark.sql import Window as W
 
 from framegrid.llm.common import materialise
 
-#: Pieces of one length are ranked in hashed buckets of about so many, so that a hot length has no single task.
-BUCKET = 5_000
+#: Pieces of one length are ranked in hashed buckets of about the first number, so that a hot length has no single
+#: task; from as many buckets as the second number on, of about the third, so that the table of buckets stays small.
+BUCKET, MANY, LARGE = 500, 4096, 100_000
 
 #: Token bytes of about this many different pieces are kept in each Python worker, from the second time that a piece is met;
 #: a table of so many hash slots tells which were met.
@@ -239,7 +240,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
     for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["n"]
     places = _places(plan_packing(counts, capacity))
-    shares = F.element_at(F.lit([max(1, -(-int(n) // BUCKET)) for n in counts]), (F.col("length") + 1).cast("int"))
+    shares = F.element_at(F.lit([max(1, min(-(-int(n) // BUCKET), MANY), -(-int(n) // LARGE)) for n in counts]), (F.col("length") + 1).cast("int"))
     keyed = pieces.withColumn("_fg_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), shares))
     sums = keyed.groupBy("length", "_fg_bucket").agg(F.count("*").alias("_fg_n"))
     before = W.partitionBy("length").orderBy("_fg_bucket").rowsBetween(W.unboundedPreceding, -1)
