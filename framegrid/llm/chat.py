@@ -23,13 +23,14 @@ from pyspark.sql import Window as W
 from framegrid.llm.common import materialise
 
 _MARK = re.compile(r"[ \t]*((?:>[ \t]*)+)")
+_LETTERS = re.compile(r"[^\W_]+")
 #: Turns in one block: windows over a conversation run within blocks and then over one row per block.
 BLOCK = 1024
 UNITS = "array<struct<hash:long,weight:int,depth:int>>"
 
 
 def normal(text: str) -> str:
-    return " ".join("".join(c.lower() if c.isalnum() else " " for c in text).split())
+    return " ".join(_LETTERS.findall(text.lower()))
 
 
 def quoted_lines(text: str) -> list[tuple[int, str, str]]:
@@ -84,8 +85,8 @@ def without(text: str, found: set[int]) -> str:
 def _hashed(pieces: list[tuple[int, str]]) -> list[dict]:
     best: dict[tuple[int, int], int] = {}
     for depth, piece in pieces:
-        if (h := hash_of(piece)) is not None:
-            best[(h, depth)] = len(normal(piece))
+        if n := normal(piece):
+            best[(xxhash.xxh3_64_intdigest(n.encode()) - 2**63, depth)] = len(n)
     return [{"hash": h, "weight": w, "depth": d} for (h, d), w in sorted(best.items())]
 
 
