@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framegrid.llm.common import materialise
+from framegrid.llm.common import materialise, small, spread_join
 
 _MARK = re.compile(r"[ \t]*((?:>[ \t]*)+)")
 _LETTERS = re.compile(r"[^\W_]+")
@@ -94,22 +94,32 @@ def _parts(text: str) -> list[str]:
     return list(dict.fromkeys([text, *text.split("\n\n"), *text.split("\n")]))
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("hash", pa.int64()), ("weight", pa.int32()), ("depth", pa.int32())]))
+_UNITS = pa.list_(pa.struct([("hash", pa.int64()), ("weight", pa.int32()), ("depth", pa.int32())]))
+
+
+def _quoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        units = [_hashed([(d, x) for d, p in parse_quotes(t)[1] for x in _parts(p)]) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(units, _UNITS)], names=["conv_id", "turn", "units"])
+
+
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text in batch.column("_fg_text").to_pylist():
-            own, passages = parse_quotes(text)
-            quoted = _hashed([(d, x) for d, p in passages for x in _parts(p)])
-            rows.append((len(passages), max((d for d, _ in passages), default=0), _hashed([(0, x) for x in _parts(own)]), quoted))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), kind, kind))]
-        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + columns, names=["conv_id", "turn", "role", "text", "n_quotes", "depth", "said", "quoted"])
+        units = [_hashed([(0, x) for x in _parts(parse_quotes(t)[0])]) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(units, _UNITS)], names=["conv_id", "turn", "units"])
 
 
 def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the quotes found, and how many quoted passages they have and how deep."""
     for batch in batches:
-        texts = [x or "" if f is None else without(x or "", set(f)) for x, f in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())]
-        yield batch.set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string())).drop_columns("found")
+        texts, counts, depths = [], [], []
+        for x, f in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
+            passages = parse_quotes(x)[1] if x and ">" in x else []
+            texts.append(x or "" if f is None else without(x or "", set(f)))
+            counts.append(len(passages)), depths.append(max((d for d, _ in passages), default=0))
+        made = {"n_quotes": pa.array(counts, pa.int64()), "quote_depth": pa.array(depths, pa.int64()), "text": pa.array(texts, pa.string())}
+        names = ["conv_id", "turn", "role", "reply_to", "n_quotes", "quote_depth", "n_matched", "text"]
+        yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
 
 
 def _before(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -136,12 +146,17 @@ def link_quotes(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     nothing; a null conversation is one of its own; null texts are empty; repeated rows give
     repeated results; other columns are ignored; an empty table gives an empty one.
     """
-    bare = chats.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("_fg_text"))
-    rows = materialise(bare.mapInArrow(_parse, f"conv_id long, turn long, role string, text string, n_quotes long, depth long, said {UNITS}, quoted {UNITS}"), "chats")
-    asked = rows.where("n_quotes > 0 and turn is not null").select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.hash", "q.weight", "q.depth")
+    rows = chats.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    key = F.xxhash64(F.col("conv_id").isNull(), "conv_id").alias("_k")  # null conversations are one
+    quoting = rows.where(F.col("turn").isNotNull() & F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", "text")
+    asked = quoting.mapInArrow(_quoted, f"conv_id long, turn long, units {UNITS}").select("conv_id", "turn", F.explode("units").alias("q")).select("conv_id", "turn", "q.*")
     asked = materialise(asked.distinct(), "quoted")
     wanted = asked.select(F.col("conv_id").alias("_c"), F.col("hash").alias("_h")).distinct()
-    said = rows.where("turn is not null").select("conv_id", "turn", F.explode("said.hash").alias("hash")).distinct()
+    # Only conversations in which something is quoted are hashed.
+    convs = materialise(asked.select(key).distinct(), "conversations")
+    spoken = rows.where("turn is not null").select(key, "conv_id", "turn", "text")
+    spoken = spoken.join(F.broadcast(convs), "_k", "left_semi") if small(convs) else spread_join(spoken, convs, ["_k"], ["turn"])
+    said = spoken.select("conv_id", "turn", "text").mapInArrow(_said, f"conv_id long, turn long, units {UNITS}").select("conv_id", "turn", F.explode("units.hash").alias("hash")).distinct()
     said = said.join(wanted, said["conv_id"].eqNullSafe(F.col("_c")) & (said["hash"] == F.col("_h")), "left_semi")
     none = F.lit(None)
     both = said.select("conv_id", "hash", "turn", F.col("turn").alias("source"), none.cast("int").alias("weight"), none.cast("int").alias("depth"))
@@ -154,8 +169,8 @@ def link_quotes(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     prior = _before(turns, ["conv_id"], "value", "previous").select(F.col("conv_id").alias("_pc"), F.col("turn").alias("_pt"), "previous")
     out = rows.join(best, rows["conv_id"].eqNullSafe(F.col("_c")) & (rows["turn"] == F.col("_t")), "left")
     out = out.join(prior, out["conv_id"].eqNullSafe(F.col("_pc")) & (out["turn"] == F.col("_pt")), "left")
-    out = out.select("conv_id", "turn", "role", F.coalesce("quoted_turn", "previous").alias("reply_to"), "n_quotes", F.col("depth").alias("quote_depth"), F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"), "text", "found")
-    return out.mapInArrow(_own_words, out.drop("found").schema)
+    out = out.select("conv_id", "turn", "role", F.coalesce("quoted_turn", "previous").alias("reply_to"), F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"), "text", "found")
+    return out.mapInArrow(_own_words, "conv_id long, turn long, role string, reply_to long, n_quotes long, quote_depth long, n_matched long, text string")
 
 
 def reply_threads(linked: DataFrame) -> DataFrame:
@@ -169,6 +184,7 @@ def reply_threads(linked: DataFrame) -> DataFrame:
     null turn have no thread, level or position; a null conversation is one of its own; repeated
     rows have equal positions; a null role is "unknown"; an empty table gives an empty one.
     """
+    linked = materialise(linked, "linked")
     jumps = materialise(linked.where("turn is not null").select("conv_id", "turn", F.col("reply_to").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("level"), F.col("turn").alias("top")).distinct(), "jumps")
     while not (going := jumps.where("up is not null")).isEmpty():
         far = jumps.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("up").alias("_up"), F.col("level").alias("_level"), F.col("top").alias("_top"))
