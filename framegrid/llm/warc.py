@@ -27,8 +27,8 @@ from framegrid.llm.common import materialise, scratch, spread_join
 
 #: Bytes of payload in a shard, compressed bytes at which a file rolls, bytes of payload from which copies become revisits.
 SHARD, ROLL, REVISIT = 64_000_000, 8_000_000, 1000
-#: About so many records, chosen by hash, give the bounds of the ranges.
-BOUNDS = 50_000
+#: Shards at most, larger ones beyond, and records for each of them that are chosen by hash to find the bounds of the ranges.
+SHARDS, CHOSEN = 20_000, 16
 #: At most so many tasks read files.
 TASKS = 10_000
 DATE = "2000-01-01T00:00:00Z"
@@ -102,13 +102,14 @@ def revisits(digests: DataFrame) -> DataFrame:
 def range_bounds(digests: DataFrame, shard: int) -> list[tuple[bool, int, str]]:
     """Keys (null last, page_id, digest) at which shards begin, so that each holds about ``shard`` bytes of payload.
 
-    The sample is chosen by hash, BOUNDS different keys on average whatever the size, and the same in every run.
+    The sample is chosen by hash, so it is the same in every run; it has CHOSEN different keys for
+    each shard on average, and there are at most SHARDS of these whatever the size.
     """
     n, size = digests.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    wanted = -(-size // shard)
+    wanted = min(-(-size // shard), SHARDS)
     if wanted < 2:
         return []
-    own = digests.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(max(1, n // BOUNDS))) == 0)
+    own = digests.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(max(1, n // (CHOSEN * wanted)))) == 0)
     held = own.groupBy("page_id", "digest").agg(F.sum("size").alias("size")).collect()
     bounds, filled, total = [], 0, sum(r["size"] for r in held)
     for null, page, digest, each in sorted((r["page_id"] is None, r["page_id"] or 0, r["digest"], r["size"]) for r in held):

@@ -30,7 +30,8 @@ def test_shards_are_ranges_of_equal_bytes(spark, shard):
     bounds = warc.range_bounds(digests, shard)
     size = sum(len(r[2]) for r in rows)
     assert bounds == sorted(bounds) and bounds == warc.range_bounds(digests.repartition(3), shard)
-    assert len({r.shard for r in manifest}) == len(bounds) + 1 == max(1, -(-size // shard))
+    n = max(1, -(-size // shard))
+    assert len({r.shard for r in manifest}) == len(bounds) + 1 and 0.7 * n <= len(bounds) + 1 <= n
     records = {r.file: r for r in manifest}
     ends = []
     for name in sorted(records):
