@@ -40,19 +40,21 @@ def square(r: int) -> list[tuple[int, int]]:
 
 
 def spread(m: np.ndarray, rows: list[tuple[int, int]]) -> np.ndarray:
-    """Dilation of a mask by a symmetric element given as rows; places outside the frame are ignored.
+    """Dilation of a mask by an element given as rows, alike above and below; places outside the frame are ignored.
 
     A row's reach is a difference of running sums, so the cost grows with the element's height only.
     """
     h, w = m.shape
-    total = np.zeros((h, w + 1), np.int32)
-    np.cumsum(m, axis=1, out=total[:, 1:])
-    x = np.arange(w)
+    most = max(half for _, half in rows)
+    total = np.zeros((h, w + 1 + 2 * most), np.int32)
+    np.cumsum(m, axis=1, out=total[:, most + 1 : most + 1 + w])
+    total[:, most + 1 + w :] = total[:, most + w : most + w + 1]
     out = np.zeros((h, w), bool)
     for dy, half in rows:
-        if abs(dy) < h:
-            wide = total[:, np.minimum(x + half + 1, w)] > total[:, np.maximum(x - half, 0)]
-            out[max(0, -dy) : h - max(0, dy)] |= wide[max(0, dy) : h - max(0, -dy)]
+        if 0 <= dy < h:
+            wide = total[:, most + half + 1 : most + half + 1 + w] > total[:, most - half : most - half + w]
+            out[: h - dy] |= wide[dy:]
+            out[dy:] |= wide[: h - dy]
     return out
 
 

@@ -66,7 +66,8 @@ def alpha8(alpha: Column) -> Column:
 def unmix(c: Column, key: Column, alpha: Column) -> Column:
     """The foreground of a mixed pixel, truncated to 0..255; others stay."""
     mixed = (alpha > 0.004) & (alpha < 0.996)
-    return F.when(mixed, F.floor(clamp((c - (1 - alpha) * key) / F.when(mixed, alpha).otherwise(1.0), 0.0, 255.0)).cast("int")).otherwise(c.cast("int"))
+    exact = F.round((c - (1 - alpha) * key) / F.when(mixed, alpha).otherwise(1.0), 9)
+    return F.when(mixed, F.floor(clamp(exact, 0.0, 255.0)).cast("int")).otherwise(c.cast("int"))
 
 
 def sigmoid(x: Column) -> Column:

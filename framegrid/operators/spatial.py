@@ -23,11 +23,14 @@ def component_table(frames: DataFrame) -> DataFrame:
 
     def kernel(a: np.ndarray) -> dict:
         label = K.components(a > OPAQUE)
-        out = []
-        for k in np.unique(label[label >= 0]):
-            ys, xs = np.nonzero(label == k)
-            out.append({"label": int(k), "area": len(ys), "x0": int(xs.min()), "y0": int(ys.min()), "x1": int(xs.max()), "y1": int(ys.max())})
-        return {"c": out}
+        ys, xs = np.nonzero(label >= 0)
+        if not len(ys):
+            return {"c": []}
+        own = label[ys, xs]
+        order = np.argsort(own, kind="stable")
+        ids, first, n = np.unique(own[order], return_index=True, return_counts=True)
+        low, high = ([f.reduceat(v[order], first) for v in (xs, ys)] for f in (np.minimum, np.maximum))
+        return {"c": [dict(zip(("label", "area", "x0", "y0", "x1", "y1"), map(int, r))) for r in zip(ids, n, *low, *high)]}
 
     found = map_frames(frames, kernel, "c array<struct<label:int,area:int,x0:int,y0:int,x1:int,y1:int>>")
     return found.select("clip_id", "frame_idx", F.inline("c"))
@@ -64,18 +67,6 @@ def keep_subject(frames: DataFrame, share: float = 0.25) -> DataFrame:
     return map_frames(frames, kernel, "data array<int>")
 
 
-def topology_clean(frames: DataFrame, share: float = 0.05) -> DataFrame:
-    """(clip_id, frame_idx, n_dropped, n_filled): small components dropped, then holes filled."""
-
-    def kernel(a: np.ndarray) -> dict:
-        label = K.components(a > OPAQUE)
-        ids, n = np.unique(label[label >= 0], return_counts=True)
-        keep = np.isin(label, ids[n >= share * a.size])
-        return {"n_dropped": int(((label >= 0) & ~keep).sum()), "n_filled": int(K.holes(keep).sum())}
-
-    return map_frames(frames, kernel, "n_dropped long, n_filled long")
-
-
 def edge_touch(pixels: DataFrame, boxes: DataFrame, level: int = OPAQUE) -> DataFrame:
     """(clip_id, frame_idx, touches): opaque pixels on an edge of the frame's box that isn't the frame's own edge.
 

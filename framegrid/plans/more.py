@@ -39,7 +39,11 @@ def sel_box_geometry(spark, d):
     return b.select("frame", "det", *grown, D.zoom_side(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("side"))
 
 
-@query(None)
+@query(_DET.replace("with ", "with recursive ", 1) + """, o as materialized (select frame, det, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1, row_number() over (partition by frame order by conf desc, det) as k from det where conf >= 0.25e0),
+g as (select frame, k, [{'det': det, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] as kept from o where k = 1 union all
+  select o.frame, o.k, case when len(list_filter(g.kept, lambda b: i(b) / ((b.x1 - b.x0) * (b.y1 - b.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - i(b)) > 0.45e0)) > 0 then g.kept else list_append(g.kept, {'det': o.det, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}) end
+  from g join o on o.frame = g.frame and o.k = g.k + 1)
+select frame, unnest(arg_max(kept, k)).det as det from g group by frame""".replace("i(b)", "(greatest(0, least(b.x1, o.x1) - greatest(b.x0, o.x0)) * greatest(0, least(b.y1, o.y1) - greatest(b.y0, o.y0)))"))
 def sel_non_maximum(spark, d):
     return D.non_maximum(detections(spark, d), ["frame"])
 

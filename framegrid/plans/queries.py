@@ -163,9 +163,7 @@ def pix_ramp_alpha(spark, d):
 select clip_id, frame_idx, y, x, case when al > 0.004e0 and al < 0.996e0 then floor(greatest(0, least(255, round((r - (1 - al) * 60) / al, 9))))::int else r end as r from al""")
 def pix_unmix(spark, d):
     al = distanced(spark, d).withColumn("al", P.ramp(F.col("d"), 3.0, 8.0))
-    mixed = (F.col("al") > 0.004) & (F.col("al") < 0.996)
-    exact = F.round((F.col("r") - (1 - F.col("al")) * 60) / F.when(mixed, F.col("al")).otherwise(1.0), 9)
-    return al.select("clip_id", "frame_idx", "y", "x", F.when(mixed, F.floor(P.clamp(exact, 0.0, 255.0)).cast("int")).otherwise(F.col("r")).alias("r"))
+    return al.select("clip_id", "frame_idx", "y", "x", P.unmix(F.col("r"), F.lit(60.0), F.col("al")).alias("r"))
 
 
 @query(sql.GRID + """select clip_id, frame_idx, y, x, round(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 6) as gray, round(case when greatest(r, g, b) = 0 then 0 else (greatest(r, g, b) - least(r, g, b)) * 255e0 / greatest(r, g, b) end, 6) as sat,

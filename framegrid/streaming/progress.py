@@ -16,15 +16,18 @@ TICK = "clip_id long, done long, t long, stage long, final boolean"
 SENT = "clip_id long, done long, t long, stage long, seq long"
 
 
-def throttled(ticks: DataFrame, wait: int = 200, frames: int = 5) -> DataFrame:
+def throttled(ticks: DataFrame, wait: int = 200, frames: int = 5, forget: int = 3_600_000) -> DataFrame:
     """(clip_id, done, t, stage, seq) of the ticks to publish; a clip's state is the last one published.
 
     A tick goes out on a new stage, as the final one, ``wait`` ms or ``frames`` frames after the
     last one published.  A clip's ticks are taken by ``done`` within a micro-batch; the final
-    tick ends its state.  With ``frames`` of 0 only stage, time and end count, as for previews.
+    tick ends its state, as do ``forget`` ms without any.  With ``frames`` of 0 only stage, time and end count, as for previews.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get if state.exists else None
         sent, over = [], False
         rows = pd.concat(list(batches)).sort_values(["done", "t"], kind="stable")
@@ -38,10 +41,39 @@ def throttled(ticks: DataFrame, wait: int = 200, frames: int = 5) -> DataFrame:
             state.remove()
         else:
             state.update(last)
+            state.setTimeoutDuration(forget)
         yield pd.DataFrame(sent, columns=["clip_id", "done", "t", "stage", "seq"])
 
     keyed = ticks.select("clip_id", "done", "t", "stage", "final").groupBy("clip_id")
-    return keyed.applyInPandasWithState(step, SENT, "done long, t long, stage long, seq long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(step, SENT, "done long, t long, stage long, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def heartbeats(ticks: DataFrame, every: int = 2000, most: int = 1800) -> DataFrame:
+    """(clip_id, done, t, beat): the last tick of a clip again after every ``every`` ms without a new one.
+
+    The final tick ends a clip's beats; so do ``most`` beats in a row.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            done, t, beat = state.get
+            if beat + 1 < most:
+                state.update((done, t, beat + 1))
+                state.setTimeoutDuration(every)
+            else:
+                state.remove()
+            yield pd.DataFrame([(key[0], done, t, beat + 1)], columns=["clip_id", "done", "t", "beat"])
+            return
+        rows = pd.concat(list(batches)).sort_values(["done", "t"], kind="stable")
+        if rows["final"].any():
+            if state.exists:
+                state.remove()
+            return
+        state.update((int(rows["done"].iloc[-1]), int(rows["t"].iloc[-1]), 0))
+        state.setTimeoutDuration(every)
+
+    keyed = ticks.select("clip_id", "done", "t", "final").groupBy("clip_id")
+    return keyed.applyInPandasWithState(step, "clip_id long, done long, t long, beat long", "done long, t long, beat long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def silent(ticks: DataFrame, at: str = "ts", quiet: str = "2 seconds", late: str = "10 seconds") -> DataFrame:

@@ -51,3 +51,20 @@ def test_publish_and_silent(spark, tmp_path):
     assert sorted(seen) == [1, 2]
     t = spark.createDataFrame([(1, 0), (1, 1), (1, 9)], "clip_id long, s int").select("clip_id", F.timestamp_seconds("s").alias("ts"))
     assert sorted(r.n for r in P.silent(t).collect()) == [1, 2]
+
+
+def test_heartbeats_until_the_end(spark, tmp_path):
+    src = str(tmp_path / "beats")
+    ticks = "clip_id long, done long, t long, final boolean"
+    spark.createDataFrame([(1, 3, 30, False), (2, 5, 50, False), (3, 9, 90, True)], ticks).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(ticks).parquet(src)
+    q = P.heartbeats(stream, every=300, most=3).writeStream.format("memory").queryName("beats").outputMode("append").trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(120):
+            if spark.table("beats").count() >= 6:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    got = sorted((r.clip_id, r.done, r.beat) for r in spark.table("beats").collect())
+    assert got == [(1, 3, k) for k in (1, 2, 3)] + [(2, 5, k) for k in (1, 2, 3)]
