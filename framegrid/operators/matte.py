@@ -203,6 +203,48 @@ def topology_over_time(frames: DataFrame, share: float = TOPOLOGY) -> DataFrame:
     return _alpha_only(frames.join(before, ["clip_id", "frame_idx"], "left"), run, ("before",))
 
 
+def limbs_restored(frames: DataFrame, tau: float, grow: int = 3) -> DataFrame:
+    """Alpha within ``region`` (a mask column), and beyond it where it moves and hangs on the body that is kept.
+
+    Motion is a change of alpha's level from the frame before of more than ``tau``, grown by
+    ``grow`` pixels: it stands for optical flow.  Components are by four neighbours.
+    """
+    before = frames.select("clip_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("a").alias("before"))
+
+    def run(rgb: np.ndarray, a: np.ndarray, region: bytes, before: bytes | None) -> np.ndarray:
+        inside = np.frombuffer(region, np.uint8).reshape(a.shape) > OPAQUE
+        gated, on = np.where(inside, a, 0), a > OPAQUE
+        if before is None:
+            return gated
+        moved = np.abs(a.astype(int) - np.frombuffer(before, np.uint8).reshape(a.shape)) > tau
+        label = K.components(on, K.FOUR)
+        body = np.unique(label[on & inside])
+        add = on & ~inside & np.isin(label, body) & P.spread(moved, P.ellipse(grow))
+        return np.where(add, a, gated)
+
+    return _alpha_only(frames.join(before, ["clip_id", "frame_idx"], "left"), run, ("region", "before"))
+
+
+def inferred(frames: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """``frames`` with the alpha that a model gives: ``model()`` runs once in each task and gives a function of colours to levels of 0..255."""
+    held: list = []
+
+    def run(rgb: np.ndarray, a: np.ndarray | None) -> dict:
+        if not held:
+            held.append(model())
+        return {"h": rgb.shape[0], "w": rgb.shape[1], "rgb": rgb, "a": np.asarray(held[0](rgb)).astype(np.uint8)}
+
+    return P.map_packed(frames, run, FRAME)
+
+
+def routed(frames: DataFrame, models: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """Clips whose backdrop is safe are keyed by colour, all others go to ``model``: the mattes of all clips."""
+    from framegrid.operators.keyer import key
+
+    safe = models.where("safe")
+    return key(frames, safe).unionByName(inferred(frames.join(safe.select("clip_id"), "clip_id", "left_anti"), model))
+
+
 def trimap(a: np.ndarray, r: int, seed: np.ndarray | None = None, variant: str = "additive", ramp: np.ndarray | None = None, sure: float = 0.90, maybe: float = 0.10) -> np.ndarray:
     """Alpha 1 in the sure part, 0 outside the possible part, ``ramp`` (or the raw alpha) between.
 

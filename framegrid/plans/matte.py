@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,8 +12,11 @@ from framegrid.functions import kernels as K
 from framegrid.functions import packed as P
 from framegrid.operators import keyer
 from framegrid.operators import matte as M
+from framegrid.operators.store import shared_folder, stored
+from framegrid.operators.temporal import fill_gaps
 from framegrid.plans import sql
 from framegrid.plans.evaluation import near_backdrop
+from framegrid.plans.keying import _KEY, models
 from framegrid.plans.queries import _long, query
 from framegrid.sources import proxies as V
 
@@ -36,6 +42,11 @@ def plain(spark, d):
     return P.map_packed(f, paint, M.FRAME, ("data",))
 
 
+def plan_name(*parts) -> str:
+    """A folder's name from all that a stage depends on."""
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:32]
+
+
 def levels(frames):
     return P.unpack(frames.select("clip_id", "frame_idx", "h", "w", "a"), {"a": 1})
 
@@ -206,6 +217,37 @@ def snk_composite(spark, d):
     return P.unpack(P.map_packed(plain(spark, d), run, "h int, w int, rgb binary"), {"rgb": 3})
 
 
+@query(sql.GRID + """, sd as materialized (select px.*, y * 8 + x as p, data[(y * 8 + x + 13) % 64 + 1] > 127 as s, abs(a - lag(a) over (partition by clip_id, y, x order by frame_idx)) as mv from px join fr using (clip_id, frame_idx)),
+fg as materialized (select * from sd where a > 127), n4 as materialized (select a.clip_id, a.frame_idx, a.p, b.p as q from fg a join fg b on a.clip_id = b.clip_id and a.frame_idx = b.frame_idx and abs(a.y - b.y) + abs(a.x - b.x) <= 1),
+body(clip_id, frame_idx, p) as (select clip_id, frame_idx, p from fg where s union select b.clip_id, b.frame_idx, n4.q from body b join n4 on n4.clip_id = b.clip_id and n4.frame_idx = b.frame_idx and n4.p = b.p),
+mo as (select p.clip_id, p.frame_idx, p.p, bool_or(q.mv > 150) as moving from sd p join sd q on p.clip_id = q.clip_id and p.frame_idx = q.frame_idx and abs(p.y - q.y) + abs(p.x - q.x) <= 1 group by all)
+select sd.clip_id, sd.frame_idx, y, x, case when s or (a > 127 and body.p is not null and coalesce(moving, false)) then a else 0 end as a from sd join mo using (clip_id, frame_idx, p) left join body using (clip_id, frame_idx, p)""")
+def matte_limbs(spark, d):
+    """Moving parts that hang on the kept body come back though the region left them out."""
+    regions = P.map_packed(plain(spark, d), lambda rgb, a: {"region": np.roll(a.ravel(), -13)}, "region binary")
+    return levels(M.limbs_restored(plain(spark, d).join(regions, ["clip_id", "frame_idx"]), 150, 1))
+
+
+@query(_KEY + "o as (select 1) select clip_id, frame_idx, y, x, case when safe then round_even(al * 255, 0)::int else r end as a from ka")
+def seq_routes(spark, d):
+    """Safe clips keyed by colour, the others matted by a model, for which the red channel stands."""
+    scenes = V.scenes(spark, d)
+    return levels(M.routed(scenes, models(spark, d), lambda: lambda rgb: rgb[..., 0]))
+
+
+@query(sql.FILLED + "select clip_id, frame_idx, round(v, 6) as v from filled")
+def seq_stage_store(spark, d):
+    """A stage's rows made once, kept under its key, and read again instead of being made."""
+    rows = V.track(spark, d).select("clip_id", "frame_idx", fill_gaps().alias("v")).select("clip_id", "frame_idx", F.round("v", 6).alias("v"))
+    root, key = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}", plan_name("filled", 15)
+    stored(spark, root, key, lambda: rows)
+
+    def again():
+        raise AssertionError("the stage is kept already")
+
+    return stored(spark, root, key, again)
+
+
 @query(None)
 def matte_postprocess(spark, d):
     """All stages in their fixed order over the scenes; tests hold it against a plain version."""

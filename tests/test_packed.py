@@ -89,6 +89,35 @@ def test_records_are_read_from_files(spark, tmp_path):
     assert got == [("a", "failed", "E_SERVER_RESTART", "00", "failed", "x"), ("a", "failed", "E_SERVER_RESTART", "z", "done", None), ("c", "queued", None, None, None, None)]
 
 
+def test_raw_files(spark, tmp_path):
+    from framegrid.sources.raw import read_raw
+
+    x = np.arange(2 * 4 * 6 * 4, dtype=np.uint8).reshape(2, 4, 6, 4)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one-6x4.rgba").write_bytes(x.tobytes())
+    (tmp_path / "in" / "two-6x4.rgb").write_bytes(np.ascontiguousarray(x[:1, ..., :3]).tobytes())
+    got = {(r.clip_id, r.frame_idx): r for r in read_raw(spark, str(tmp_path)).collect()}
+    assert set(got) == {("one", 0), ("one", 1), ("two", 0)} and bytes(got["one", 1].a) == np.ascontiguousarray(x[1, ..., 3]).tobytes()
+    assert bytes(got["two", 0].rgb) == np.ascontiguousarray(x[0, ..., :3]).tobytes() and got["two", 0].a is None
+    half = {(r.clip_id, r.frame_idx): r for r in read_raw(spark, str(tmp_path), 2).collect()}
+    assert (half["one", 0].h, half["one", 0].w) == (2, 3)
+    (tmp_path / "in" / "bad-6x4.rgb").write_bytes(b"12345")
+    with pytest.raises(Exception, match="no whole frames"):
+        read_raw(spark, str(tmp_path)).collect()
+
+
+def test_a_failed_stage_leaves_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from framegrid.operators.store import stored
+
+    root = f"file://{tmp_path}/s"
+    with pytest.raises(Exception, match="broken"):
+        stored(spark, root, "k", lambda: spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("id")))
+    assert not list((tmp_path / "s").glob("[!.]*"))
+    assert stored(spark, root, "k", lambda: spark.range(9)).count() == 9 == stored(spark, root, "k", lambda: spark.range(5)).count()
+
+
 def test_refusals(spark):
     boxes = spark.createDataFrame([(1, 0, None, None, None, None)], "clip_id int, frame_idx int, x0 double, y0 double, x1 double, y1 double")
     with pytest.raises(ValueError):
