@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framegrid.functions import foreground as G
 from framegrid.functions import kernels as K
 from framegrid.functions import packed as P
 from framegrid.operators.evaluate import OPAQUE
@@ -225,6 +226,15 @@ def limbs_restored(frames: DataFrame, tau: float, grow: int = 3) -> DataFrame:
     return _alpha_only(frames.join(before, ["clip_id", "frame_idx"], "left"), run, ("region", "before"))
 
 
+def despilled(frames: DataFrame, band_only: bool = True) -> DataFrame:
+    """``frames`` with the backdrop's share taken off the colours of mixed pixels, by estimated foregrounds."""
+
+    def run(rgb: np.ndarray, a: np.ndarray) -> dict:
+        return {"h": a.shape[0], "w": a.shape[1], "rgb": G.despill(rgb, a, band_only), "a": a}
+
+    return P.map_packed(frames, run, FRAME)
+
+
 def inferred(frames: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
     """``frames`` with the alpha that a model gives: ``model()`` runs once in each task and gives a function of colours to levels of 0..255."""
     held: list = []

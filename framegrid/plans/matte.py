@@ -217,6 +217,12 @@ def snk_composite(spark, d):
     return P.unpack(P.map_packed(plain(spark, d), run, "h int, w int, rgb binary"), {"rgb": 3})
 
 
+@query(None)
+def matte_despilled(spark, d):
+    """Colours of mixed pixels by multi-level foreground estimation; a test holds it to colours that are known."""
+    return P.unpack(M.despilled(V.scenes(spark, d)), {"rgb": 3})
+
+
 @query(sql.GRID + """, sd as materialized (select px.*, y * 8 + x as p, data[(y * 8 + x + 13) % 64 + 1] > 127 as s, abs(a - lag(a) over (partition by clip_id, y, x order by frame_idx)) as mv from px join fr using (clip_id, frame_idx)),
 fg as materialized (select * from sd where a > 127), n4 as materialized (select a.clip_id, a.frame_idx, a.p, b.p as q from fg a join fg b on a.clip_id = b.clip_id and a.frame_idx = b.frame_idx and abs(a.y - b.y) + abs(a.x - b.x) <= 1),
 body(clip_id, frame_idx, p) as (select clip_id, frame_idx, p from fg where s union select b.clip_id, b.frame_idx, n4.q from body b join n4 on n4.clip_id = b.clip_id and n4.frame_idx = b.frame_idx and n4.p = b.p),

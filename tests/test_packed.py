@@ -89,6 +89,22 @@ def test_records_are_read_from_files(spark, tmp_path):
     assert got == [("a", "failed", "E_SERVER_RESTART", "00", "failed", "x"), ("a", "failed", "E_SERVER_RESTART", "z", "done", None), ("c", "queued", None, None, None, None)]
 
 
+def test_foreground_of_a_known_mixture():
+    from framegrid.functions import foreground as G
+
+    yy, xx = np.mgrid[:80, :96]
+    alpha = np.clip((30 - np.hypot(yy - 40, xx - 48)) / 8 + 0.5, 0, 1)
+    f = np.stack((0.7 + 0.1 * np.sin(xx / 20), 0.3 + 0 * xx, 0.4 + 0.1 * np.cos(yy / 20)), axis=2)
+    back = np.array([0.2, 0.8, 0.3])
+    image = alpha[..., None] * f + (1 - alpha[..., None]) * back
+    band = (alpha > 0.2) & (alpha < 0.98)
+    assert np.abs(G.foreground(image, alpha) - f)[band].mean() < 0.02 < np.abs(image - f)[band].mean()
+    rgb, a = np.rint(image * 255).astype(np.uint8), np.rint(alpha * 255).astype(np.uint8)
+    out = G.despill(rgb, a)
+    assert (out[~((a / 255 > 0.02) & (a / 255 < 0.98))] == rgb[~((a / 255 > 0.02) & (a / 255 < 0.98))]).all() and (out != rgb).any()
+    assert G.despill(rgb, np.zeros_like(a)) is rgb and G.despill(rgb, np.where(a > 127, 255, 0).astype(np.uint8)) is rgb
+
+
 def test_raw_files(spark, tmp_path):
     from framegrid.sources.raw import read_raw
 

@@ -68,3 +68,25 @@ def test_heartbeats_until_the_end(spark, tmp_path):
         q.stop()
     got = sorted((r.clip_id, r.done, r.beat) for r in spark.table("beats").collect())
     assert got == [(1, 3, k) for k in (1, 2, 3)] + [(2, 5, k) for k in (1, 2, 3)]
+
+
+def test_cancel_ends_only_its_own_job(spark):
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    from framegrid.streaming import control
+
+    def slow(name, seconds):
+        def wait(batches):
+            for b in batches:
+                time.sleep(seconds)
+                yield b
+
+        return control.run_job(spark, name, lambda: spark.range(1, numPartitions=1).mapInPandas(wait, "id long").count())
+
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.submit(slow, "one", 60), pool.submit(slow, "two", 8)
+        time.sleep(4)
+        control.cancel_job(spark, "one")
+        assert two.result(90) == 1
+        assert "cancel" in str(one.exception(90)).lower()
