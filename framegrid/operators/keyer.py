@@ -1,13 +1,17 @@
 """The keyer as a whole: frames sampled, backdrop measured, model joined to all frames, alpha and unmixed colours.
 
-Only the ring and the largest distances of at most 24 frames of a clip are brought together, so a
-clip's model needs bounded memory however long the clip is; all other work is frame by frame.
+Only the counted colours of the borders and the largest distances of at most 24 frames of a clip
+are brought together, so a clip's model needs bounded memory however long the clip is; all other
+work is frame by frame.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,43 +43,67 @@ def sample(frames: DataFrame, places=evenly) -> DataFrame:
     return frames.join(wanted, ["clip_id", "frame_idx"], "left_semi")
 
 
-def _deviation(x: np.ndarray, middle: float) -> float:
-    return max(float(np.median(np.abs(x - middle))) * MAD_SCALE, MAD_FLOOR)
+def weighted_median(x: np.ndarray, n: np.ndarray) -> float:
+    """Median of values that come ``n`` times each; of an even number the mean of the middle two."""
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(n[order])
+    low, high = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")
+    return float(x[order[low]] + x[order[high]]) / 2
+
 
+def _deviation(x: np.ndarray, n: np.ndarray, middle: float) -> float:
+    return max(weighted_median(np.abs(x - middle), n) * MAD_SCALE, MAD_FLOOR)
 
-def measure_ring(once: np.ndarray, strips: np.ndarray) -> dict:
-    """Backdrop statistics of border pixels, and the median colour of those like it.
 
-    ``once`` has every border pixel once, ``strips`` those of the four sides, corners twice.
+def measure_ring(rgb: np.ndarray, once: np.ndarray, strips: np.ndarray) -> dict:
+    """Backdrop statistics of border colours, and the median colour of those like it.
+
+    ``once`` counts every border pixel of a colour once, ``strips`` by the four sides, corners twice.
     """
-    u, v = P.chroma(once)
-    keep = np.ones(len(once), bool)
+    u, v = P.chroma(rgb)
+    keep = once > 0
     for _ in range(2):
-        model = {"mu_u": float(np.median(u[keep])), "mu_v": float(np.median(v[keep]))}
-        model |= {"sd_u": _deviation(u[keep], model["mu_u"]), "sd_v": _deviation(v[keep], model["mu_v"])}
-        d = P.distance_from(once, model)
-        keep = d < KEEP
-    like = strips[P.distance_from(strips, model) < T_LO]
-    colour = np.median(like if len(like) else strips, axis=0)
-    return model | {"share": float((d < NEAR).mean()), "bg_r": float(colour[0]), "bg_g": float(colour[1]), "bg_b": float(colour[2])}
+        n = once[keep]
+        model = {"mu_u": weighted_median(u[keep], n), "mu_v": weighted_median(v[keep], n)}
+        model |= {"sd_u": _deviation(u[keep], n, model["mu_u"]), "sd_v": _deviation(v[keep], n, model["mu_v"])}
+        d = P.distance_from(rgb, model)
+        keep = (d < KEEP) & (once > 0)
+    like = d < T_LO
+    like = like if (strips * like).any() else np.ones(len(rgb), bool)
+    colour = [weighted_median(rgb[like, k], strips[like]) for k in range(3)]
+    return model | {"share": float(once[d < NEAR].sum() / once.sum()), "bg_r": colour[0], "bg_g": colour[1], "bg_b": colour[2]}
 
 
 def backdrop(frames: DataFrame, ring: int = 24) -> DataFrame:
-    """(clip_id, mu_u, mu_v, sd_u, sd_v, share, bg_r, bg_g, bg_b) of the sampled frames' borders of ``ring`` pixels."""
+    """(clip_id, mu_u, mu_v, sd_u, sd_v, share, bg_r, bg_g, bg_b) of the frames' borders of ``ring`` pixels.
 
-    def border(rgb: np.ndarray, a: np.ndarray | None) -> dict:
-        edge = np.ones(rgb.shape[:2], bool)
-        edge[ring:-ring, ring:-ring] = False
-        strips = np.concatenate([x.reshape(-1, 3) for x in (rgb[:ring], rgb[-ring:], rgb[:, :ring], rgb[:, -ring:])])
-        return {"once": rgb[edge], "strips": strips}
+    Colours are counted, so medians are exact and a clip's model needs memory for its different
+    border colours only, however many frames it has.
+    """
+    clip = frames.schema["clip_id"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                h, w = (batch.column(c)[k].as_py() for c in ("h", "w"))
+                x = np.frombuffer(batch.column("rgb")[k].as_buffer(), np.uint8).reshape(h, w, 3).astype(np.int32)
+                code = x[..., 0] << 16 | x[..., 1] << 8 | x[..., 2]
+                edge = np.ones(code.shape, bool)
+                edge[ring:-ring, ring:-ring] = False
+                strips = np.concatenate([part.ravel() for part in (code[:ring], code[-ring:], code[:, :ring], code[:, -ring:])])
+                colours, once = np.unique(code[edge], return_counts=True)
+                n = np.unique(strips, return_counts=True)[1]  # the same colours, more often
+                own = pa.array([batch.column("clip_id")[k].as_py()] * len(colours), batch.schema.field("clip_id").type)
+                yield pa.RecordBatch.from_arrays([own, pa.array(colours), pa.array(once), pa.array(n)], names=["clip_id", "colour", "once", "strips"])
 
     def model(rows: pd.DataFrame) -> pd.DataFrame:
-        once, strips = (np.frombuffer(b"".join(rows[c]), np.uint8).reshape(-1, 3).astype(np.float64) for c in ("once", "strips"))
-        return pd.DataFrame([{"clip_id": rows["clip_id"].iloc[0], **measure_ring(once, strips)}])
+        code = rows["colour"].to_numpy()
+        rgb = np.stack((code >> 16, code >> 8 & 255, code & 255), axis=1).astype(np.float64)
+        return pd.DataFrame([{"clip_id": rows["clip_id"].iloc[0], **measure_ring(rgb, rows["once"].to_numpy(), rows["strips"].to_numpy())}])
 
-    rings = P.map_packed(frames, border, "once binary, strips binary")
-    clip = frames.schema["clip_id"].dataType.simpleString()
-    return rings.groupBy("clip_id").applyInPandas(model, STATS.format(clip=clip))
+    counted = frames.select("clip_id", "h", "w", "rgb").mapInArrow(count, f"clip_id {clip}, colour int, once long, strips long")
+    counted = counted.groupBy("clip_id", "colour").agg(F.sum("once").alias("once"), F.sum("strips").alias("strips"))
+    return counted.groupBy("clip_id").applyInPandas(model, STATS.format(clip=clip))
 
 
 def scaled(stats: DataFrame, slope: float = 0.5) -> DataFrame:
