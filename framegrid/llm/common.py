@@ -91,13 +91,17 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
 def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side``, which has one row per key, so that no key of many rows lands in one task.
 
-    Hot keys are counted first, pre-aggregated; there are at most 1 / HOT_SHARE of them, so their
-    counts are broadcast.  Their rows are dealt to salts by a hash of ``by`` and their row of
-    ``side`` is copied to each salt.  ``rows`` is read twice and should be a written table.
+    Rows by key are counted first, pre-aggregated.  Where no key is hot it is a plain join.  Else
+    there are at most 1 / HOT_SHARE hot keys, so their counts are broadcast; their rows are dealt
+    to salts by a hash of ``by`` and their row of ``side`` is copied to each salt.  ``rows`` is
+    read twice and should be a written table.
     """
-    n = rows.count()
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    n, largest = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     most = max(HOT_ROWS, int(n * HOT_SHARE))
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
+    if largest <= most:
+        return rows.join(side, keys, how)
+    hot = counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
     hot = rows.sparkSession.createDataFrame(hot.collect(), hot.schema)  # at most n / most rows
     salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), F.col("_salts")))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
