@@ -245,10 +245,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     shingles, A-Z lower-cased; component_id is the smallest id reachable by links and kept marks
     it.  Null, empty and blank texts have no shingles and link with nothing; a null id links with
     nothing, has a null component and is kept; rows that repeat an id are one document with the
-    largest of their sets; other columns are ignored; an empty table gives an empty one.
+    greatest of their texts; other columns are ignored; an empty table gives an empty one.
     """
     threshold = percent / 100
     sk = materialise(sketches(docs, id, text, words), "sketches")
+    sets = F.struct("n_shingles", "fp1", "fp2")
+    if not sk.where("id is not null").groupBy("id").agg(F.min(sets).alias("a"), F.max(sets).alias("b")).where("a <> b").isEmpty():
+        one = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).groupBy("id").agg(F.max("t").alias("t"))
+        return near_duplicates(materialise(one, "one-text"), "id", "t", words, percent).withColumnRenamed("id", id)
     valid = sk.where("id is not null and n_shingles > 0")
     same = ["fp1", "fp2", "n_shingles"]
     classes = valid.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")

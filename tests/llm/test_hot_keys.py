@@ -43,3 +43,13 @@ def test_components_of_stars_chains_and_rings(spark, monkeypatch, hot):
             parent[max(a, b)] = min(a, b)
     got = {x.id: x.component for x in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
+
+
+def test_ids_with_several_texts_take_the_greatest(spark):
+    from framegrid.llm import minhash
+
+    a, b = "x1 x2 x3 x4 x5 x6 x7 x8", "y1 y2 y3 y4 y5 y6 y7 y8 y9"
+    rows = [(5, a), (5, b), (5, b), (2, a), (3, b), (None, b), (None, a), (7, None), (7, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in got.items() if k is not None} == {5: (6, 3, False), 2: (5, 2, True), 3: (6, 3, True), 7: (0, 7, True)}
+    assert got[None][1:] == (None, True)
