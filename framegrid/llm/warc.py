@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from framegrid.llm.common import materialise, scratch, spread_join
 
 #: Bytes of payload in a shard, compressed bytes at which a file rolls, bytes of payload from which copies become revisits.
-SHARD, ROLL, REVISIT = 64_000_000, 8_000_000, 1000
+SHARD, ROLL, REVISIT = 32_000_000, 8_000_000, 1000
 #: Shards at most, larger ones beyond, and records for each of them that are chosen by hash to find the bounds of the ranges.
 SHARDS, CHOSEN = 20_000, 16
 #: At most so many tasks read files.
