@@ -17,6 +17,7 @@ from framegrid.functions import kernels as K
 from framegrid.functions import packed as P
 from framegrid.operators.keyer import _with_model
 from framegrid.operators.quality import JUMP, OPAQUE, area_jump_of
+from framegrid.operators.store import written
 from framegrid.operators.temporal import worst
 
 # Distances that are surely subject and surely backdrop, and the rings in pixels.
@@ -180,6 +181,7 @@ def evaluate(source: DataFrame, output: DataFrame, stats: DataFrame, margin: flo
     ``stats`` has the clips' backdrops and ``flat``.  Worst frames are the first of equals; of e2,
     where more is better, the worst is the least.
     """
+    stats = written(stats)
     joined = fitted(source, output)
     frames = frame_metrics(_with_model(joined, stats), margin)
     flat = lambda c: F.when(F.col("flat"), c)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from framegrid.functions import packed as P
 from framegrid.functions.pixel import CHROMA_SHARE, MAD_FLOOR, MAD_SCALE, MIN_SATURATION, T_LO
+from framegrid.operators.store import written
 
 #: Models of at most so many clips are broadcast to the frames; beyond it the frames are shuffled by clip.
 BROADCAST_CLIPS = 100_000
@@ -161,11 +162,11 @@ def keyable(flat: Column, saturation: Column) -> Column:
 def key_models(frames: DataFrame, ring: int = 24, slope: float = 0.5, far: float = 0.05, measured: bool = True) -> DataFrame:
     """One model per clip: backdrop, thresholds, whether it is safe to key by colour and why."""
     own = sample(frames)
-    first = scaled(backdrop(own, ring), slope)
+    first = written(scaled(backdrop(own, ring), slope))
     p999 = far_backdrop(own, first, far) if measured else first.select("clip_id", F.lit(None).cast("double").alias("p999"))
     low = F.when(F.col("p999").isNull() | F.isnan("p999"), F.lit(T_LO)).otherwise(F.least(F.greatest(F.lit(T_LO), F.col("p999")), F.greatest(F.lit(T_LO), F.col("t_hi") / 2)))
     out = first.join(p999, "clip_id").withColumn("t_lo", low).withColumn("t_hi", F.greatest(F.col("t_lo") + 1, F.col("t_hi")))
-    return out.withColumns({"safe": keyable(F.col("flat"), F.col("saturation")), "reason": reason(F.col("flat"), F.col("saturation"), F.col("share"))})
+    return written(out.withColumns({"safe": keyable(F.col("flat"), F.col("saturation")), "reason": reason(F.col("flat"), F.col("saturation"), F.col("share"))}))
 
 
 def _unmixed(rgb: np.ndarray, band: np.ndarray, cover: np.ndarray, m: dict) -> np.ndarray:

@@ -41,3 +41,10 @@ def stored(spark: SparkSession, root: str, key: str, make: Callable[[], DataFram
         finally:
             fs.delete(part, True)
     return spark.read.parquet(final.toString())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder: small tables that are used more than once are made once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
