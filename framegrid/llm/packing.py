@@ -36,38 +36,40 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(rf"[^\t\n\r -~{_LETTERS}]")
 
-_tokenizers: dict[str, object] = {}
-_pieces: dict[str, tuple[dict[str, bytes], bytearray]] = {}
+_tokenizers: dict[tuple[str, bool], object] = {}
+_pieces: dict[tuple[str, bool], tuple[dict[str, bytes], bytearray]] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+def tokenizer(path: str, plain: bool = False):
+    """The tokenizer of a file, loaded once a worker; with ``plain`` special tokens' strings in texts are plain text."""
+    if (path, plain) not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        _tokenizers[path, plain] = Tokenizer.from_file(path)
+        _tokenizers[path, plain].encode_special_tokens = plain
+    return _tokenizers[path, plain]
 
 
-def _ids(texts: list[str], path: str) -> list[bytes]:
-    out = _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)
+def _ids(texts: list[str], path: str, plain: bool) -> list[bytes]:
+    out = tokenizer(path, plain).encode_batch_fast(texts, add_special_tokens=False)
     return [np.asarray(x.ids, dtype="<u4").tobytes() for x in out]
 
 
-def _piece_ids(pieces: list[str], path: str) -> list[bytes]:
+def _piece_ids(pieces: list[str], path: str, plain: bool) -> list[bytes]:
     """Ids of pieces without line breaks, encoded as lines of one text: a line break is a piece and an id of its own."""
     if not pieces:
         return []
     lines = "\n".join(["", *pieces, ""])
-    ids = np.asarray(_tokenizer(path).encode_batch_fast([lines], add_special_tokens=False)[0].ids, dtype="<u4")
+    ids = np.asarray(tokenizer(path, plain).encode_batch_fast([lines], add_special_tokens=False)[0].ids, dtype="<u4")
     cuts = np.flatnonzero(ids == ids[0])
     if len(cuts) != len(pieces) + 1:
-        return _ids(pieces, path)
+        return _ids(pieces, path, plain)
     data = ids.tobytes()
     return [data[a:b] for a, b in zip((4 * cuts[:-1] + 4).tolist(), (4 * cuts[1:]).tolist())]
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
+def token_bytes(texts: list[str], path: str, plain: bool = False) -> list[bytes]:
     """Little-endian 32-bit ids of each text, as the tokenizer gives them for the whole text.
 
     A byte-level tokenizer of this kind merges within pieces only: runs of letters, of digits or
@@ -75,18 +77,18 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     these are found here, and the ids of pieces that come again are kept.  Texts with other
     characters, or that may hold a special token, are encoded whole.
     """
-    known, seen = _pieces.setdefault(path, ({}, bytearray(SEEN)))
+    known, seen = _pieces.setdefault((path, plain), ({}, bytearray(SEEN)))
     if len(known) > CACHED_PIECES:
         known.clear()
         seen[:] = bytes(SEEN)
     whole = [i for i, t in enumerate(texts) if _OTHER.search(t) or "<|" in t]
-    out = dict(zip(whole, _ids([texts[i] for i in whole], path)))
+    out = dict(zip(whole, _ids([texts[i] for i in whole], path, plain)))
     cut = {i: _PIECE.findall(t) for i, t in enumerate(texts) if i not in out}
     new = set().union(*cut.values()).difference(known)
     lines = [p for p in new if not p.isspace()]
     blanks = [p for p in new if p.isspace()]
-    known.update(zip(lines, _piece_ids(lines, path)))
-    known.update(zip(blanks, _ids(blanks, path)))
+    known.update(zip(lines, _piece_ids(lines, path, plain)))
+    known.update(zip(blanks, _ids(blanks, path, plain)))
     for i, pieces in cut.items():
         out[i] = b"".join(map(known.__getitem__, pieces))
     for p in lines:  # most different pieces never come again

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framegrid.llm import chat, classifier, embeddings, minhash, mixing, packing, pii, quality_rules, scoring, substrings, warc, whitening
+from framegrid.llm import alignment, chat, classifier, embeddings, minhash, mixing, packing, pii, quality_rules, scoring, substrings, warc, whitening
 from framegrid.llm.sql import ORACLES
 
 
@@ -58,6 +58,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_quality_classifier, op3_pii, op4_embedding_dedup, op5_mixing, op6_minhash, op7_packing, op8_chat_formatting, op9_substring_dedup, op10_warc, op12_lm_scoring, op13_whitening)
+    found = (op1_quality_rules, op2_quality_classifier, op3_pii, op4_embedding_dedup, op5_mixing, op6_minhash, op7_packing, op8_chat_formatting, op9_substring_dedup, op10_warc, op11_alignment, op12_lm_scoring, op13_whitening)
     return {f.__name__: f for f in found}
 
 
