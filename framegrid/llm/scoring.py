@@ -261,7 +261,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", train: str |
     n, v = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     weighed = words.select("word", "n", F.log10((F.col("n") + 0.1) / (n + 0.1 * (v + 1))).alias("value"))
     asked_grams = found.where("key is not null").select("chunk", "key").join(lengths, "key")
-    asked_words = found.where("word is not null").select("chunk", "word").distinct().join(weighed, "word")
+    asked_words = found.where("word is not null").select("chunk", "word").join(weighed, "word")  # a chunk that two tasks read asks twice
 
     def prepare(answers: list[list[pa.RecordBatch]]) -> tuple:
         keys, values = (np.asarray(column(answers[0], c)) for c in ("key", "value"))
