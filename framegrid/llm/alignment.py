@@ -214,7 +214,7 @@ def align(docs: DataFrame, a: str, b: str, id: str = "doc_id", text: str = "text
     kind = docs.schema[id].dataType.simpleString()
     held = materialise(aligned(docs, a, b, id, text, with_groups), "aligned", "zstd")
     pairs = chunk_pairs(held, packed)
-    asked = pairs.select("chunk", "key").distinct().join(pair_counts(pairs, right.size).select("key", "n", "best_a", "best_b"), "key")
+    asked = pairs.select("chunk", "key").join(pair_counts(pairs, right.size).select("key", "n", "best_a", "best_b"), "key")
     kept = ["id", "n_a", "n_b", "n_groups", "n_links"]
     tail = ["groups_sha256"] + ["groups"] * with_groups
 
