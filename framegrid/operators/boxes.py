@@ -78,8 +78,9 @@ def full_frame_where(again: DataFrame, touches: Column) -> DataFrame:
 
 
 def salient(x: Column, y: Column, on: Column, w: Column, h: Column, share: float = 0.12) -> list[Column]:
-    """Aggregates of the box around the pixels where ``on`` holds, padded by ``share`` of its sides, within the frame."""
+    """Aggregates of the box around the pixels where ``on`` holds, padded by ``share`` of its sides, within the frame; null where there are none."""
     at = lambda f, c: f(F.when(on, c))
     x0, y0, x1, y1 = at(F.min, x), at(F.min, y), at(F.max, x) + 1, at(F.max, y) + 1
     px, py = F.rint((x1 - x0) * share).cast("int"), F.rint((y1 - y0) * share).cast("int")
-    return [F.greatest(F.lit(0), x0 - px).alias("x0"), F.greatest(F.lit(0), y0 - py).alias("y0"), F.least(w, x1 + px).alias("x1"), F.least(h, y1 + py).alias("y1")]
+    sides = (F.greatest(F.lit(0), x0 - px), F.greatest(F.lit(0), y0 - py), F.least(w, x1 + px), F.least(h, y1 + py))
+    return [F.when(F.max(on), v).alias(n) for n, v in zip(BOX, sides)]  # greatest and least skip nulls

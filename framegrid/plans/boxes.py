@@ -41,6 +41,21 @@ def seq_boxes(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query(_SMOOTH + """, un as (select clip_id, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from bx group by 1),
+m as (select 'per_frame' as mode, clip_id, x0, y0, x1, y1 from bx union all select 'clip_union', clip_id, un.x0, un.y0, un.x1, un.y1 from bx join un using (clip_id)
+  union all select 'smoothed', clip_id, cx - aw / 2, cy - ah / 2, cx + aw / 2, cy + ah / 2 from hy)
+select clip_id, mode, count(*) as n, count(x0) as boxed, round(max((x1 - x0) * (y1 - y0)), 4) as largest from m group by all""")
+def seq_modes(spark, d):
+    """What each mode makes of a clip: frames, frames with a box, and the largest box."""
+    boxes, area = found(spark, d), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    out = None
+    for m in B.MODES:
+        one = B.resolved(boxes, m).groupBy("clip_id").agg(F.count("*").alias("n"), F.count("x0").alias("boxed"), F.round(F.max(area), 4).alias("largest"))
+        one = one.select("clip_id", F.lit(m).alias("mode"), "n", "boxed", "largest")
+        out = one if out is None else out.union(one)
+    return out
+
+
 _RUNS = """, h as (select clip_id, frame_idx, coalesce((frame_idx - lag(frame_idx) over (partition by clip_id order by frame_idx) > 4)::int, 0) as new from bx where truncated),
 r as (select clip_id, min(frame_idx)::int as lo, max(frame_idx)::int as hi from (select clip_id, frame_idx, sum(new) over (partition by clip_id order by frame_idx) as run from h) group by clip_id, run),
 u as (select r.clip_id, lo, hi, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from r join bx on bx.clip_id = r.clip_id and frame_idx between lo and hi group by all),
@@ -63,8 +78,9 @@ def seq_collapse_payload(spark, d):
 
 
 @query(sql.GRID + """, b as (select clip_id, frame_idx, min(x) filter (a > 200) as x0, min(y) filter (a > 200) as y0, max(x) filter (a > 200) + 1 as x1, max(y) filter (a > 200) + 1 as y1 from px group by all)
-select clip_id, frame_idx, greatest(0, x0 - round_even((x1 - x0) * 0.12e0, 0)::int) as x0, greatest(0, y0 - round_even((y1 - y0) * 0.12e0, 0)::int) as y0, least(8, x1 + round_even((x1 - x0) * 0.12e0, 0)::int) as x1, least(8, y1 + round_even((y1 - y0) * 0.12e0, 0)::int) as y1 from b where x0 is not null""")
+select clip_id, frame_idx, case when x0 is not null then greatest(0, x0 - round_even((x1 - x0) * 0.12e0, 0)::int) end as x0, case when x0 is not null then greatest(0, y0 - round_even((y1 - y0) * 0.12e0, 0)::int) end as y0,
+case when x0 is not null then least(8, x1 + round_even((x1 - x0) * 0.12e0, 0)::int) end as x1, case when x0 is not null then least(8, y1 + round_even((y1 - y0) * 0.12e0, 0)::int) end as y1 from b""")
 def seq_salient_box(spark, d):
-    """The padded box around a frame's strong alpha."""
+    """The padded box around a frame's strong alpha; null where none is strong."""
     box = B.salient(F.col("x"), F.col("y"), F.col("a") > 200, F.lit(8), F.lit(8))
-    return V.pixels(V.frames(spark, d)).groupBy("clip_id", "frame_idx").agg(*box).where("x1 is not null and x0 is not null")
+    return V.pixels(V.frames(spark, d)).groupBy("clip_id", "frame_idx").agg(*box)

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 
 from framegrid.operators import detection as D
 from framegrid.operators import service as S
-from framegrid.operators import temporal as T
 from framegrid.plans import sql
 from framegrid.plans.queries import query
 from framegrid.sources import proxies as V
@@ -144,14 +143,6 @@ def snk_preview_size(spark, d):
 # Sequences
 
 
-@query(sql.TRACK + """, r as (select clip_id, frame_idx, value, sum(case when value is null then 1 else 0 end) over (partition by clip_id order by frame_idx) as gaps from track)
-select clip_id, case when gaps % 3 = 0 then 'per_frame' when gaps % 3 = 1 then 'clip_union' else 'smoothed' end as mode, count(*) as n from r group by all""")
-def seq_modes(spark, d):
-    gaps = F.sum(F.col("value").isNull().cast("int")).over(T.by_frame())
-    mode = F.element_at(F.array(F.lit("per_frame"), F.lit("clip_union"), F.lit("smoothed")), (gaps % 3 + 1).cast("int"))
-    return V.track(spark, d).select("clip_id", mode.alias("mode")).groupBy("clip_id", "mode").agg(F.count("*").alias("n"))
-
-
 @query(sql.TRACK + "select clip_id, any_value(h) as plan_key from (select clip_id, sha256(clip_id || '|' || count(*) || '|smoothed|15') as h from track group by clip_id) group by 1")
 def seq_plan_key(spark, d):
     n = V.track(spark, d).groupBy("clip_id").agg(F.count("*").alias("n"))

@@ -103,11 +103,11 @@ def ops_throttle(spark, d):
     return T.throttle(ticks(spark, d))
 
 
-@query(_TICKS + "x as (select clip_id, done, (done + 1) / (max(done) over (partition by clip_id) + 1)::double as f, t / 1e3 as e from k) select clip_id, done, round(greatest(0, least(1, (f - 0.1e0) / 0.4e0)) * (e * (1 - f) / f) + (1 - greatest(0, least(1, (f - 0.1e0) / 0.4e0))) * greatest(0, 6e0 - e), 5) as remaining from x")
+@query(_TICKS + "x as (select clip_id, done, (done + 1) / (max(done) over (partition by clip_id) + 1)::double as f, t / 1e3 as e from k) select clip_id, done, round(greatest(0, least(1, (f - 0.1e0) / 0.4e0)) * (e * (1 - f) / f) + (1 - greatest(0, least(1, (f - 0.1e0) / 0.4e0))) * greatest(0, 6e0 - e), 9) as remaining from x")
 def ops_eta_blend(spark, d):
     n = F.max("done").over(W.partitionBy("clip_id")) + 1
     k = ticks(spark, d).withColumn("f", (F.col("done") + 1) / n)
-    return k.select("clip_id", "done", F.round(S.blended_remaining(F.col("f"), F.col("t") / 1000.0, F.lit(6.0)), 5).alias("remaining"))
+    return k.select("clip_id", "done", F.round(S.blended_remaining(F.col("f"), F.col("t") / 1000.0, F.lit(6.0)), 9).alias("remaining"))
 
 
 @query(sql.TRACK + "select clip_id, frame_idx, max(coalesce(value, 0)) over (partition by clip_id order by frame_idx) as progress from track")

@@ -40,13 +40,13 @@ def ops_claim_update(spark, d):
     return S.claimed(j).withColumnRenamed("status", "claimed").join(S.waiting(j).withColumnRenamed("status", "waiting"), "job_id")
 
 
-@query(sql.JOBS + "select job_id, row_number() over (order by created_at desc, job_id desc) as place, count(clip_no) as n_clips from job left join clip using (job_id) where job_id % 7 = 0 group by job_id, created_at")
+@query(sql.JOBS + "select job_id, row_number() over (order by created_at desc, job_id desc) as place, count(clip_no) as n_clips from job left join clip using (job_id) group by job_id, created_at")
 def ops_summary_list(spark, d):
-    """The listing of a seventh of the jobs: their records without settings, metrics, timings and outputs, newest first."""
-    every = V.clips(spark, d).where("job_id % 7 = 0").select("job_id", F.struct("clip_no", "status", F.col("work").alias("metrics"), F.col("fraction").alias("timings"), F.col("part").alias("outputs")).alias("c"))
+    """The listing of all jobs: their records without settings, metrics, timings and outputs, newest first."""
+    every = V.clips(spark, d).select("job_id", F.struct("clip_no", "status", F.col("work").alias("metrics"), F.col("fraction").alias("timings"), F.col("part").alias("outputs")).alias("c"))
     clips = every.groupBy("job_id").agg(F.collect_list("c").alias("clips"))
     light = F.transform("clips", lambda c: c.dropFields("metrics", "timings", "outputs"))
-    jobs = V.jobs(spark, d).where("job_id % 7 = 0").withColumn("day", F.to_date("created_at"))
+    jobs = V.jobs(spark, d).withColumn("day", F.to_date("created_at"))
     days = jobs.groupBy("day").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per day
     k = F.row_number().over(W.partitionBy("day").orderBy(F.desc("created_at"), F.desc("job_id")))
@@ -88,25 +88,25 @@ def ops_predict(spark, d):
     return out.select("job_id", "clip_no", *(F.round(F.col(c) / 7.0001, 5).alias(c) for c in ("infer", "postprocess", "encode", "qc", "total")))
 
 
-_ETA = sql.TRACK + """, k as (select clip_id, frame_idx as tick, frame_idx // 20 as s, (frame_idx % 20 + 1) / 20e0 as f, (frame_idx % 20) * (10 + clip_id % 90) / 7e2 as e from track where frame_idx < 80),
+_ETA = sql.TRACK + """, k as (select clip_id, frame_idx as tick, least(3, frame_idx // 20) as s, (frame_idx % 20 + 1) / 20e0 as f, (frame_idx % 20) * (10 + clip_id % 90) / 7e2 as e from track),
 w as (select *, ([2e0, 0.5e0, 1.5e0, 0.2e0])[s + 1] as p, ([2.2e0, 1.7e0, 0.2e0, 0e0])[s + 1] as later, greatest(0, least(1, (f - 0.1e0) / 0.4e0)) as m, greatest(0, e / f - e) as seen from k),
 r as (select *, later + case when s <> 2 then case when f < 0.1e0 then greatest(0, p - e) else m * seen + (1 - m) * greatest(0, p - e) end
   when f >= 1 then greatest(0, p * 0.65e0 - greatest(0, e - p * 0.35e0)) else p * 0.65e0 + case when f < 0.1e0 then greatest(0, p * 0.35e0 - e) else m * seen + (1 - m) * greatest(0, p * 0.35e0 - e) end end as raw from w) """
 
 
 def raw_eta(spark, d):
-    """Ticks of four stages of twenty frames, with the raw seconds left of the whole clip."""
-    k = V.track(spark, d).where("frame_idx < 80").select("clip_id", F.col("frame_idx").alias("tick"), F.floor(F.col("frame_idx") / 20).cast("int").alias("s"), ((F.col("frame_idx") % 20 + 1) / 20.0).alias("f"), ((F.col("frame_idx") % 20) * (10 + F.col("clip_id") % 90) / 7e2).alias("e"))
+    """Ticks of three stages of twenty frames and a last one of all others, with the raw seconds left of the whole clip."""
+    k = V.track(spark, d).select("clip_id", F.col("frame_idx").alias("tick"), F.least(F.lit(3), F.floor(F.col("frame_idx") / 20).cast("int")).alias("s"), ((F.col("frame_idx") % 20 + 1) / 20.0).alias("f"), ((F.col("frame_idx") % 20) * (10 + F.col("clip_id") % 90) / 7e2).alias("e"))
     at = lambda *v: F.element_at(F.array(*map(F.lit, v)), F.col("s") + 1)
     rest = S.stage_remaining(at(*S.STAGES), F.col("f"), F.col("e"), at(2.0, 0.5, 1.5, 0.2))
     return k.select("clip_id", "tick", (at(2.2, 1.7, 0.2, 0.0) + rest).alias("raw"))
 
 
 @query(_ETA + """, d as (select clip_id, tick, greatest(0, raw) as shown from r where tick = 0 union all select r.clip_id, r.tick, 0.7e0 * d.shown + 0.3e0 * least(greatest(0, r.raw), d.shown * 1.5e0) from d join r on r.clip_id = d.clip_id and r.tick = d.tick + 1)
-select clip_id, tick, round(raw, 5) as raw, round(shown, 5) as shown from d join r using (clip_id, tick)""")
+select clip_id, tick, round(raw, 9) as raw, round(shown, 9) as shown from d join r using (clip_id, tick)""")
 def ops_eta_smooth(spark, d):
     raw = raw_eta(spark, d)
-    return T.smoothed_eta(raw).join(raw, ["clip_id", "tick"]).select("clip_id", "tick", F.round("raw", 5).alias("raw"), F.round("remaining", 5).alias("shown"))
+    return T.smoothed_eta(raw).join(raw, ["clip_id", "tick"]).select("clip_id", "tick", F.round("raw", 9).alias("raw"), F.round("remaining", 9).alias("shown"))
 
 
 @query(sql.JOBS + """, s(k, stage, base, weight) as (values (0, 'prepare', 0e0, 0.02e0), (1, 'infer', 0.02e0, 0.53e0), (2, 'post', 0.55e0, 0.10e0), (3, 'encode', 0.65e0, 0.30e0), (4, 'qc', 0.95e0, 0.05e0))

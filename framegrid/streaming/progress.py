@@ -16,13 +16,17 @@ TICK = "clip_id long, done long, t long, stage long, final boolean"
 SENT = "clip_id long, done long, t long, stage long, seq long"
 
 
-def throttled(ticks: DataFrame, wait: int = 200, frames: int = 5, forget: int = 3_600_000) -> DataFrame:
+def throttled(ticks: DataFrame, wait: int = 200, frames: int = 5, forget: int = 3_600_000, at: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(clip_id, done, t, stage, seq) of the ticks to publish; a clip's state is the last one published.
 
     A tick goes out on a new stage, as the final one, ``wait`` ms or ``frames`` frames after the
     last one published.  A clip's ticks are taken by ``done`` within a micro-batch; the final
-    tick ends its state, as do ``forget`` ms without any.  With ``frames`` of 0 only stage, time and end count, as for previews.
+    tick ends its state.  With a timestamp column ``at``, whose watermark is ``late`` behind, a
+    clip without ticks for ``forget`` ms of event time is forgotten too; such timers ask for no
+    batch of their own, so a query over what is there now ends.  With ``frames`` of 0 only stage,
+    time and end count, as for previews.
     """
+    timed = at is not None
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,17 +45,24 @@ def throttled(ticks: DataFrame, wait: int = 200, frames: int = 5, forget: int =
             state.remove()
         else:
             state.update(last)
-            state.setTimeoutDuration(forget)
+            if timed:
+                newest = int(rows["_at"].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + forget)
         yield pd.DataFrame(sent, columns=["clip_id", "done", "t", "stage", "seq"])
 
-    keyed = ticks.select("clip_id", "done", "t", "stage", "final").groupBy("clip_id")
-    return keyed.applyInPandasWithState(step, SENT, "done long, t long, stage long, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = ["clip_id", "done", "t", "stage", "final"]
+    if timed:
+        ticks = ticks.withWatermark(at, late).withColumn("_at", F.col(at))
+        own.append("_at")
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return ticks.select(*own).groupBy("clip_id").applyInPandasWithState(step, SENT, "done long, t long, stage long, seq long", "append", timeout)
 
 
 def heartbeats(ticks: DataFrame, every: int = 2000, most: int = 1800) -> DataFrame:
     """(clip_id, done, t, beat): the last tick of a clip again after every ``every`` ms without a new one.
 
-    The final tick ends a clip's beats; so do ``most`` beats in a row.
+    The final tick ends a clip's beats; so do ``most`` beats in a row.  Beats come by the clock,
+    so the query runs until it is stopped: it is no query for what is there now.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,8 @@
 """Streaming operators agree with their batch forms."""
 
+import os
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from framegrid.operators import temporal as T
@@ -11,7 +14,10 @@ from conftest import SF
 
 def run(query, name):
     q = query.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        assert q.awaitTermination(180), "the query doesn't end"
+    finally:
+        q.stop()
     return q
 
 
@@ -32,6 +38,22 @@ def test_throttle_equals_batch(spark, tmp_path):
     assert all(r.a == 0 and r.b == r.n - 1 for r in firsts)
 
 
+def test_silent_clips_are_forgotten_by_event_time(spark, tmp_path):
+    form = P.TICK + ", ts timestamp"
+    src = str(tmp_path / "timed")
+    rows = [[(1, 0, 0, 0, False, 0)], [(2, 0, 0, 0, False, 5000)], [(2, 1, 10, 0, False, 5001)], [(1, 1, 10, 0, False, 5002), (2, 2, 20, 0, False, 5002)]]
+    for k, part in enumerate(rows):
+        df = spark.createDataFrame(part, "clip_id long, done long, t long, stage long, final boolean, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s")
+        df.coalesce(1).write.parquet(f"{src}-{k}")
+        for file in Path(f"{src}-{k}").glob("*.parquet"):  # files are taken by their time
+            os.makedirs(src, exist_ok=True)
+            os.utime(file.rename(f"{src}/{k}.parquet"), (1_700_000_000 + 60 * k,) * 2)
+    stream = spark.readStream.schema(form).option("maxFilesPerTrigger", 1).parquet(src)
+    run(P.throttled(stream, forget=60_000, at="ts", late="1 second"), "timed_ticks")
+    # clip 1 was silent for over a minute of event time: its next tick is a first one again; clip 2's is held back
+    assert sorted((r.clip_id, r.done, r.seq) for r in spark.table("timed_ticks").collect()) == [(1, 0, 0), (1, 1, 0), (2, 0, 0)]
+
+
 def test_since_snapshot_and_messages(spark):
     snap = spark.createDataFrame([(1, 5, "running"), (2, 9, "done")], "job_id long, seq long, status string")
     ev = spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (2, 10, "c"), (3, 1, "d")], "job_id long, seq long, what string")
