@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from framegrid.functions.resample import bilinear
+
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 
@@ -66,15 +68,24 @@ def holes(m: np.ndarray) -> np.ndarray:
 
 
 def distance(m: np.ndarray) -> np.ndarray:
-    """Euclidean distance to the nearest pixel of the mask; infinite where it is empty."""
-    ys, xs = np.nonzero(m)
-    if not len(ys):
+    """Euclidean distance to the nearest pixel of the mask; infinite where it is empty.
+
+    First along columns, then along rows: a pixel looks further to its sides only while that
+    can still be nearer, so the cost is the frame times the largest distance.
+    """
+    if not m.any():
         return np.full(m.shape, np.inf)
-    yy, xx = np.indices(m.shape)
-    best = np.full(m.shape, np.inf)
-    for at in range(0, len(ys), 256):
-        d = (yy[..., None] - ys[at : at + 256]) ** 2 + (xx[..., None] - xs[at : at + 256]) ** 2
-        best = np.minimum(best, d.min(axis=-1))
+    h, w = m.shape
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(m, rows, -4 * (h + w)), axis=0)
+    below = np.minimum.accumulate(np.where(m, rows, 5 * (h + w))[::-1], axis=0)[::-1]
+    column = np.minimum(rows - above, below - rows).astype(np.int64) ** 2
+    best = column.copy()
+    for step in range(1, w):
+        if step * step >= best.max():
+            break
+        np.minimum(best[:, step:], column[:, :-step] + step * step, out=best[:, step:])
+        np.minimum(best[:, :-step], column[:, step:] + step * step, out=best[:, :-step])
     return np.sqrt(best)
 
 
@@ -84,14 +95,19 @@ def median3(a: np.ndarray) -> np.ndarray:
     return np.nanmedian(np.stack(layers), axis=0)
 
 
+def box_sum(a: np.ndarray, r: int) -> np.ndarray:
+    """Sums over the square of side 2r + 1 around each pixel, by running sums."""
+    h, w = a.shape
+    total = np.zeros((h + 1, w + 1))
+    np.cumsum(np.cumsum(a, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+    y0, y1 = np.maximum(np.arange(h) - r, 0), np.minimum(np.arange(h) + r + 1, h)
+    x0, x1 = np.maximum(np.arange(w) - r, 0), np.minimum(np.arange(w) + r + 1, w)
+    wide = total[y1] - total[y0]
+    return wide[:, x1] - wide[:, x0]
+
+
 def box_mean(a: np.ndarray, r: int) -> np.ndarray:
-    one, total = np.ones(a.shape), np.zeros(a.shape)
-    n = np.zeros(a.shape)
-    for dy in range(-r, r + 1):
-        for dx in range(-r, r + 1):
-            total += shifted(a.astype(float), dy, dx, 0.0)
-            n += shifted(one, dy, dx, 0.0)
-    return total / n
+    return box_sum(a, r) / box_sum(np.ones(a.shape), r)
 
 
 def guided(guide: np.ndarray, p: np.ndarray, r: int, eps: float) -> np.ndarray:
@@ -104,9 +120,7 @@ def guided(guide: np.ndarray, p: np.ndarray, r: int, eps: float) -> np.ndarray:
 def supersample_threshold(alpha: np.ndarray, factor: int = 4, level: int = 128) -> np.ndarray:
     """Enlarge by linear interpolation, threshold, average back, threshold again."""
     h, w = alpha.shape
-    place = lambda n: np.clip((np.arange(n * factor) + 0.5) / factor - 0.5, 0, n - 1)
-    rows = np.array([np.interp(place(w), np.arange(w), r) for r in alpha.astype(float)])
-    big = np.array([np.interp(place(h), np.arange(h), c) for c in rows.T]).T >= level
+    big = bilinear(alpha, h * factor, w * factor) >= level
     return np.where(big.reshape(h, factor, w, factor).mean(axis=(1, 3)) * 255 >= level, 255, 0)
 
 

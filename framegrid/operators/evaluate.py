@@ -1,7 +1,8 @@
 """All quality metrics of a clip's output against its source, on packed frames.
 
-Frames are paired by clip and number, so a clip's frames needn't be in one task; what is needed
-over all frames of a clip (pixels that stand still) is folded in each task and then merged.
+Frames meet their neighbours in short stretches of a clip, and what is needed over all frames of
+a clip (pixels that stand still) is folded in each task, merged to one plane and handed to the
+stretches, so no step has a whole clip in one task.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framegrid.functions import flow as W
 from framegrid.functions import kernels as K
 from framegrid.functions import packed as P
+from framegrid.functions.flow import flow_between
+from framegrid.functions.resample import resized
+from framegrid.operators.folds import clip_fold
 from framegrid.operators.keyer import _with_model
 from framegrid.operators.quality import JUMP, OPAQUE, area_jump_of
 from framegrid.operators.store import written
@@ -22,51 +27,38 @@ from framegrid.operators.temporal import worst
 
 # Distances that are surely subject and surely backdrop, and the rings in pixels.
 SUBJECT, BACKDROP, RING, MARGIN = 8.0, 3.0, 2, 10
-#: States of at most so many clips are held in a task before they are handed on.
-HELD = 16
 
 
-def clip_fold(frames: DataFrame, columns: tuple[str, ...], start: Callable[..., list[np.ndarray]], join: Callable[[list, list], list]) -> DataFrame:
-    """(clip_id, state array<binary>): every clip's frames folded; ``start`` makes a frame's state, ``join`` merges two, in any order."""
-    form = f"clip_id {frames.schema['clip_id'].dataType.simpleString()}, state array<binary>, kinds array<string>"
+#: Steps along a contour, clockwise from the right.
+STEPS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
-    def out(held: dict) -> pa.RecordBatch:
-        states = [[x.tobytes() for x in s] for s in held.values()]
-        kinds = [[x.dtype.str for x in s] for s in held.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa_clip), pa.array(states, pa.list_(pa.binary())), pa.array(kinds, pa.list_(pa.string()))], names=["clip_id", "state", "kinds"])
 
-    pa_clip = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[frames.schema["clip_id"].dataType.simpleString()]
+def contour_length(m: np.ndarray) -> float:
+    """Length of the outer contours of a mask, from pixel to pixel: sideways steps count one, diagonal ones the root of two.
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        for batch in batches:
-            for k in range(batch.num_rows):
-                clip = batch.column("clip_id")[k].as_py()
-                if "state" in batch.schema.names:
-                    state = [np.frombuffer(b, t) for b, t in zip(batch.column("state")[k].as_py(), batch.column("kinds")[k].as_py())]
-                else:
-                    state = start(*(np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8) for c in columns))
-                held[clip] = join(held[clip], state) if clip in held else state
-                if len(held) > HELD:
-                    first = next(iter(held))
-                    yield out({first: held.pop(first)})
-        if held:
-            yield out(held)
-
-    partial = frames.select("clip_id", *columns).mapInArrow(fold, form)
-    return partial.repartition("clip_id").sortWithinPartitions("clip_id").mapInArrow(fold, form).select("clip_id", "state")
-
-
-def pairs(frames: DataFrame) -> DataFrame:
-    """Every frame with the next of its clip as rgb2 and a2."""
-    after = frames.select("clip_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("rgb").alias("rgb2"), F.col("a").alias("a2"))
-    return frames.join(after, ["clip_id", "frame_idx"])
-
-
-def perimeter(m: np.ndarray) -> int:
-    """Number of sides between pixels of the mask and others; the frame's own edge counts."""
-    wide = np.pad(m, 1).astype(np.int8)
-    return int(np.abs(np.diff(wide, axis=0)).sum() + np.abs(np.diff(wide, axis=1)).sum())
+    Components that lie in a hole of another have no outer contour, nor do holes; a pixel alone has length 0.
+    """
+    on = np.pad(m, 1)
+    label = K.components(on)
+    outside = K.components(~on, K.FOUR) == 0
+    next_to = np.zeros_like(on)
+    for dy, dx in K.FOUR:
+        next_to |= K.shifted(outside, dy, dx, True)
+    straight = slanted = 0
+    for start in np.unique(label[on & next_to]).tolist():
+        y, x = divmod(start, on.shape[1])  # the first pixel by rows: nothing of the component is above or left of it
+        move, first = 0, None
+        while True:
+            turn = next((k for k in range(8) if on[y + STEPS[(move + 5 + k) % 8][0], x + STEPS[(move + 5 + k) % 8][1]]), None)
+            if turn is None:
+                break
+            move = (move + 5 + turn) % 8
+            y, x = y + STEPS[move][0], x + STEPS[move][1]
+            if first == (y, x, move):
+                break
+            first = first or (y, x, move)
+            straight, slanted = straight + (move % 2 == 0), slanted + move % 2
+    return straight + slanted * 2**0.5
 
 
 def frame_metrics(joined: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -85,7 +77,7 @@ def frame_metrics(joined: DataFrame, margin: float = MARGIN) -> DataFrame:
             "f2": int(((d < BACKDROP) & (a >= OPAQUE)).sum()),
             "f3": int(K.holes(opaque).sum()),
             "area": area,
-            "e1": perimeter(opaque) / np.sqrt(area) if area else 0.0,
+            "e1": round(contour_length(opaque) / area**0.5, 9) if area else 0.0,
             "e2": float(P.distance_from(rgb.astype(np.float64), m)[edge].mean()) if edge.any() else None,
             "a2": float(((a > 0) & (a < 255))[ring].mean()) if ring.any() else 0.0,
         }
@@ -94,28 +86,38 @@ def frame_metrics(joined: DataFrame, margin: float = MARGIN) -> DataFrame:
     return P.map_packed(joined, run, f"{counts}, e1 double, e2 double, a2 double", ("model", "source"))
 
 
-def pair_metrics(joined: DataFrame, still: float = 1.0) -> DataFrame:
-    """(clip_id, frame_idx, s1, s2): pixels whose mask differs from the next frame's, and those opaque in both
-    whose colour jumps though the source there changes by less than ``still`` on average."""
-    both = pairs(joined.select("clip_id", "frame_idx", "h", "w", "rgb", "a", "source"))
-    after = joined.select("clip_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("source").alias("source2"))
-    both = both.join(after, ["clip_id", "frame_idx"])
+def pair_metrics(joined: DataFrame, still: float = 1.0, **search) -> DataFrame:
+    """(clip_id, frame_idx, s1, s2): pixels whose mask differs from where they are in the next frame, along the
+    source's flow, and those opaque in both whose colour jumps though the source there changes by less than ``still`` on average."""
 
-    def moved(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        return [np.abs(x.astype(np.int64) - y).reshape(-1, 3).max(axis=1), np.ones(1, np.int64)]
+    def steps(window: list) -> dict:
+        here, then = window
+        if then is None:
+            return {"s1": None, "moved": None, "hits": None}
+        x, y = (np.frombuffer(f["source"], np.uint8).reshape(f["rgb"].shape) for f in window)
+        on, after = here["a"] > OPAQUE, then["a"] > OPAQUE
+        along = flow_between(W.grey(x), W.grey(y), **search)
+        jump = np.abs(here["rgb"].astype(np.int64) - then["rgb"]).max(axis=2) > JUMP
+        moved = np.abs(x.astype(np.int64) - y).max(axis=2).astype(np.uint8)
+        return {"s1": int((on != W.warp(after, along, nearest=True)).sum()), "moved": moved, "hits": np.packbits(on & after & jump)}
 
-    means = clip_fold(both, ("source", "source2"), moved, lambda s, t: [a + b for a, b in zip(s, t)])
-    both = both.join(means, "clip_id")
+    found = written(P.map_window(joined, 0, 1, steps, "s1 long, moved binary, hits binary", ("source",)).where("s1 is not null"))
+    totals = clip_fold(found, ("moved",), lambda x: [x.astype(np.int64), np.ones(1, np.int64)], lambda s, t: [a + b for a, b in zip(s, t)])
 
-    def run(rgb: np.ndarray, a: np.ndarray, rgb2: bytes, a2: bytes, state: list) -> dict:
-        other, alpha = np.frombuffer(rgb2, np.uint8).reshape(rgb.shape), np.frombuffer(a2, np.uint8).reshape(a.shape)
-        total, n = (np.frombuffer(x, np.int64) for x in state)
-        quiet = (total / n[0] < still).reshape(a.shape)
-        jump = np.abs(rgb.astype(np.int64) - other).max(axis=2) > JUMP
-        on, then = a > OPAQUE, alpha > OPAQUE
-        return {"s1": int((on != then).sum()), "s2": int((on & then & jump & quiet).sum())}
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(total, np.int64) / np.frombuffer(n, np.int64)[0] < still).tobytes() for total, n in batch.column("state").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("clip_id"), pa.array(bits, pa.binary())], names=["clip_id", "quiet"])
+
+    clip = joined.schema["clip_id"].dataType.simpleString()
+    both = P.with_clip(found.select("clip_id", "frame_idx", "s1", "hits"), totals.mapInArrow(quiet, f"clip_id {clip}, quiet binary"))
 
-    return P.map_packed(both, run, "s1 long, s2 long", ("rgb2", "a2", "state"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(np.unpackbits(np.frombuffer(h, np.uint8) & np.frombuffer(q, np.uint8)).sum()) for h, q in zip(batch.column("hits").to_pylist(), batch.column("quiet").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("clip_id", "frame_idx", "s1")), pa.array(n, pa.int64())], names=["clip_id", "frame_idx", "s1", "s2"])
+
+    return both.select("clip_id", "frame_idx", "s1", "hits", "quiet").mapInArrow(count, f"clip_id {clip}, frame_idx int, s1 long, s2 long")
 
 
 def frozen_pixels(frames: DataFrame) -> DataFrame:
@@ -138,20 +140,12 @@ def frozen_pixels(frames: DataFrame) -> DataFrame:
 
 
 def fitted(source: DataFrame, output: DataFrame) -> DataFrame:
-    """The output's frames with the source's colours at the output's size as ``source``; frames in both.
-
-    A larger source is averaged over blocks; a size that isn't a multiple of the output's is an error.
-    """
+    """The output's frames with the source's colours, averaged or interpolated to the output's size, as ``source``; frames in both."""
     side = source.select("clip_id", "frame_idx", F.col("h").alias("_h"), F.col("w").alias("_w"), F.col("rgb").alias("_rgb"))
     both = output.join(side, ["clip_id", "frame_idx"])
 
     def run(rgb: np.ndarray, a: np.ndarray, h: int, w: int, source: bytes) -> dict:
-        x = np.frombuffer(source, np.uint8).reshape(h, w, 3)
-        if (h, w) != a.shape:
-            if h % a.shape[0] or w % a.shape[1]:
-                raise ValueError(f"a source of {w} x {h} is no multiple of an output of {a.shape[1]} x {a.shape[0]}")
-            blocks = x.reshape(a.shape[0], h // a.shape[0], a.shape[1], w // a.shape[1], 3)
-            x = np.rint(blocks.mean(axis=(1, 3))).astype(np.uint8)
+        x = resized(np.frombuffer(source, np.uint8).reshape(h, w, 3), *a.shape)
         return {"h": rgb.shape[0], "w": rgb.shape[1], "rgb": rgb, "a": a, "source": x}
 
     return P.map_packed(both, run, "h int, w int, rgb binary, a binary, source binary", ("_h", "_w", "_rgb"))
@@ -175,26 +169,31 @@ def raw_alpha_sad(output: DataFrame, raw: DataFrame) -> DataFrame:
     return P.map_packed(both, run, "sad double", ("raw", "_top"))
 
 
-def evaluate(source: DataFrame, output: DataFrame, stats: DataFrame, margin: float = MARGIN, still: float = 1.0) -> DataFrame:
+def evaluate(source: DataFrame, output: DataFrame, stats: DataFrame, margin: float = MARGIN, still: float = 1.0, raw: DataFrame | None = None, **search) -> DataFrame:
     """One wide row per clip with all metrics; those that measure distances from the backdrop are null where it isn't flat.
 
-    ``stats`` has the clips' backdrops and ``flat``.  Worst frames are the first of equals; of e2,
-    where more is better, the worst is the least.
+    ``stats`` has the clips' backdrops and ``flat``, ``raw`` the alpha before it was stored, without
+    which a1 is null.  Worst frames are the first of equals; of e2, where more is better, the worst
+    is the least.
     """
-    stats = written(stats)
-    joined = fitted(source, output)
-    frames = frame_metrics(_with_model(joined, stats), margin)
+    stats, joined = written(stats), written(fitted(source, output))
+    frames = written(frame_metrics(_with_model(joined, stats), margin))
     flat = lambda c: F.when(F.col("flat"), c)
     least = F.min_by("frame_idx", F.when(F.col("e2").isNotNull(), F.struct("e2", "frame_idx")))
+    bad = lambda c, how: (how(c).alias(f"{c}_{'mean' if how is F.avg else 'total'}"), worst(c).alias(f"{c}_worst_frame"), F.max(c).alias(f"{c}_worst"))
     one = frames.groupBy("clip_id").agg(
-        *(F.sum(c).alias(f"{c}_total") for c in ("f1", "f1i", "f2", "f3")), *(worst(c).alias(f"{c}_worst_frame") for c in ("f1", "f1i", "f2", "f3")),
-        F.coalesce(F.percentile(F.when(F.col("e1") > 0, F.col("e1")), F.lit(0.5)), F.lit(0.0)).alias("e1_median"),
+        *(x for c in ("f1", "f1i", "f2", "f3") for x in bad(c, F.sum)),
+        F.coalesce(F.percentile(F.when(F.col("e1") > 0, F.col("e1")), F.lit(0.5)), F.lit(0.0)).alias("e1_median"), worst("e1").alias("e1_worst_frame"), F.max("e1").alias("e1_worst"),
         F.coalesce(F.avg("e2"), F.lit(0.0)).alias("e2_mean"), F.coalesce(F.min("e2"), F.lit(0.0)).alias("e2_worst"), F.coalesce(least, F.lit(0)).alias("e2_worst_frame"),
-        F.avg("a2").alias("a2_mean"), F.max("a2").alias("a2_worst"),
+        *bad("a2", F.avg),
     )
-    steps = pair_metrics(joined, still).groupBy("clip_id").agg(F.sum("s1").alias("s1_total"), F.sum("s2").alias("s2_total"), worst("s1").alias("s1_worst_frame"), worst("s2").alias("s2_worst_frame"))
+    steps = pair_metrics(joined, still, **search).groupBy("clip_id").agg(*(x for c in ("s1", "s2") for x in (*bad(c, F.sum), F.avg(c).alias(f"{c}_mean"))))
     wide = stats.select("clip_id", "flat").join(one, "clip_id").join(steps, "clip_id", "left").join(frozen_pixels(output), "clip_id", "left")
     wide = wide.join(area_jump_of(frames.select("clip_id", "frame_idx", "area")), "clip_id", "left")
+    if raw is None:
+        wide = wide.withColumns({"a1_mean": F.lit(None).cast("double"), "a1_worst_frame": F.lit(None).cast("int"), "a1_worst": F.lit(None).cast("double")})
+    else:
+        wide = wide.join(raw_alpha_sad(output, raw).select("clip_id", "frame_idx", F.round("sad", 9).alias("a1")).groupBy("clip_id").agg(*bad("a1", F.avg)), "clip_id", "left")
     by_distance = [c for c in one.columns if c.startswith(("f1", "f2", "e2"))]
     whole: list[str | Column] = [flat(F.col(c)).alias(c) if c in by_distance else c for c in wide.columns]
     return wide.select(*whole)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from framegrid.functions import foreground as G
 from framegrid.functions import kernels as K
 from framegrid.functions import packed as P
 from framegrid.operators.evaluate import OPAQUE
+from framegrid.operators.store import written
 from framegrid.operators.temporal import by_frame
 
 # Fixed values of the clears: saturation, areas of links and of clears, distance from the backdrop, verdict, overlap, gap and share of strong members.
@@ -31,13 +33,14 @@ def _labels(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def islands(frames: DataFrame, verdict: Callable[[np.ndarray, np.ndarray], float], rules: dict = CLEAR) -> DataFrame:
-    """(clip_id, frame_idx, label, area, verdict, places): grey, compact islands near the backdrop's colour, each judged by ``verdict``.
+    """(clip_id, frame_idx, label, area, verdict, places, box): grey, compact islands near the backdrop's colour, each judged by ``verdict``.
 
     ``frames`` may have ``bg``, the backdrop's colour; null passes.  ``verdict`` takes a frame's
-    colours and an island's mask and tells how much of it is backdrop.  ``places`` are its pixels.
+    colours and an island's mask and tells how much of it is backdrop.  ``places`` are its pixels,
+    ``box`` its first and last row and column.
     """
 
-    def run(rgb: np.ndarray, a: np.ndarray, bg: list | None) -> dict:
+    def run(rgb: np.ndarray, a: np.ndarray, bg: list | None) -> list[tuple]:
         x = rgb.astype(np.float64)
         top, low = x.max(axis=2), x.min(axis=2)
         sat = np.where(top > 0, (top - low) * 255 / np.maximum(top, 1), 0)
@@ -50,8 +53,9 @@ def islands(frames: DataFrame, verdict: Callable[[np.ndarray, np.ndarray], float
             core = P.shrink(m, P.square(rules["core"]))
             if not core.any() or bg is not None and np.linalg.norm(x[core].mean(axis=0) - np.array(bg)) > rules["dist"]:
                 continue
-            out.append((int(k), int(n), float(verdict(rgb, m)), np.flatnonzero(m).astype("<i4").tobytes()))
-        return {"label": [r[0] for r in out], "area": [r[1] for r in out], "verdict": [r[2] for r in out], "places": [r[3] for r in out]}
+            ys, xs = np.nonzero(m)
+            out.append((int(k), int(n), float(verdict(rgb, m)), np.flatnonzero(m).astype("<i4").tobytes(), [int(v) for v in (ys.min(), ys.max(), xs.min(), xs.max())]))
+        return out
 
     clip = frames.schema["clip_id"].dataType.simpleString()
     held = frames if "bg" in frames.columns else frames.withColumn("bg", F.lit(None).cast("array<double>"))
@@ -60,31 +64,33 @@ def islands(frames: DataFrame, verdict: Callable[[np.ndarray, np.ndarray], float
         for b in batches:
             out = []
             for c, i, h, w, rgb, a, bg in zip(*(b[n] for n in ("clip_id", "frame_idx", "h", "w", "rgb", "a", "bg"))):
-                r = run(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), np.frombuffer(a, np.uint8).reshape(h, w), bg)
-                out += [(c, i, *row) for row in zip(r["label"], r["area"], r["verdict"], r["places"])]
-            yield pd.DataFrame(out, columns=["clip_id", "frame_idx", "label", "area", "verdict", "places"])
+                out += [(c, i, *row) for row in run(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), np.frombuffer(a, np.uint8).reshape(h, w), bg)]
+            yield pd.DataFrame(out, columns=["clip_id", "frame_idx", "label", "area", "verdict", "places", "box"])
 
-    return held.select("clip_id", "frame_idx", "h", "w", "rgb", "a", "bg").mapInPandas(rows, f"clip_id {clip}, frame_idx int, label int, area long, verdict double, places binary")
+    return held.select("clip_id", "frame_idx", "h", "w", "rgb", "a", "bg").mapInPandas(rows, f"clip_id {clip}, frame_idx int, label int, area long, verdict double, places binary, box array<int>")
 
 
 def links(found: DataFrame, rules: dict = CLEAR) -> DataFrame:
     """(clip_id, f1, l1, f2, l2): islands up to ``gap`` frames apart that share ``overlap`` of the smaller one's pixels.
 
-    Pixels meet by place: an equi-join on clip, frame and place.
+    Islands whose boxes meet are paired, and a pair's packed places are intersected where it is.
     """
-
-    def spread(batches):
-        for b in batches:
-            for c, i, k, n, p in zip(*(b[x] for x in ("clip_id", "frame_idx", "label", "area", "places"))):
-                at = np.frombuffer(p, "<i4")
-                yield pd.DataFrame({"clip_id": c, "frame_idx": i, "label": k, "area": n, "place": at})
+    one = found.select("clip_id", F.col("frame_idx").alias("f1"), F.col("label").alias("l1"), F.col("places").alias("p1"), F.col("box").alias("b1")).withColumn("f2", F.explode(F.sequence(F.col("f1") + 1, F.col("f1") + rules["gap"])))
+    two = found.select("clip_id", F.col("frame_idx").alias("f2"), F.col("label").alias("l2"), F.col("places").alias("p2"), F.col("box").alias("b2"))
+    meet = (F.col("b1")[0] <= F.col("b2")[1]) & (F.col("b2")[0] <= F.col("b1")[1]) & (F.col("b1")[2] <= F.col("b2")[3]) & (F.col("b2")[2] <= F.col("b1")[3])
+    paired = one.join(two, ["clip_id", "f2"]).where(meet).select("clip_id", "f1", "l1", "f2", "l2", "p1", "p2")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("p1").to_pylist(), batch.column("p2").to_pylist()):
+                x, y = np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4")
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(n > 0 and n >= rules["overlap"] * min(len(x), len(y)))
+            yield batch.select(["clip_id", "f1", "l1", "f2", "l2"]).filter(pa.array(keep, pa.bool_()))
 
     clip = found.schema["clip_id"].dataType.simpleString()
-    px = found.select("clip_id", "frame_idx", "label", "area", "places").mapInPandas(spread, f"clip_id {clip}, frame_idx int, label int, area long, place int")
-    one = px.select("clip_id", F.col("frame_idx").alias("f1"), F.col("label").alias("l1"), F.col("area").alias("n1"), "place").withColumn("f2", F.explode(F.sequence(F.col("f1") + 1, F.col("f1") + rules["gap"])))
-    two = px.select("clip_id", F.col("frame_idx").alias("f2"), F.col("label").alias("l2"), F.col("area").alias("n2"), "place")
-    shared = one.join(two, ["clip_id", "f2", "place"]).groupBy("clip_id", "f1", "l1", "f2", "l2").agg(F.count("*").alias("shared"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    return shared.where(F.col("shared") >= rules["overlap"] * F.least("n1", "n2")).select("clip_id", "f1", "l1", "f2", "l2")
+    return paired.mapInArrow(shared, f"clip_id {clip}, f1 int, l1 int, f2 int, l2 int")
 
 
 def tracks(found: DataFrame, linked: DataFrame) -> DataFrame:
@@ -189,43 +195,6 @@ def topology(a: np.ndarray, share: float = TOPOLOGY) -> np.ndarray:
     return np.where(K.holes(kept > OPAQUE), 255, kept)
 
 
-def topology_over_time(frames: DataFrame, share: float = TOPOLOGY) -> DataFrame:
-    """Small components go; a hole is filled only where the frame before was opaque, with its alpha; the flow is taken as zero."""
-    before = frames.select("clip_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("a").alias("before"))
-
-    def run(rgb: np.ndarray, a: np.ndarray, before: bytes | None) -> np.ndarray:
-        label, ids, areas = _labels(a > OPAQUE)
-        kept = np.where(np.isin(label, ids[areas >= share * a.size]), a, 0)
-        if before is None:
-            return np.where(K.holes(kept > OPAQUE), 255, kept)
-        old = np.frombuffer(before, np.uint8).reshape(a.shape)
-        return np.where(K.holes(kept > OPAQUE) & (old > OPAQUE), np.maximum(old, kept), kept)
-
-    return _alpha_only(frames.join(before, ["clip_id", "frame_idx"], "left"), run, ("before",))
-
-
-def limbs_restored(frames: DataFrame, tau: float, grow: int = 3) -> DataFrame:
-    """Alpha within ``region`` (a mask column), and beyond it where it moves and hangs on the body that is kept.
-
-    Motion is a change of alpha's level from the frame before of more than ``tau``, grown by
-    ``grow`` pixels: it stands for optical flow.  Components are by four neighbours.
-    """
-    before = frames.select("clip_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("a").alias("before"))
-
-    def run(rgb: np.ndarray, a: np.ndarray, region: bytes, before: bytes | None) -> np.ndarray:
-        inside = np.frombuffer(region, np.uint8).reshape(a.shape) > OPAQUE
-        gated, on = np.where(inside, a, 0), a > OPAQUE
-        if before is None:
-            return gated
-        moved = np.abs(a.astype(int) - np.frombuffer(before, np.uint8).reshape(a.shape)) > tau
-        label = K.components(on, K.FOUR)
-        body = np.unique(label[on & inside])
-        add = on & ~inside & np.isin(label, body) & P.spread(moved, P.ellipse(grow))
-        return np.where(add, a, gated)
-
-    return _alpha_only(frames.join(before, ["clip_id", "frame_idx"], "left"), run, ("region", "before"))
-
-
 def despilled(frames: DataFrame, band_only: bool = True) -> DataFrame:
     """``frames`` with the backdrop's share taken off the colours of mixed pixels, by estimated foregrounds."""
 
@@ -288,22 +257,6 @@ def normal_alpha(alpha: Column) -> Column:
     return F.transform(alpha, lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))))
 
 
-def steadied(frames: DataFrame, half: int = 1) -> DataFrame:
-    """Every inner frame's alpha the middle of it and its neighbours'; flow taken as zero, the ends untouched."""
-    if half != 1:
-        raise ValueError("only one frame on either side")
-    side = lambda k, n: frames.select("clip_id", (F.col("frame_idx") + k).alias("frame_idx"), F.col("a").alias(n))
-    three = frames.join(side(1, "before"), ["clip_id", "frame_idx"], "left").join(side(-1, "after"), ["clip_id", "frame_idx"], "left")
-
-    def run(rgb: np.ndarray, a: np.ndarray, before: bytes | None, after: bytes | None) -> np.ndarray:
-        if before is None or after is None:
-            return a
-        x, y = (np.frombuffer(b, np.uint8).reshape(a.shape) for b in (before, after))
-        return np.maximum(np.minimum(x, a), np.minimum(np.maximum(x, a), y))
-
-    return _alpha_only(three, run, ("before", "after"))
-
-
 def uncollapsed(frames: DataFrame, ratio: float = 0.6) -> DataFrame:
     """A frame whose opaque area is below ``ratio`` of both neighbours' takes the frame before; areas are the original ones."""
     areas = P.map_packed(frames, lambda rgb, a: {"area": int((a > OPAQUE).sum())}, "area long")
@@ -324,13 +277,17 @@ def without_fringe(frames: DataFrame, candidates: Callable, stats: DataFrame, mo
     return _alpha_only(held, lambda rgb, a, m: np.where(candidates(rgb, a, m), 0, a) if m["safe"] else a, ("model",))
 
 
-def postprocess(frames: DataFrame, verdict: Callable, candidates: Callable, stats: DataFrame, clear: dict = CLEAR, subject: dict = SUBJECT, most: float = 0.005) -> DataFrame:
-    """All stages in their fixed order: clears, collapsed frames, steadying, main subject, fringe.
+def postprocess(frames: DataFrame, verdict: Callable, candidates: Callable, stats: DataFrame, clear: dict = CLEAR, subject: dict = SUBJECT, most: float = 0.005, half: int = 1, **search) -> DataFrame:
+    """All stages in their fixed order: clears, collapsed frames, steadying along the flow, main subject, fringe.
 
-    Each works on what the one before left; another order gives another result.
+    Each works on what the one before left; another order gives another result.  A stage whose
+    rows are used more than once is written once.
     """
-    found = islands(frames, verdict, clear)
-    out = cleared(frames, cleared_islands(found, tracks(found, links(found, clear)), clear))
-    out = steadied(uncollapsed(out))
+    from framegrid.operators.motion import steadied
+
+    held = written(frames.select("clip_id", "frame_idx", "h", "w", "rgb", "a", *(["bg"] if "bg" in frames.columns else [])))
+    found = written(islands(held, verdict, clear))
+    fired = cleared_islands(found, written(tracks(found, links(found, clear))), clear)
+    out = steadied(uncollapsed(written(cleared(held, fired))), half, **search)
     none = out.withColumn("box", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")).withColumn("person", F.lit(None).cast("binary"))
-    return without_fringe(keep_main_subject(none, subject), candidates, stats, most)
+    return without_fringe(written(keep_main_subject(none, subject)), candidates, written(stats), most)

@@ -36,12 +36,6 @@ def false_keep(df: DataFrame) -> DataFrame:
     return roll_up(per_frame(df, (F.col("d") < 3) & (F.col("a") >= OPAQUE)))
 
 
-def chatter(df: DataFrame) -> DataFrame:
-    """Pixels whose mask differs from the next frame's at the same place."""
-    pair = df.withColumn("next", F.lead("a").over(by_pixel())).where("next is not null")
-    return roll_up(per_frame(pair, (F.col("a") > OPAQUE) != (F.col("next") > OPAQUE)))
-
-
 def flicker(df: DataFrame, still: float = 1.0) -> DataFrame:
     """Pixels opaque in both of two frames whose colour jumps though the source there hardly changes on average."""
     step = df.withColumns({"pa": F.lag("a").over(by_pixel()), "jump": F.abs(F.col("r") - F.lag("r").over(by_pixel())), "moved": F.abs(F.col("g") - F.lag("g").over(by_pixel()))}).where("pa is not null")

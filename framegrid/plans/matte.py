@@ -15,7 +15,7 @@ from framegrid.operators import matte as M
 from framegrid.operators.store import shared_folder, stored
 from framegrid.operators.temporal import fill_gaps
 from framegrid.plans import sql
-from framegrid.plans.evaluation import near_backdrop
+from framegrid.plans.evaluation import SEARCH, near_backdrop
 from framegrid.plans.keying import _KEY, models
 from framegrid.plans.queries import _long, query
 from framegrid.sources import proxies as V
@@ -25,9 +25,7 @@ CLEAR = M.CLEAR | {"sat": 230.0, "area_link": 6, "area": 10, "core": 1, "verdict
 SUBJECT = M.SUBJECT | {"grow": 1, "overlap": 0.6, "rim": 1}
 
 #: Colours of the plain frames: red is the level, green and blue are the pixels 21 and 42 places on.
-_COMP = """, nb8 as materialized (select a.clip_id, a.frame_idx, a.p, b.p as q from fg a join fg b on a.clip_id = b.clip_id and a.frame_idx = b.frame_idx and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1),
-re(clip_id, frame_idx, p, q) as (select clip_id, frame_idx, p, q from nb8 union select re.clip_id, re.frame_idx, re.p, nb8.q from re join nb8 on nb8.clip_id = re.clip_id and nb8.frame_idx = re.frame_idx and nb8.p = re.q),
-lab as materialized (select clip_id, frame_idx, p, (p // 8)::int as y, (p % 8)::int as x, min(q)::int as label from re group by all) """
+_COMP = sql.LABELS
 _OPAQUE = sql.GRID + ", fg as materialized (select clip_id, frame_idx, y, x, y * 8 + x as p from px where a > 127)" + _COMP + ", ca as materialized (select clip_id, frame_idx, label, count(*) as n from lab group by all) "
 
 
@@ -132,12 +130,6 @@ def matte_topology(spark, d):
     return levels(M._alpha_only(plain(spark, d), lambda rgb, a: M.topology(a, 0.05)))
 
 
-@query(_TOPO + "select t.clip_id, t.frame_idx, t.y, t.x, case when o.a is null then case when hole then 255 else t.a end when hole and o.a > 127 then greatest(o.a, t.a) else t.a end as a from tp t left join px o on o.clip_id = t.clip_id and o.frame_idx = t.frame_idx - 1 and o.y = t.y and o.x = t.x")
-def matte_topology_temporal(spark, d):
-    """Holes filled only where the frame before was opaque."""
-    return levels(M.topology_over_time(plain(spark, d), 0.05))
-
-
 _TRI = sql.GRID + """, sd as materialized (select clip_id, frame_idx, y, x, a, data[(y * 8 + x + 13) % 64 + 1] > 127 as s from px join fr using (clip_id, frame_idx)),
 n as materialized (select p.clip_id, p.frame_idx, p.y, p.x, p.a, bool_and(q.s) as s_in, bool_or(q.s) as s_out, bool_and(q.a / 255e0 > 0.9e0) as f_in, bool_or(q.a / 255e0 > 0.1e0) as f_out from sd p join sd q on p.clip_id = q.clip_id and p.frame_idx = q.frame_idx and abs(p.y - q.y) + abs(p.x - q.x) <= 1 group by p.clip_id, p.frame_idx, p.y, p.x, p.a) """
 
@@ -157,12 +149,6 @@ def matte_trimaps(spark, d):
     return out
 
 
-@query(sql.GRID + ", s as (select *, lag(a) over w as u, lead(a) over w as v from px window w as (partition by clip_id, y, x order by frame_idx)) select clip_id, frame_idx, y, x, case when u is null or v is null then a else greatest(least(u, a), least(greatest(u, a), v)) end as a from s")
-def matte_steadied(spark, d):
-    """The middle of three frames' alpha, ends untouched."""
-    return levels(M.steadied(plain(spark, d)))
-
-
 @query(sql.GRID + """, ar as (select clip_id, frame_idx, count(*) filter (a > 127) as n from px group by all), l as (select *, coalesce(n < 0.95e0 * lag(n) over w and n < 0.95e0 * lead(n) over w, false) as fell from ar window w as (partition by clip_id order by frame_idx))
 select l.clip_id, l.frame_idx, px.y, px.x, px.a from l join px on px.clip_id = l.clip_id and px.frame_idx = case when fell then l.frame_idx - 1 else l.frame_idx end""")
 def matte_uncollapsed(spark, d):
@@ -223,17 +209,6 @@ def matte_despilled(spark, d):
     return P.unpack(M.despilled(V.scenes(spark, d)), {"rgb": 3})
 
 
-@query(sql.GRID + """, sd as materialized (select px.*, y * 8 + x as p, data[(y * 8 + x + 13) % 64 + 1] > 127 as s, abs(a - lag(a) over (partition by clip_id, y, x order by frame_idx)) as mv from px join fr using (clip_id, frame_idx)),
-fg as materialized (select * from sd where a > 127), n4 as materialized (select a.clip_id, a.frame_idx, a.p, b.p as q from fg a join fg b on a.clip_id = b.clip_id and a.frame_idx = b.frame_idx and abs(a.y - b.y) + abs(a.x - b.x) <= 1),
-body(clip_id, frame_idx, p) as (select clip_id, frame_idx, p from fg where s union select b.clip_id, b.frame_idx, n4.q from body b join n4 on n4.clip_id = b.clip_id and n4.frame_idx = b.frame_idx and n4.p = b.p),
-mo as (select p.clip_id, p.frame_idx, p.p, bool_or(q.mv > 150) as moving from sd p join sd q on p.clip_id = q.clip_id and p.frame_idx = q.frame_idx and abs(p.y - q.y) + abs(p.x - q.x) <= 1 group by all)
-select sd.clip_id, sd.frame_idx, y, x, case when s or (a > 127 and body.p is not null and coalesce(moving, false)) then a else 0 end as a from sd join mo using (clip_id, frame_idx, p) left join body using (clip_id, frame_idx, p)""")
-def matte_limbs(spark, d):
-    """Moving parts that hang on the kept body come back though the region left them out."""
-    regions = P.map_packed(plain(spark, d), lambda rgb, a: {"region": np.roll(a.ravel(), -13)}, "region binary")
-    return levels(M.limbs_restored(plain(spark, d).join(regions, ["clip_id", "frame_idx"]), 150, 1))
-
-
 @query(_KEY + "o as (select 1) select clip_id, frame_idx, y, x, case when safe then round_even(al * 255, 0)::int else r end as a from ka")
 def seq_routes(spark, d):
     """Safe clips keyed by colour, the others matted by a model, for which the red channel stands."""
@@ -258,5 +233,5 @@ def seq_stage_store(spark, d):
 def matte_postprocess(spark, d):
     """All stages in their fixed order over the scenes; tests hold it against a plain version."""
     scenes = V.scenes(spark, d)
-    out = M.postprocess(scenes, reds, near_backdrop, keyer.scaled(keyer.backdrop(scenes, 2)), CLEAR, SUBJECT, 0.2)
+    out = M.postprocess(scenes, reds, near_backdrop, keyer.scaled(keyer.backdrop(scenes, 2)), CLEAR, SUBJECT, 0.2, **SEARCH)
     return levels(out)

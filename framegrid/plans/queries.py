@@ -317,11 +317,6 @@ def qc_false_keep(spark, d):
     return Q.false_keep(distanced(spark, d))
 
 
-@query(sql.GRID + ", p as (select *, lead(a) over (partition by clip_id, y, x order by frame_idx) as q from px), f as (select clip_id, frame_idx, count(*) filter ((a > 127) <> (q > 127)) as n from p where q is not null group by all)" + _ROLL)
-def qc_chatter(spark, d):
-    return Q.chatter(V.pixels(V.frames(spark, d)))
-
-
 @query(sql.GRID + """, s as (select *, lag(a) over w as pa, abs(r - lag(r) over w) as jump, abs(g - lag(g) over w) as moved from px window w as (partition by clip_id, y, x order by frame_idx)),
 t as (select *, avg(moved) over (partition by clip_id, y, x) < 60 as st from s where pa is not null), f as (select clip_id, frame_idx, count(*) filter (a > 127 and pa > 127 and jump > 8 and st) as n from t group by all)""" + _ROLL)
 def qc_flicker(spark, d):

@@ -57,3 +57,32 @@ op as (select clip_id, frame_idx, y, x from sd where d > hi),
 far as (select clip_id, quantile_cont(d, 0.999) as p999 from sd where not exists (select 1 from op where op.clip_id = sd.clip_id and op.frame_idx = sd.frame_idx and (op.y - sd.y) * (op.y - sd.y) + (op.x - sd.x) * (op.x - sd.x) <= 2.56e0) group by 1),
 lo as (select st.*, bg_r, bg_g, bg_b, p999, greatest(4e0, 0.5e0 * neutral) as hi, case when p999 is null then 3e0 else least(greatest(3e0, p999), greatest(3e0, greatest(4e0, 0.5e0 * neutral) / 2)) end as t_lo from st join bg using (clip_id) left join far using (clip_id)),
 km as materialized (select *, greatest(t_lo + 1, hi) as t_hi, flat and saturation >= 20 as safe from lo) """
+
+#: lab: components by eight neighbours of the places in fg, named by their first place.
+LABELS = """, nb8 as materialized (select a.clip_id, a.frame_idx, a.p, b.p as q from fg a join fg b on a.clip_id = b.clip_id and a.frame_idx = b.frame_idx and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1),
+re(clip_id, frame_idx, p, q) as (select clip_id, frame_idx, p, q from nb8 union select re.clip_id, re.frame_idx, re.p, nb8.q from re join nb8 on nb8.clip_id = re.clip_id and nb8.frame_idx = re.frame_idx and nb8.p = re.q),
+lab as materialized (select clip_id, frame_idx, p, (p // 8)::int as y, (p % 8)::int as x, min(q)::int as label from re group by all) """
+
+#: cl: the length of the outer contours by frame, of the components lab that touch the background reached from outside.
+CONTOURS = """, ou as (select distinct l.clip_id, l.frame_idx, l.label from lab l where y in (0, 7) or x in (0, 7)
+  or exists (select 1 from reached r where r.clip_id = l.clip_id and r.frame_idx = l.frame_idx and abs(r.p // 8 - l.y) + abs(r.p % 8 - l.x) = 1)),
+di(m, dy, dx) as (values (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)),
+tn as (select f.clip_id, f.frame_idx, f.p, i.m, arg_min(di.m, (di.m - i.m + 11) % 8) as go from fg f, range(8) i(m), di, fg g
+  where g.clip_id = f.clip_id and g.frame_idx = f.frame_idx and g.y = f.y + di.dy and g.x = f.x + di.dx group by all),
+tq as materialized (select tn.*, tn.p + dy * 8 + dx as q from tn join di on di.m = tn.go),
+wk(clip_id, frame_idx, label, p, m) as (select ou.clip_id, ou.frame_idx, ou.label, tq.q, tq.go from ou join tq on tq.clip_id = ou.clip_id and tq.frame_idx = ou.frame_idx and tq.p = ou.label and tq.m = 0
+  union select wk.clip_id, wk.frame_idx, wk.label, tq.q, tq.go from wk join tq on tq.clip_id = wk.clip_id and tq.frame_idx = wk.frame_idx and tq.p = wk.p and tq.m = wk.m),
+cl as materialized (select clip_id, frame_idx, count(*) filter (m % 2 = 0) + count(*) filter (m % 2 = 1) * sqrt(2e0) as len from wk group by all) """
+
+
+def flow(table: str = "px", steps: str = "(-1), (1)") -> str:
+    """fw: by pixel the displacement to the frame before (k = -1) or after (k = 1), an exhaustive search; al: the alpha there."""
+    return f""", gy as materialized (select clip_id, frame_idx, y, x, a, (299 * r + 587 * g + 114 * b + 500) // 1000 as v from {table}),
+df as materialized (select p.clip_id, p.frame_idx, k, p.y, p.x, dy, dx, (p.v - q.v) * (p.v - q.v) as e
+  from gy p, (values {steps}) t(k), (values (-1), (0), (1)) u(dy), (values (-1), (0), (1)) w(dx), gy q
+  where q.clip_id = p.clip_id and q.frame_idx = p.frame_idx + k and q.y = greatest(0, least(7, p.y + dy)) and q.x = greatest(0, least(7, p.x + dx))),
+cs as (select o.clip_id, o.frame_idx, o.k, o.y, o.x, o.dy, o.dx, sum(n.e) as c
+  from df o join df n on n.clip_id = o.clip_id and n.frame_idx = o.frame_idx and n.k = o.k and n.dy = o.dy and n.dx = o.dx and abs(n.y - o.y) <= 1 and abs(n.x - o.x) <= 1 group by all),
+fw as materialized (select clip_id, frame_idx, k, y, x, arg_min(dy, (c, dy * dy + dx * dx, dy, dx)) as fy, arg_min(dx, (c, dy * dy + dx * dx, dy, dx)) as fx from cs group by all),
+al as materialized (select fw.*, q.a as other from fw join {table} q on q.clip_id = fw.clip_id and q.frame_idx = fw.frame_idx + fw.k
+  and q.y = greatest(0, least(7, fw.y + fy)) and q.x = greatest(0, least(7, fw.x + fx))) """

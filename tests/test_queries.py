@@ -2,7 +2,7 @@
 
 import pytest
 
-from framegrid.plans import boxes, evaluation, keying, matte, more, service  # noqa: F401
+from framegrid.plans import boxes, evaluation, keying, matte, more, motion, service  # noqa: F401
 from framegrid.plans.queries import ORACLES, QUERIES
 
 
