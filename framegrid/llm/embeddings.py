@@ -32,6 +32,8 @@ BLOCK = 16
 CHUNK = 8192
 #: Pivots of the cells are chosen among at most so many vectors; the choice only shapes the cells.
 SAMPLE, CELLS = 8192, 256
+#: Those vectors hold at most so many numbers.
+SAMPLE_NUMBERS = 1 << 22
 #: From this share of the pairs on, two chunks are compared whole, which is faster than cell by cell.
 DENSE = 0.4
 
@@ -180,79 +182,108 @@ def chunks_of(reach: np.ndarray, base: np.ndarray, parts: np.ndarray) -> list[li
     return [[c for k in np.flatnonzero(row) for c in ranges[k]] for row in np.logical_or.reduceat(reach[:, cells], first, axis=1)]
 
 
-def tiled_links(good: DataFrame, dim: int, least: float, seed: int) -> DataFrame:
-    """(u, v, n) of the vectors (id, v) of one length: counts of links where u = v, and a spanning forest of them."""
-    spark = good.sparkSession
-    parts, turn = blocks_of(dim), rotation(dim, seed)
-    budgets = block_budgets(parts, dim, least)
+class Cells:
+    """The blocks, pivots, radii and chunks of the vectors of one length."""
+
+    def __init__(self, dim: int, sample: list[bytes], kind: type, least: float, seed: int):
+        self.dim, self.kind, self.parts = dim, kind, blocks_of(dim)
+        self.turn, self.budgets = rotation(dim, seed), block_budgets(self.parts, dim, least)
+        self.pivots = choose_pivots(self.read(sample) if sample else np.zeros((0, dim)), CELLS) @ self.turn
+        self.radii = np.full((len(self.pivots), len(self.parts) + 1), -1.0)
+        self.base = self.shares = np.zeros(0, np.int64)
+
+    def read(self, column: list[bytes]) -> np.ndarray:
+        return read_vectors(column, self.kind, self.dim)
+
+    def settle(self, radii: dict[tuple[int, int], float], counts: dict[int, int]) -> None:
+        """Take in what was measured over all vectors: radii by (cell, block) and numbers of vectors by cell."""
+        for at, far in radii.items():
+            self.radii[at] = far
+        self.base, self.shares = chunk_table(counts, len(self.pivots), CHUNK)
+
+
+def by_length(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(length, rows of that length), at most ``rows`` at a time."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        for k in range(0, len(at), rows):
+            yield dim, batch.take(pa.array(at[k : k + rows]))
+
+
+def cell_links(good: DataFrame, least: float, seed: int) -> DataFrame:
+    """(u, v, n) of the vectors (id, v, dim), compared with those of their own length: counts of links where u = v, and a spanning forest of them."""
     kind = np.float32 if good.schema["v"].dataType.elementType.typeName() == "float" else np.float64
 
-    sample = [r["v"] for r in good.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()]
-    pivots = choose_pivots(unit_vectors(sample), CELLS) @ turn
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("dim"), pa.array([np.array(v, dtype=kind).tobytes() for v in batch.column("v").to_pylist()], pa.binary())], names=["dim", "x"])
+
+    # Lengths differ in at most as many ways as the root of twice the numbers; the sample is bounded in vectors and in numbers.
+    dims = sorted(r["dim"] for r in good.select("dim").distinct().collect())
+    most = min(SAMPLE, max(1, SAMPLE_NUMBERS // max([1, *dims])))
+    sample: dict[int, list[bytes]] = {}
+    for r in good.orderBy(F.xxhash64("id")).limit(most).select("dim", "v").mapInArrow(pack, "dim int, x binary").collect():
+        sample.setdefault(r["dim"], []).append(r["x"])
+    cells = {dim: Cells(dim, sample.get(dim, []), kind, least, seed) for dim in dims}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column("v").to_pylist(), dtype=kind)
-                cell = (unit_vectors(x) @ turn @ pivots.T).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "cell", "x"])
+            for dim, part in by_length(batch):
+                x, own = np.array(part.column("v").to_pylist(), dtype=kind), cells[dim]
+                cell = (unit_vectors(x) @ own.turn @ own.pivots.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("dim"), pa.array(cell), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "dim", "cell", "x"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far, n = np.full((len(pivots), len(parts) + 1), -1.0), np.zeros(len(pivots), np.int64)
+        far: dict[int, np.ndarray] = {}
+        n: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                cell = batch.column("cell").to_numpy()
-                far = np.maximum(far, block_radii(read_vectors(batch.column("x").to_pylist(), kind, dim) @ turn, cell, pivots, parts))
-                n += np.bincount(cell, minlength=len(pivots))
-        own = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own]), pa.array(far[own].tolist(), pa.list_(pa.float64()))], names=["cell", "n", "far"])
-
-    placed = materialise(good.mapInArrow(place, "id long, cell long, x binary"), "placed")
-    found = placed.select("cell", "x").mapInArrow(measure, "cell long, n long, far array<double>").groupBy("cell")
-    radii, counts = np.full((len(pivots), len(parts) + 1), -1.0), {}
-    for r in found.agg(F.sum("n").alias("n"), F.array(*(F.max(F.col("far")[k]) for k in range(len(parts) + 1))).alias("far")).collect():  # CELLS rows at most
-        radii[r["cell"]], counts[r["cell"]] = r["far"], r["n"]
-    base, shares = chunk_table(counts, len(pivots), CHUNK)
+            for dim, part in by_length(batch):
+                own, cell = cells[dim], part.column("cell").to_numpy()
+                got = block_radii(own.read(part.column("x").to_pylist()) @ own.turn, cell, own.pivots, own.parts)
+                far[dim] = np.maximum(far[dim], got) if dim in far else got
+                n[dim] = n.get(dim, 0) + np.bincount(cell, minlength=len(own.pivots))
+        for dim, reach in far.items():
+            held = np.flatnonzero(n[dim])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), dim, np.int32)), pa.array(held), pa.array(n[dim][held]), pa.array(reach[held].tolist(), pa.list_(pa.float64()))], names=["dim", "cell", "n", "far"])
+
+    placed = materialise(good.mapInArrow(place, "id long, dim int, cell long, x binary"), "placed")
+    measured = materialise(placed.select("dim", "cell", "x").mapInArrow(measure, "dim int, cell long, n long, far array<double>"), "measured")
+    radii: dict[int, dict] = {dim: {} for dim in dims}
+    counts: dict[int, dict] = {dim: {} for dim in dims}
+    blocks = measured.select("dim", "cell", F.posexplode("far").alias("k", "far")).groupBy("dim", "cell", "k").agg(F.max("far").alias("far"))
+    for r in blocks.collect():  # a number per length, cell and block
+        radii[r["dim"]][r["cell"], r["k"]] = r["far"]
+    for r in measured.groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect():
+        counts[r["dim"]][r["cell"]] = r["n"]
+    for dim in dims:
+        cells[dim].settle(radii[dim], counts[dim])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                cell = part.column("cell").to_numpy()
-                reach = reached(read_vectors(part.column("x").to_pylist(), kind, dim) @ turn, pivots, radii, parts, budgets)
-                own = base[cell] + part.column("salt").to_numpy() % shares[cell]
-                others = pa.array(chunks_of(reach, base, shares), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cell"), part.column("x"), pa.array(own), others], names=["id", "cell", "x", "chunk", "others"])
+            for dim, part in by_length(batch):
+                own, cell = cells[dim], part.column("cell").to_numpy()
+                reach = reached(own.read(part.column("x").to_pylist()) @ own.turn, own.pivots, own.radii, own.parts, own.budgets)
+                chunk = own.base[cell] + part.column("salt").to_numpy() % own.shares[cell]
+                others = pa.array(chunks_of(reach, own.base, own.shares), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "dim", "cell", "x")), pa.array(chunk), others], names=["id", "dim", "cell", "x", "chunk", "others"])
 
     salted = placed.withColumn("salt", F.shiftrightunsigned(F.xxhash64("id"), 1))
-    tiled = salted.mapInArrow(deal, "id long, cell long, x binary, chunk long, others array<long>").withColumn("other", F.explode("others"))
-    tiled = tiled.select("id", "x", "cell", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    tiled = salted.mapInArrow(deal, "id long, dim int, cell long, x binary, chunk long, others array<long>").withColumn("other", F.explode("others"))
+    tiled = tiled.select("id", "dim", "x", "cell", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
     def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left, right = rows[rows["chunk"] == i], rows[rows["chunk"] == j]
+        dim, i, j = key
+        own, left, right = cells[dim], rows[rows["chunk"] == i], rows[rows["chunk"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
-        a = read_vectors(left["x"], kind, dim)
-        b = a if i == j else read_vectors(right["x"], kind, dim)
+        a = own.read(left["x"])
+        b = a if i == j else own.read(right["x"])
         ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
-        n_a, n_b, forest, _ = join_chunks(ids_a, a, ids_b, b, i == j, parts, budgets, turn, least, (right["cell"].to_numpy(), pivots, radii))
+        n_a, n_b, forest, _ = join_chunks(ids_a, a, ids_b, b, i == j, own.parts, own.budgets, own.turn, least, (right["cell"].to_numpy(), own.pivots, own.radii))
         return link_rows(np.concatenate((ids_a, ids_b)), np.concatenate((n_a, n_b)), forest)
 
-    return materialise(tiled.groupBy("i", "j").applyInPandas(tile, "u long, v long, n long"), "links")
-
-
-def chunk_links(good: DataFrame, least: float, seed: int) -> DataFrame:
-    """(u, v, n), as of ``tiled_links``, of vectors (id, v, dim) of all lengths that have one chunk of them at most."""
-
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        dim = int(rows["dim"].iloc[0])
-        ids, x = rows["id"].to_numpy(), unit_vectors(rows["v"].to_list())
-        parts = blocks_of(dim)
-        n, m, forest, _ = join_chunks(ids, x, ids, x, True, parts, block_budgets(parts, dim, least), rotation(dim, seed), least)
-        return link_rows(ids, n + m, forest)
-
-    return materialise(good.groupBy("dim").applyInPandas(whole, "u long, v long, n long"), "links")
+    return materialise(tiled.groupBy("dim", "i", "j").applyInPandas(tile, "u long, v long, n long"), "links")
 
 
 def cosine_links(docs: DataFrame, id: str = "vec_id", vector: str = "embedding", least: float = 0.9, seed: int = 5) -> DataFrame:
@@ -271,11 +302,7 @@ def cosine_links(docs: DataFrame, id: str = "vec_id", vector: str = "embedding",
     rows = docs.select(F.col(id).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
     rows = materialise(rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))), "vectors")
     good = rows.where("ok").select("id", "v", F.size("v").alias("dim"))
-    # Lengths of more than a chunk are at most a CHUNK-th of the rows and usually one.
-    large = sorted(r["dim"] for r in good.groupBy("dim").count().where(F.col("count") > CHUNK).select("dim").collect())
-    found = chunk_links(good.where(~F.col("dim").isin(large)), least, seed)
-    for dim in large:
-        found = found.unionByName(tiled_links(good.where(F.col("dim") == dim).select("id", "v"), dim, least, seed))
+    found = cell_links(good, least, seed)
     links = found.where("u = v").groupBy("u").agg(F.sum("n").alias("n_links")).withColumnRenamed("u", "id")
     component = connected_components(found.where("u <> v").select("u", "v"))
     out = rows.select("id").join(links, "id", "left").join(component, "id", "left")

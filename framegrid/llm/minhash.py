@@ -13,7 +13,7 @@ in tiles of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +29,9 @@ from framegrid.llm.components import connected_components
 BANDS, ROWS = 24, 4
 #: Signature entries compared before each pruning decision, and the probability of dropping a true pair.
 BATCH, MISS = 16, 1e-6
-#: Rows of a bucket on either side of a tile, within which they are compared with each other.
-TILE = 1024
+#: Rows of a bucket on either side of a tile, within which they are compared with each other, and shingles of all of them.
+TILE, TILE_SHINGLES = 1024, 1 << 21
+
 
 @lru_cache(4)
 def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,28 +174,42 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name:
     return materialise(both.select("leader", "id", "ta", "tb").mapInArrow(run, "u long, v long"), f"{name}-links")
 
 
-def _tile_links(rows: list[dict], threshold: float, words: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join different components within one tile of a bucket.
+def _candidates(rows: list[dict], threshold: float) -> tuple[list[dict], list[dict], list[tuple[int, int, int]]]:
+    """The rows of either side of a tile and (minus matches, left, right) of the pairs of different components that no batch prunes.
 
-    Pairs that share an earlier band are left to that band's bucket.  Survivors of the pruning are
-    confirmed from the likeliest on, and not at all once their components have met.
+    Pairs that share an earlier band are left to that band's bucket.
     """
     key, i, j = (rows[0][k] for k in ("key", "i", "j"))
     left, right = [r for r in rows if r["sub"] == i], [r for r in rows if r["sub"] == j]
-    if not left or not right:
-        return []
-    sa, sb = _signatures([r["sig"] for r in left]), _signatures([r["sig"] for r in right])
-    ka, kb = band_keys(sa), band_keys(sb)
-    place = int(np.flatnonzero(ka[0] == key)[0])
-    comp, ids = np.array([r["comp"] for r in right]), np.array([r["id"] for r in right])
     found: list[tuple[int, int, int]] = []
-    for k, r in enumerate(left):
-        new = (comp != r["comp"]) & ~(kb[:, :place] == ka[k, :place]).any(axis=1)
-        if i == j:
-            new &= ids > r["id"]
-        new = np.flatnonzero(new)
-        new = new[likely(np.broadcast_to(sa[k], (len(new), sa.shape[1])), sb[new], threshold)]
-        found += [(-int(m), k, int(c)) for m, c in zip((sb[new] == sa[k]).sum(axis=1), new)]
+    if left and right:
+        sa, sb = _signatures([r["sig"] for r in left]), _signatures([r["sig"] for r in right])
+        ka, kb = band_keys(sa), band_keys(sb)
+        place = int(np.flatnonzero(ka[0] == key)[0])
+        comp, ids = np.array([r["comp"] for r in right]), np.array([r["id"] for r in right])
+        for k, r in enumerate(left):
+            new = (comp != r["comp"]) & ~(kb[:, :place] == ka[k, :place]).any(axis=1)
+            if i == j:
+                new &= ids > r["id"]
+            new = np.flatnonzero(new)
+            new = new[likely(np.broadcast_to(sa[k], (len(new), sa.shape[1])), sb[new], threshold)]
+            found += [(-int(m), k, int(c)) for m, c in zip((sb[new] == sa[k]).sum(axis=1), new)]
+    return left, right, found
+
+
+def _survivors(rows: list[dict], threshold: float) -> list[tuple]:
+    """(key, i, j, id, comp, sub) of the tile's rows that are in a candidate pair: at most the tile's rows, however many pairs."""
+    left, right, found = _candidates(rows, threshold)
+    kept = {r["id"]: r for _, k, c in found for r in (left[k], right[c])}
+    return [tuple(r[n] for n in ("key", "i", "j", "id", "comp", "sub")) for r in kept.values()]
+
+
+def _tile_links(rows: list[dict], threshold: float, words: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join different components within one tile of a bucket.
+
+    Candidates are confirmed from the likeliest on, and not at all once their components have met.
+    """
+    left, right, found = _candidates(rows, threshold)
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -216,15 +231,16 @@ def _tile_links(rows: list[dict], threshold: float, words: int, percent: int) ->
     return links
 
 
-def _links_in_tiles(rest: DataFrame, threshold: float, words: int, percent: int) -> DataFrame:
-    """(u, v) from rows sorted by tile; a task holds one tile at a time."""
+def _by_tile(rest: DataFrame, columns: list[str], kernel: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """What ``kernel`` makes of each tile's rows; a task holds one tile at a time."""
+    fields = [f.split() for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def close() -> pa.RecordBatch:
-            links = _tile_links(held, threshold, words, percent) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            out = kernel(held) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64() if kind == "long" else pa.int32()) for k, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -235,7 +251,7 @@ def _links_in_tiles(rest: DataFrame, threshold: float, words: int, percent: int)
         yield close()
 
     tiled = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return tiled.select("key", "i", "j", "id", "comp", "sub", "sig", "t").mapInArrow(run, "u long, v long")
+    return tiled.select("key", "i", "j", "id", "comp", "sub", *columns).mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 80) -> DataFrame:
@@ -271,14 +287,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     links = _confirm(_prune(pairs, sigs, threshold), texts, words, percent, "led")
 
     first = materialise(connected_components(links), "first")
-    placed = materialise(led.where("c > 2").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "placed")
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    rest = materialise(spread_join(placed, split, ["key"], ["id"]), "rest")
-    held = only_ids(texts, rest.select("id").distinct(), "id").groupBy("id").agg(F.max("t").alias("t"))
-    held = materialise(held.join(sigs, "id"), "rest-texts")
+    # Buckets that are still split: tiles of signatures tell which rows have a likely partner, and only these get their texts.
+    sized = sigs.join(valid.groupBy("id").agg(F.max("n_shingles").alias("w")), "id")
+    placed = led.where("c > 2").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    placed = materialise(placed.join(sized.select("id", "w"), "id"), "placed")
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.least(F.col("n"), F.ceil(F.col("w") / TILE_SHINGLES))).cast("int")
+    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("w").alias("w")).where("low < high").select("key", tiles.alias("tiles"))
+    rest = materialise(spread_join(placed.drop("w"), split, ["key"], ["id"]), "rest")
     rest = rest.withColumn("sub", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rest = rest.select("key", "id", "comp", "sub", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
-    more = materialise(_links_in_tiles(rest.join(held, "id"), threshold, words, percent).distinct(), "rest-links")
+    tile = "key long, i int, j int, id long, comp long, sub int"
+    alive = materialise(_by_tile(rest.join(sigs, "id"), ["sig"], lambda rows: _survivors(rows, threshold), tile), "alive")
+    held = only_ids(texts, alive.select("id").distinct(), "id").groupBy("id").agg(F.max("t").alias("t"))
+    held = materialise(held.join(sigs, "id"), "alive-texts")
+    more = _by_tile(alive.join(held, "id"), ["sig", "t"], lambda rows: _tile_links(rows, threshold, words, percent), "u long, v long")
+    more = materialise(more.distinct(), "rest-links")
     links = links.unionByName(more)
 
     component = connected_components(links).withColumnRenamed("id", "rep")
