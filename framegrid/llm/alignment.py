@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.chunks import Numbering, answered, column, runs
+from framegrid.llm.chunks import Numbering, answered, runs
 from framegrid.llm.common import materialise
 from framegrid.llm.packing import CACHED_PIECES, SEEN, token_bytes, tokenizer
 
@@ -214,14 +214,13 @@ def align(docs: DataFrame, a: str, b: str, id: str = "doc_id", text: str = "text
     kind = docs.schema[id].dataType.simpleString()
     held = materialise(aligned(docs, a, b, id, text, with_groups), "aligned", "zstd")
     pairs = chunk_pairs(held, packed)
-    asked = pairs.select("chunk", "key").join(pair_counts(pairs, right.size).select("key", "n", "best_a", "best_b"), "key")
+    asked = pairs.select("chunk", "key").join(pair_counts(pairs, right.size), "key").select("chunk", "key", "n", "best_a", "best_b")
     kept = ["id", "n_a", "n_b", "n_groups", "n_links"]
     tail = ["groups_sha256"] + ["groups"] * with_groups
 
-    def prepare(answers: list[list[pa.RecordBatch]]) -> tuple:
-        keys = np.asarray(column(answers[0], "key"), np.int64)
-        order = np.argsort(keys)
-        return keys[order], *(np.asarray(column(answers[0], c)).astype(np.int64)[order] for c in ("n", "best_a", "best_b"))
+    def prepare(pairs: list) -> tuple:
+        order = np.argsort(pairs[0])
+        return tuple(c[order].astype(np.int64) for c in pairs)
 
     def kernel(tables: tuple, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, *values = tables

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegrid.llm.chunks import Numbering, answered, column, runs
+from framegrid.llm.chunks import Numbering, answered, runs
 from framegrid.llm.common import materialise
 
 #: Bytes of the longest contexts (3 to 6), and of those that name a shard.
@@ -260,14 +260,13 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", train: str |
     words = materialise(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words", "zstd")
     n, v = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     weighed = words.select("word", "n", F.log10((F.col("n") + 0.1) / (n + 0.1 * (v + 1))).alias("value"))
-    asked_grams = found.where("key is not null").select("chunk", "key").join(lengths, "key")
+    asked_grams = found.where("key is not null").select("chunk", "key").join(lengths, "key").select("chunk", "key", "value")
     asked_words = found.where("word is not null").select("chunk", "word").join(weighed, "word")  # a chunk that two tasks read asks twice
+    asked_words = asked_words.select("chunk", "word", "value", (F.col("n") > 0).alias("known"))
 
-    def prepare(answers: list[list[pa.RecordBatch]]) -> tuple:
-        keys, values = (np.asarray(column(answers[0], c)) for c in ("key", "value"))
-        keys, first = np.unique(keys, return_index=True)
-        number = {w: k for k, w in enumerate(column(answers[1], "word").to_pylist())}
-        return keys, values[first], number, np.asarray(column(answers[1], "value")), np.asarray(column(answers[1], "n")) > 0
+    def prepare(grams: list, words: list) -> tuple:
+        keys, first = np.unique(grams[0], return_index=True)
+        return keys, grams[1][first], {w: k for k, w in enumerate(words[0])}, words[1], words[2]
 
     def kernel(tables: tuple, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, values, number, weight, known = tables
