@@ -1,43 +1,12 @@
-"""Frames of raw video files: pixels of all frames one after the other, the size in the file's name, as clip-640x480.rgb or .rgba."""
+"""Frames of raw video files, made smaller by whole factors."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_NAME = re.compile(r"([^/]+)-(\d+)x(\d+)\.(rgba?)$")
-FRAMES = "clip_id string, frame_idx int, h int, w int, rgb binary, a binary"
+from framegrid.sources.frame_files import read_frames
 
 
 def read_raw(spark: SparkSession, path: str, scale: int = 1) -> DataFrame:
-    """(clip_id, frame_idx, h, w, rgb, a) of all .rgb and .rgba files below ``path``, made smaller by averaging ``scale`` pixels.
-
-    A file with a part of a frame is an error, an empty one has no frames; alpha is null in
-    .rgb files.  Each file is read by one task, frame by frame.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rgb*").load(path).select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                name = _NAME.search(batch.column("path")[k].as_py())
-                if not name:
-                    raise ValueError(f"no size in the name of {batch.column('path')[k].as_py()}")
-                clip, w, h, channels = name.group(1), int(name.group(2)), int(name.group(3)), len(name.group(4))
-                data = np.frombuffer(batch.column("content")[k].as_buffer(), np.uint8)
-                if len(data) % (w * h * channels):
-                    raise ValueError(f"{clip}: {len(data)} bytes are no whole frames of {w} x {h}")
-                for i, x in enumerate(data.reshape(-1, h, w, channels)):
-                    if scale > 1:
-                        rows, columns = h // scale, w // scale
-                        x = np.rint(x[: rows * scale, : columns * scale].reshape(rows, scale, columns, scale, channels).mean(axis=(1, 3))).astype(np.uint8)
-                    alpha = np.ascontiguousarray(x[..., 3]).tobytes() if channels == 4 else None
-                    values = (clip, i, x.shape[0], x.shape[1], np.ascontiguousarray(x[..., :3]).tobytes(), alpha)
-                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=[f.split()[0] for f in FRAMES.split(", ")])
-
-    return files.mapInArrow(run, FRAMES)
+    """``read_frames``, made smaller by averaging ``scale`` pixels."""
+    return read_frames(spark, path, 1 / scale)

@@ -124,6 +124,11 @@ def test_raw_files(spark, tmp_path):
     (tmp_path / "in" / "bad-6x4.rgb").write_bytes(b"12345")
     with pytest.raises(Exception, match="no whole frames"):
         read_raw(spark, str(tmp_path)).collect()
+    for name in ("empty-6x4.rgb", "nosize.rgb"):
+        (tmp_path / f"in-{name}").mkdir()
+        (tmp_path / f"in-{name}" / name).write_bytes(b"")
+        with pytest.raises(Exception, match="no frames in|no size in"):
+            read_raw(spark, str(tmp_path / f"in-{name}")).collect()
 
 
 def test_a_failed_stage_leaves_nothing(spark, tmp_path):
