@@ -174,14 +174,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name:
     return materialise(both.select("leader", "id", "ta", "tb").mapInArrow(run, "u long, v long"), f"{name}-links")
 
 
-def _candidates(rows: list[dict], threshold: float) -> tuple[list[dict], list[dict], list[tuple[int, int, int]]]:
-    """The rows of either side of a tile and (minus matches, left, right) of the pairs of different components that no batch prunes.
+def _candidates(rows: list[dict], threshold: float) -> tuple[list[dict], list[dict], np.ndarray]:
+    """The rows of either side of a tile, and by column the matches, left and right place of the pairs of different components that no batch prunes.
 
     Pairs that share an earlier band are left to that band's bucket.
     """
     key, i, j = (rows[0][k] for k in ("key", "i", "j"))
     left, right = [r for r in rows if r["sub"] == i], [r for r in rows if r["sub"] == j]
-    found: list[tuple[int, int, int]] = []
+    found = [np.empty((3, 0), np.int32)]
     if left and right:
         sa, sb = _signatures([r["sig"] for r in left]), _signatures([r["sig"] for r in right])
         ka, kb = band_keys(sa), band_keys(sb)
@@ -193,14 +193,15 @@ def _candidates(rows: list[dict], threshold: float) -> tuple[list[dict], list[di
                 new &= ids > r["id"]
             new = np.flatnonzero(new)
             new = new[likely(np.broadcast_to(sa[k], (len(new), sa.shape[1])), sb[new], threshold)]
-            found += [(-int(m), k, int(c)) for m, c in zip((sb[new] == sa[k]).sum(axis=1), new)]
-    return left, right, found
+            if len(new):
+                found.append(np.stack(((sb[new] == sa[k]).sum(axis=1), np.full(len(new), k), new)).astype(np.int32))
+    return left, right, np.concatenate(found, axis=1)
 
 
 def _survivors(rows: list[dict], threshold: float) -> list[tuple]:
     """(key, i, j, id, comp, sub) of the tile's rows that are in a candidate pair: at most the tile's rows, however many pairs."""
-    left, right, found = _candidates(rows, threshold)
-    kept = {r["id"]: r for _, k, c in found for r in (left[k], right[c])}
+    left, right, (_, k, c) = _candidates(rows, threshold)
+    kept = {r["id"]: r for r in [*(left[x] for x in np.unique(k)), *(right[x] for x in np.unique(c))]}
     return [tuple(r[n] for n in ("key", "i", "j", "id", "comp", "sub")) for r in kept.values()]
 
 
@@ -219,15 +220,16 @@ def _tile_links(rows: list[dict], threshold: float, words: int, percent: int) ->
 
     sets: dict[int, np.ndarray] = {}
     links = []
-    for _, k, c in sorted(found):
-        x, y = root(left[k]["comp"]), root(right[c]["comp"])
+    for at in np.lexsort((found[2], found[1], -found[0])):
+        one, two = left[found[1, at]], right[found[2, at]]
+        x, y = root(one["comp"]), root(two["comp"])
         if x != y:
-            for r in (left[k], right[c]):
+            for r in (one, two):
                 if r["id"] not in sets:
                     sets[r["id"]] = shingle_set(r["t"], words)
-            if similar(sets[left[k]["id"]], sets[right[c]["id"]], percent):
+            if similar(sets[one["id"]], sets[two["id"]], percent):
                 parent[max(x, y)] = min(x, y)
-                links.append((left[k]["id"], right[c]["id"]))
+                links.append((one["id"], two["id"]))
     return links
 
 
@@ -242,12 +244,11 @@ def _by_tile(rest: DataFrame, columns: list[str], kernel: Callable[[list[dict]],
             out = kernel(held) if held else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64() if kind == "long" else pa.int32()) for k, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and any(row[k] != held[0][k] for k in ("key", "i", "j")):
-                    yield close()
-                    held = []
-                held.append(row)
+        for row in (r for batch in batches for at in range(0, batch.num_rows, 256) for r in batch.slice(at, 256).to_pylist()):
+            if held and any(row[k] != held[0][k] for k in ("key", "i", "j")):
+                yield close()
+                held = []
+            held.append(row)
         yield close()
 
     tiled = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
