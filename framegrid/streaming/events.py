@@ -95,5 +95,6 @@ def subscribed(arrivals: DataFrame, keepalive: int | None = None) -> DataFrame:
     this kind needs Spark's RocksDB store, which is set for the session.
     """
     arrivals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    arrivals.sparkSession.streams.active  # noqa: B018  (the first use starts the stores' coordinator, which a table of arrivals needs too)
     mode = "ProcessingTime" if keepalive else "None"
     return arrivals.groupBy("job_id").transformWithStateInPandas(Subscriptions(keepalive), SENT, "append", mode)
