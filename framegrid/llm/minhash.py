@@ -255,6 +255,22 @@ def _by_tile(rest: DataFrame, columns: list[str], kernel: Callable[[list[dict]],
     return tiled.select("key", "i", "j", "id", "comp", "sub", *columns).mapInArrow(run, schema)
 
 
+def _split_links(placed: DataFrame, split: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, words: int, percent: int) -> DataFrame:
+    """(u, v): links within the buckets that are still split, whose rows (key, id, comp) are ``placed``.
+
+    Tiles of signatures tell which rows have a likely partner, and only these get their texts.
+    """
+    rest = materialise(spread_join(placed, split, ["key"], ["id"]), "rest")
+    rest = rest.withColumn("sub", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rest = rest.select("key", "id", "comp", "sub", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
+    tile = "key long, i int, j int, id long, comp long, sub int"
+    alive = materialise(_by_tile(rest.join(sigs, "id"), ["sig"], lambda rows: _survivors(rows, threshold), tile), "alive")
+    held = only_ids(texts, alive.select("id").distinct(), "id").groupBy("id").agg(F.max("t").alias("t"))
+    held = materialise(held.join(sigs, "id"), "alive-texts")
+    more = _by_tile(alive.join(held, "id"), ["sig", "t"], lambda rows: _tile_links(rows, threshold, words, percent), "u long, v long")
+    return materialise(more.distinct(), "rest-links")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 80) -> DataFrame:
     """(id column, n_shingles, component_id, kept): one row per id of ``docs``.
 
@@ -288,22 +304,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     links = _confirm(_prune(pairs, sigs, threshold), texts, words, percent, "led")
 
     first = materialise(connected_components(links), "first")
-    # Buckets that are still split: tiles of signatures tell which rows have a likely partner, and only these get their texts.
     sized = sigs.join(valid.groupBy("id").agg(F.max("n_shingles").alias("w")), "id")
     placed = led.where("c > 2").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     placed = materialise(placed.join(sized.select("id", "w"), "id"), "placed")
     tiles = F.greatest(F.ceil(F.col("n") / TILE), F.least(F.col("n"), F.ceil(F.col("w") / TILE_SHINGLES))).cast("int")
     split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("w").alias("w")).where("low < high").select("key", tiles.alias("tiles"))
-    rest = materialise(spread_join(placed.drop("w"), split, ["key"], ["id"]), "rest")
-    rest = rest.withColumn("sub", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select("key", "id", "comp", "sub", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"))
-    tile = "key long, i int, j int, id long, comp long, sub int"
-    alive = materialise(_by_tile(rest.join(sigs, "id"), ["sig"], lambda rows: _survivors(rows, threshold), tile), "alive")
-    held = only_ids(texts, alive.select("id").distinct(), "id").groupBy("id").agg(F.max("t").alias("t"))
-    held = materialise(held.join(sigs, "id"), "alive-texts")
-    more = _by_tile(alive.join(held, "id"), ["sig", "t"], lambda rows: _tile_links(rows, threshold, words, percent), "u long, v long")
-    more = materialise(more.distinct(), "rest-links")
-    links = links.unionByName(more)
+    if not split.isEmpty():
+        links = links.unionByName(_split_links(placed.drop("w"), split, sigs, texts, threshold, words, percent))
 
     component = connected_components(links).withColumnRenamed("id", "rep")
     own = materialise(member.select("id", "rep").distinct(), "classes")
