@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 T_LO, T_HI = 3.0, 8.0
 MAD_SCALE, MAD_FLOOR = 1.4826, 1.0
 CHROMA_SHARE = 0.98
+# Means and deviations of red, green and blue by which inputs of the matting network are normalised.
+MEANS, DEVIATIONS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 MIN_SATURATION = 20.0
 
 
@@ -16,6 +18,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def normalised(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Colours of 0..255 as a network's inputs."""
+    return tuple((c / 255.0 - m) / d for c, m, d in zip((r, g, b), MEANS, DEVIATIONS))
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return r * 0.299 + g * 0.587 + b * 0.114
 

@@ -35,6 +35,24 @@ def grow(x0: Column, y0: Column, x1: Column, y1: Column, share: float, w: int, h
     return low(x0 - mx).alias("x0"), low(y0 - my).alias("y0"), F.least(F.lit(w), (x1 + mx).cast("int")).alias("x1"), F.least(F.lit(h), (y1 + my).cast("int")).alias("y1")
 
 
+def letterbox(w: Column, h: Column, side: int = 640) -> tuple[Column, Column, Column]:
+    """(factor, width, height) of a frame fitted into a detector's square input."""
+    factor = F.least(side / h, side / w)
+    return factor.alias("factor"), F.rint(w * factor).cast("int").alias("nw"), F.rint(h * factor).cast("int").alias("nh")
+
+
+def decoded(raw: DataFrame, factor: Column, least: float = LEAST_CONF) -> DataFrame:
+    """``raw`` (cx, cy, bw, bh, objectness, scores) as boxes of the frame: x0, y0, x1, y1, cls and conf for those above ``least``.
+
+    Sizes are in the detector's input; the class is the first of the highest scores, the confidence
+    objectness times that score.
+    """
+    top = F.array_max("scores")
+    out = raw.withColumns({"cls": (F.array_position("scores", top) - 1).cast("int"), "conf": F.col("objectness") * top, "_f": factor}).where(F.col("conf") > least)
+    half = lambda c, size, sign: (F.col(c) + sign * F.col(size) / 2) / F.col("_f")
+    return out.withColumns({"x0": half("cx", "bw", -1), "y0": half("cy", "bh", -1), "x1": half("cx", "bw", 1), "y1": half("cy", "bh", 1)}).drop("_f", "cx", "cy", "bw", "bh", "objectness", "scores")
+
+
 def zoom_side(w: Column, h: Column, least: int = 512, times: int = 5) -> Column:
     """Side of the square window around a box."""
     return F.greatest(F.lit(least), times * F.greatest(w, h)).cast("int")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from framegrid.functions import gif as G
 from framegrid.functions import packed as P
+from framegrid.functions.kernels import supersample_threshold
 from framegrid.functions.resample import area, lanczos
 from framegrid.operators.store import written
 from framegrid.sources.frame_files import FRAMES, write_frames
@@ -129,6 +130,15 @@ def write_supersampled_gifs(frames: DataFrame, path: str, fps: float = 25, facto
     write_gifs(P.map_packed(quantised(big, palettes(big, visible), visible), reduce, form), path, fps)
 
 
+def write_ss_alpha_gifs(frames: DataFrame, path: str, fps: float = 25, factor: int = 4, visible: int = VISIBLE) -> None:
+    """As ``write_gifs``, of frames whose alpha is decided at ``factor`` times their size; colours are brought to a palette once."""
+
+    def decide(rgb: np.ndarray, a: np.ndarray) -> dict:
+        return {"h": a.shape[0], "w": a.shape[1], "rgb": rgb, "a": supersample_threshold(a, factor, visible).astype(np.uint8)}
+
+    write_gifs(P.map_packed(frames, decide, "h int, w int, rgb binary, a binary"), path, fps)
+
+
 def read_gifs(spark: SparkSession, path: str) -> DataFrame:
     """(clip_id, frame_idx, h, w, rgb, a) of the .gif files below ``path``, named by their clips; a damaged file is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gif").load(path).select("path", "content")

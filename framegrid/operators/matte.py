@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from framegrid.functions import foreground as G
 from framegrid.functions import kernels as K
 from framegrid.functions import packed as P
+from framegrid.functions.pixel import T_HI, T_LO
 from framegrid.operators.evaluate import OPAQUE
 from framegrid.operators.store import written
 from framegrid.operators.temporal import by_frame
@@ -242,14 +243,25 @@ def trimap(a: np.ndarray, r: int, seed: np.ndarray | None = None, variant: str =
     return np.where(fg, 1.0, np.where(bg, 0.0, np.clip(a if ramp is None else ramp, 0, 1)))
 
 
-def trimaps(frames: DataFrame, r: int, variant: str | None = None) -> DataFrame:
-    """(clip_id, frame_idx, t array<double>): trimaps of alpha, by ``seed`` (a mask column) where a form is given."""
+def distance_ramp(rgb: np.ndarray, model: dict) -> np.ndarray:
+    """Alpha by the distance from the backdrop, smoothed by the median of each pixel and its neighbours: 0 at what is surely backdrop, 1 at what is surely not."""
+    d = K.median3(P.distance_from(rgb.astype(np.float64), model))
+    return np.clip((d - T_LO) / (T_HI - T_LO), 0, 1)
 
-    def run(rgb: np.ndarray, a: np.ndarray, *seed) -> dict:
-        own = np.frombuffer(seed[0], np.uint8).reshape(a.shape) > OPAQUE if seed else None
-        return {"t": trimap(a / 255.0, r, own, variant or "additive").ravel().tolist()}
 
-    return P.map_packed(frames, run, "t array<double>", ("seed",) if variant else ())
+def trimaps(frames: DataFrame, r: int, variant: str | None = None, ramp: bool = False) -> DataFrame:
+    """(clip_id, frame_idx, t array<double>): trimaps of alpha, by ``seed`` (a mask column) where a form is given.
+
+    Between the sure parts stands the raw alpha or, with ``ramp``, that of the distance from the
+    backdrop in ``model``.
+    """
+
+    def run(rgb: np.ndarray, a: np.ndarray, *others) -> dict:
+        own = np.frombuffer(others[0], np.uint8).reshape(a.shape) > OPAQUE if variant else None
+        between = distance_ramp(rgb, others[-1]) if ramp else None
+        return {"t": trimap(a / 255.0, r, own, variant or "additive", between).ravel().tolist()}
+
+    return P.map_packed(frames, run, "t array<double>", (*(["seed"] if variant else []), *(["model"] if ramp else [])))
 
 
 def normal_alpha(alpha: Column) -> Column:

@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framegrid.functions import packed as P
+from framegrid.functions.resample import resized
+
 #: The colour behind transparent pixels.
 MAGENTA = (255, 0, 255)
 
@@ -20,12 +23,25 @@ def over(rgb: np.ndarray, a: np.ndarray, colour: tuple = MAGENTA) -> np.ndarray:
     return np.floor(np.round(share * rgb + (1 - share) * np.array(colour), 9)).astype(np.uint8)
 
 
-def png(rgb: np.ndarray) -> bytes:
-    """An image file of eight bits a channel."""
-    h, w = rgb.shape[:2]
+def png(pixels: np.ndarray) -> bytes:
+    """An image file of eight bits a channel, of three or four channels."""
+    h, w, channels = pixels.shape
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = np.concatenate((np.zeros((h, 1), np.uint8), rgb.reshape(h, -1)), axis=1).tobytes()
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+    rows = np.concatenate((np.zeros((h, 1), np.uint8), pixels.reshape(h, -1)), axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if channels == 3 else 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def previews(frames: DataFrame, edge: int = 360) -> DataFrame:
+    """(clip_id, frame_idx, h, w, rgb, a, png): frames whose longer side is at most ``edge``, larger ones averaged down, as image files with alpha."""
+
+    def run(rgb: np.ndarray, a: np.ndarray | None) -> dict:
+        share = min(1.0, edge / max(rgb.shape[:2]))
+        h, w = (max(1, int(np.rint(n * share))) for n in rgb.shape[:2])
+        a = np.full(rgb.shape[:2], 255, np.uint8) if a is None else a
+        small = resized(rgb, h, w), resized(a, h, w)
+        return {"h": h, "w": w, "rgb": small[0], "a": small[1], "png": png(np.dstack(small))}
+
+    return P.map_packed(frames, run, "h int, w int, rgb binary, a binary, png binary")
 
 
 def sheets(frames: DataFrame, picks: DataFrame) -> DataFrame:

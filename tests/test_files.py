@@ -120,3 +120,13 @@ def test_supersampled_gifs_keep_flat_parts(spark, tmp_path):
     assert len(out) == 2
     alpha, colours = np.frombuffer(bytes(out[0].a), np.uint8).reshape(12, 16), np.frombuffer(bytes(out[0].rgb), np.uint8).reshape(12, 16, 3)
     assert ((alpha > 0) == (a > 0)).all() and (np.abs(colours[4:8, 3:6].astype(int) - (200, 40, 40)) < 8).all()
+
+
+def test_alpha_decided_at_a_larger_size(spark, tmp_path):
+    from framegrid.functions.kernels import supersample_threshold
+
+    frames = frames_of(2, 9, 11, levels=4)
+    gif.write_ss_alpha_gifs(packed(spark, frames), str(tmp_path / "out"))
+    for r in gif.read_gifs(spark, str(tmp_path / "out")).collect():
+        want = supersample_threshold(frames[r.frame_idx][1])
+        assert (np.frombuffer(bytes(r.a), np.uint8).reshape(9, 11) == want).all() and 0 < (want > 0).mean() < 1

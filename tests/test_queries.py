@@ -2,7 +2,7 @@
 
 import pytest
 
-from framegrid.plans import boxes, control, crops, evaluation, files, keying, matte, more, motion, service  # noqa: F401
+from framegrid.plans import boxes, control, crops, evaluation, files, keying, matte, more, motion, partials, service  # noqa: F401
 from framegrid.plans.queries import ORACLES, QUERIES
 
 
