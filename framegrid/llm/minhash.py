@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fp1, fp2, sigs = [], [], [], []
-            for x in batch.column(1).to_pylist():
+            for x in (v.as_py() for v in batch.column(1)):
                 s = shingle_set(x, words)
                 n.append(len(s))
                 fp1.append(int(mix(s ^ M1).sum(dtype=np.uint64).astype(np.int64)))
@@ -156,7 +156,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name:
 
         def of(id: int, text: bytes) -> np.ndarray:
             if id not in known:
-                if len(known) >= 500:
+                if len(known) >= 100:
                     known.clear()
                 known[id] = shingle_set(text, words)
             return known[id]

@@ -29,7 +29,7 @@ BUCKET, MANY, LARGE = 500, 4096, 100_000
 
 #: Token bytes of about this many different pieces are kept in each Python worker, from the second time that a piece is met;
 #: a table of so many hash slots tells which were met.
-CACHED_PIECES, SEEN = 250_000, 1 << 23
+CACHED_PIECES, SEEN = 150_000, 1 << 23
 
 # Fixed: how the byte-level tokenizers cut a text into pieces, for ASCII and Latin-1 letters.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"

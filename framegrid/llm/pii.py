@@ -160,7 +160,7 @@ def scan(docs: DataFrame, id: str, text: str) -> DataFrame:
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.string()), ("pattern", pa.int64())]))]
         for batch in batches:
             rows = []
-            for x in batch.column("t").to_pylist():
+            for x in (v.as_py() for v in batch.column("t")):
                 spans = base_spans(x)
                 line = joined(spans)
                 n = Counter(k for _, k, _ in spans)
@@ -191,7 +191,7 @@ def pattern_totals(docs: DataFrame, text: str, patterns: DataFrame, bits: int =
         table = shared.value
         for batch in batches:
             counts: list[np.ndarray] = []
-            for x in batch.column(0).to_pylist():
+            for x in (v.as_py() for v in batch.column(0)):
                 words = (x or b"").lower().split()
                 if len(words) > 2:
                     h = np.fromiter(map(crc32, words), np.uint64, len(words))
@@ -254,7 +254,7 @@ def find_pii(docs: DataFrame, id: str = "doc_id", text: str = "text", **scoring)
 def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("_fg_text").to_pylist(), batch.column("_fg_spans").to_pylist()):
+        for text, spans in ((t.as_py(), s.as_py()) for t, s in zip(batch.column("_fg_text"), batch.column("_fg_spans"))):
             if spans:
                 parts, at = [], 0
                 for kind, a, b in sorted((x.split(":") for x in spans.split(",")), key=lambda x: (int(x[1]), -int(x[2]))):
