@@ -281,7 +281,9 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", bi
 def removed_words(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the texts' recurring words removed: the same columns, words joined by one space where any went.
 
-    One row per row of ``docs``: repeated rows stay, and of an id with several texts each is cut by its own windows.
+    One row per row of ``docs``: repeated rows stay, and of an id with several texts each is cut by
+    its own windows.  Null texts and rows with a null id stay as they are; texts without a window
+    keep their blanks; an empty table gives an empty one.
     """
     table, hits = recurring_windows(docs, id, text)
     gone = table.where("whole").select("id", "fp", F.expr(f"sequence(0, int(n_words) - {WINDOW})").alias("starts"))

@@ -41,3 +41,23 @@ def test_shards_are_ranges_of_equal_bytes(spark, shard):
         assert held == sorted(held)
         ends += [held[0], held[-1]]
     assert ends == sorted(ends)
+
+
+def test_damaged_files_and_files_of_no_manifest(spark):
+    import shutil
+    from pathlib import Path
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 40) for i in range(30)], "page_id long, url string, html string")
+    path = scratch(spark, "warc")
+    names = [r.file for r in warc.write_warc(pages, path, shard=2000).collect()]
+    root = Path(path.removeprefix("file://"))
+    assert len(names) > 1
+    shutil.copy(root / names[0], root / "lost-task.warc.gz")  # as of a task that was run twice
+    assert warc.read_warc(spark, path).count() == 30
+    data = bytearray((root / names[1]).read_bytes())
+    data[len(data) // 2] ^= 1
+    (root / names[1]).write_bytes(bytes(data))
+    for crc in root.rglob(".*.crc"):  # the local file system's own checksums
+        crc.unlink()
+    with pytest.raises(Exception, match="its checksum is not the manifest's"):
+        warc.read_warc(spark, path).count()
