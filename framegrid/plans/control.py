@@ -77,5 +77,4 @@ def ops_event_stream(spark, d):
     listen = F.explode(F.array(*(F.struct(F.lit(p).cast("long").alias("at"), F.lit(s).alias("subscriber")) for p, s in ((-1, "early"), (1, "first"), (3, "second"), (1001, "late")))))
     who = jobs.select("job_id", listen.alias("l")).select("job_id", "l.at", "l.subscriber", F.lit(None).cast(text).alias("status"), F.lit(None).cast(text).alias("body"))
     sent = E.subscribed(new.union(runs).union(ends).union(who))
-    said = lambda c: F.get_json_object(F.regexp_replace("message", "^data: ", ""), f"$.{c}").alias(c)
-    return sent.select("job_id", "subscriber", "n", "kind", said("status"), said("body"))
+    return sent.select("job_id", "subscriber", "n", "kind", F.json_tuple(F.expr("substr(message, 7)"), "status", "body").alias("status", "body"))

@@ -87,6 +87,22 @@ def test_streams_of_events_end(spark, tmp_path):
     assert [r.message for r in sent if r.subscriber == "s3"] == [E.sse({"type": "snapshot", "job_id": 1, "status": "done", "body": "c"})]
 
 
+def test_tables_of_arrivals_say_what_streams_say(spark, tmp_path):
+    rows = [
+        (1, -1, "early", None, None), (1, 0, None, "queued", 'a "b"\n\u00e9'), (1, 1, "s", None, None), (1, 2, None, "running", None), (1, 3, "s", None, None), (1, 4, "t", None, None), (1, 5, None, "running", "c"), (1, 6, "early", None, None), (1, 7, None, "failed", "d"),
+        (1, 8, None, "running", "late"), (1, 9, "s", None, None), (2, 0, "s", None, None), (3, 0, None, "done", "x"), (3, 1, "s", None, None), (3, 2, "s", None, None),
+    ]
+    spark.createDataFrame(rows, E.ARRIVALS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    sent = []
+    stream = spark.readStream.schema(E.ARRIVALS).parquet(str(tmp_path / "in"))
+    q = E.subscribed(stream).writeStream.foreachBatch(lambda df, n: sent.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    table = E.subscribed(spark.read.parquet(str(tmp_path / "in")))
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, sent)) and len(sent) == 15
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "TransformWithState" not in plan and "Python" not in plan  # no call of Python per job
+
+
 def test_silence_gives_pings(spark, tmp_path):
     spark.createDataFrame([(1, 0, None, "running", None), (1, 1, "s", None, None), (2, 0, None, "done", None), (2, 1, "s", None, None)], E.ARRIVALS).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(E.ARRIVALS).parquet(str(tmp_path / "in"))
