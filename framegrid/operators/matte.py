@@ -225,13 +225,14 @@ def routed(frames: DataFrame, models: DataFrame, model: Callable[[], Callable[[n
     return key(frames, safe).unionByName(inferred(frames.join(safe.select("clip_id"), "clip_id", "left_anti"), model))
 
 
-def trimap(a: np.ndarray, r: int, seed: np.ndarray | None = None, variant: str = "additive", ramp: np.ndarray | None = None, sure: float = 0.90, maybe: float = 0.10) -> np.ndarray:
+def trimap(a: np.ndarray, r: int, seed: np.ndarray | None = None, variant: str = "additive", ramp: np.ndarray | None = None, sure: float = 0.90, maybe: float = 0.10, element: Callable[[int], list] = P.ellipse) -> np.ndarray:
     """Alpha 1 in the sure part, 0 outside the possible part, ``ramp`` (or the raw alpha) between.
 
+    Both parts keep ``r`` pixels from each other's, by ``element``.
     Without a seed both parts come from alpha; with one the "additive" form only adds to what
     alpha is sure of, and the "symmetric" one goes by the seed alone; another form is an error.
     """
-    e = P.ellipse(r)
+    e = element(r)
     if seed is None:
         fg, bg = P.shrink(a > sure, e), ~P.spread(a > maybe, e)
     elif variant == "additive":
@@ -249,7 +250,7 @@ def distance_ramp(rgb: np.ndarray, model: dict) -> np.ndarray:
     return np.clip((d - T_LO) / (T_HI - T_LO), 0, 1)
 
 
-def trimaps(frames: DataFrame, r: int, variant: str | None = None, ramp: bool = False) -> DataFrame:
+def trimaps(frames: DataFrame, r: int, variant: str | None = None, ramp: bool = False, element: Callable[[int], list] = P.ellipse) -> DataFrame:
     """(clip_id, frame_idx, t array<double>): trimaps of alpha, by ``seed`` (a mask column) where a form is given.
 
     Between the sure parts stands the raw alpha or, with ``ramp``, that of the distance from the
@@ -259,7 +260,7 @@ def trimaps(frames: DataFrame, r: int, variant: str | None = None, ramp: bool =
     def run(rgb: np.ndarray, a: np.ndarray, *others) -> dict:
         own = np.frombuffer(others[0], np.uint8).reshape(a.shape) > OPAQUE if variant else None
         between = distance_ramp(rgb, others[-1]) if ramp else None
-        return {"t": trimap(a / 255.0, r, own, variant or "additive", between).ravel().tolist()}
+        return {"t": trimap(a / 255.0, r, own, variant or "additive", between, element=element).ravel().tolist()}
 
     return P.map_packed(frames, run, "t array<double>", (*(["seed"] if variant else []), *(["model"] if ramp else [])))
 

@@ -57,10 +57,10 @@ def sel_decoded_boxes(spark, d):
 cr as (select p.clip_id, p.frame_idx, p.y, p.x, bool_and(q.a / 255e0 > 0.9e0) as f_in, bool_or(q.a / 255e0 > 0.1e0) as f_out from sc p join sc q on p.clip_id = q.clip_id and p.frame_idx = q.frame_idx and abs(p.y - q.y) <= 1 and abs(p.x - q.x) <= 1 group by p.clip_id, p.frame_idx, p.y, p.x)
 select clip_id, frame_idx, y, x, round(case when cr.f_in then 1e0 when not cr.f_out then 0e0 else greatest(0, least(1, (d - 3) / 5)) end, 6) as t from md join cr using (clip_id, frame_idx, y, x)""")
 def matte_trimap_ramp(spark, d):
-    """Trimaps whose unsure part follows the distance from the backdrop."""
+    """Trimaps whose unsure part follows the distance from the backdrop; the parts are narrowed by a square, corners included."""
     scenes = V.scenes(spark, d)
     held = K._with_model(scenes, K.scaled(K.backdrop(scenes, RING)))
-    return _long(M.trimaps(held, 1, ramp=True).withColumnRenamed("t", "data"), "t").withColumn("t", F.round("t", 6))
+    return _long(M.trimaps(held, 1, ramp=True, element=P.square).withColumnRenamed("t", "data"), "t").withColumn("t", F.round("t", 6))
 
 
 @query(sql.GRID + """, w as (select oy, ox, y, x, greatest(0, least((oy + 1) * 8, (y + 1) * 5) - greatest(oy * 8, y * 5)) * greatest(0, least((ox + 1) * 8, (x + 1) * 5) - greatest(ox * 8, x * 5)) as u from range(5) a(oy), range(5) b(ox), range(8) c(y), range(8) e(x))
