@@ -101,12 +101,12 @@ def blended_remaining(fraction: Column, elapsed: Column, predicted: Column) -> C
     return w * seen + (1 - w) * F.greatest(F.lit(0.0), predicted - elapsed)
 
 
-def clock(seconds: Column) -> Column:
-    """h:mm:ss from an hour on, else m:ss; rounded down."""
+def clock(seconds: Column, hours: float = 3600) -> Column:
+    """h:mm:ss from ``hours`` seconds on, else m:ss; rounded down."""
     s = F.floor(seconds).cast("long")
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
     pad = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), pad(m), F.lit(":"), pad(r))).otherwise(F.concat(m.cast("string"), F.lit(":"), pad(r)))
+    return F.when(seconds >= hours, F.concat(h.cast("string"), F.lit(":"), pad(m), F.lit(":"), pad(r))).otherwise(F.concat(m.cast("string"), F.lit(":"), pad(r)))
 
 
 def about(seconds: Column) -> Column:
