@@ -24,8 +24,10 @@ from framegrid.functions.resample import area
 
 _NAME = re.compile(r"([^/]+)-(\d+)x(\d+)\.(rgba?)$")
 FRAMES = "clip_id string, frame_idx int, h int, w int, rgb binary, a binary"
-#: Bytes of frames that a partition reads.
-RANGE = 64 << 20
+#: Bytes of frames that a partition reads, and partitions from which on smaller ranges share one, up to RANGE bytes.
+RANGE, MANY = 64 << 20, 500
+#: Frames, and bytes of them, that go out at once.
+BATCH, BATCH_BYTES = 256, 4 << 20
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -47,6 +49,30 @@ class Range(InputPartition):
     only: frozenset[int] | None = None
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[Range]
+
+
+def shared(ranges: list[Range]) -> list[InputPartition]:
+    """``ranges`` as they are, or, if there are more than MANY, neighbours together: at most MANY partitions, or as many as have RANGE bytes."""
+    if len(ranges) <= MANY:
+        return list(ranges)
+    size = lambda r: r.h * r.w * r.channels * (len(r.only) if r.only is not None else r.last - r.first + 1)
+    room = min(RANGE, -(-sum(map(size, ranges)) // MANY))
+    out: list[Ranges] = []
+    held = 0
+    for r in ranges:
+        if not out or held + size(r) / 2 > room:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += size(r)
+    return list(out)
+
+
 class FrameReader(DataSourceReader):
     """Reads the clips and frames that the options choose.
 
@@ -60,7 +86,7 @@ class FrameReader(DataSourceReader):
         self.only = set(json.loads(options["only"])) if "only" in options else None
         self.low, self.high = int(options.get("first", 0)), int(options.get("last", 2**31 - 1))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[InputPartition]:
         fs, root = opened(self.path)
         found = fs.get_file_info(root)
         files = [found] if found.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
@@ -86,14 +112,29 @@ class FrameReader(DataSourceReader):
                 only = frozenset(i for i in self.only if first <= i <= last) if self.only is not None else None
                 if only is None or only:
                     out.append(Range(f.path, clip, h, w, channels, first, last, only))
-        return out or [Range("", "", 0, 0, 0, 0, -1)]
+        return shared(out) or [Range("", "", 0, 0, 0, 0, -1)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for p in partition.ranges if isinstance(partition, Ranges) else [partition]:
+            for row in self._frames(p):
+                rows.append(row)
+                held += 4 * row[2] * row[3]
+                if len(rows) == BATCH or held >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in FRAMES.split(", ")])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        p = partition
+    def _frames(self, p: Range) -> Iterator[tuple]:
         if p.last < p.first:
             return
         one = p.h * p.w * p.channels
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         fs, _ = opened(self.path)
         with fs.open_input_file(p.path) as file:
             for i in sorted(p.only) if p.only is not None else range(p.first, p.last + 1):
@@ -105,8 +146,7 @@ class FrameReader(DataSourceReader):
                 if self.scale != 1:
                     x = area(x, *(max(1, round(n * self.scale)) for n in (p.h, p.w)))
                 alpha = np.ascontiguousarray(x[..., 3]).tobytes() if p.channels == 4 else None
-                values = (p.clip, i, x.shape[0], x.shape[1], np.ascontiguousarray(x[..., :3]).tobytes(), alpha)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=[f.split()[0] for f in FRAMES.split(", ")])
+                yield p.clip, i, x.shape[0], x.shape[1], np.ascontiguousarray(x[..., :3]).tobytes(), alpha
 
 
 @dataclass
@@ -216,7 +256,8 @@ class FrameFiles(DataSource):
 def read_frames(spark: SparkSession, path: str, scale: float = 1, bytes: int = RANGE, clips: Iterable[str] | None = None, first: int = 0, last: int | None = None, only: Iterable[int] | None = None) -> DataFrame:
     """(clip_id, frame_idx, h, w, rgb, a) of the .rgb and .rgba files below ``path``, made smaller by ``scale`` below 1.
 
-    A partition reads about ``bytes`` of one file, so a long file is many tasks, frame by frame.
+    A partition reads about ``bytes`` of one file, so a long file is many tasks, frame by frame;
+    where that makes more than MANY partitions, ranges of fewer than RANGE bytes share one.
     Of files and places only those of ``clips`` and of the frames from ``first`` to ``last``, or
     those in ``only``, are read.  An empty file and a part of a frame are errors; alpha is null in
     .rgb files.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framegrid.functions import gif as G
 from framegrid.operators import gif
+from framegrid.sources import frame_files
 from framegrid.sources.frame_files import FrameReader, read_frames, write_frames
 
 from test_packed import packed
@@ -69,6 +70,22 @@ def test_reader_plans_ranges(tmp_path):
     assert [(p.first, p.last, sorted(p.only)) for p in r.partitions()] == [(4, 5, [5]), (6, 8, [8])]
 
 
+def test_many_small_ranges_share_partitions(tmp_path, monkeypatch):
+    data = np.random.default_rng(6).integers(0, 256, (50_000, 8), np.uint8)
+    (tmp_path / "c-2x1.rgba").write_bytes(data.tobytes())
+    (tmp_path / "d-2x1.rgba").write_bytes(data[:3000].tobytes())
+    r = FrameReader({"path": str(tmp_path), "bytes": "16"})
+    parts = r.partitions()
+    assert 400 < len(parts) <= 502  # one for every two frames would be 26,500
+    got = [row for p in parts for batch in r.read(p) for row in batch.to_pylist()]
+    want = {"c": data, "d": data[:3000]}
+    assert [(x["clip_id"], x["frame_idx"]) for x in got] == [(c, i) for c in dict.fromkeys(x["clip_id"] for x in got) for i in range(len(want[c]))] and len(got) == 53_000
+    assert all(x["rgb"] == want[x["clip_id"]][x["frame_idx"]].reshape(2, 4)[:, :3].tobytes() and x["a"] == want[x["clip_id"]][x["frame_idx"]].reshape(2, 4)[:, 3].tobytes() for x in got[::97])
+    assert max(batch.num_rows for p in parts for batch in r.read(p)) > 50  # not frame by frame
+    monkeypatch.setattr(frame_files, "RANGE", 64)
+    assert len(r.partitions()) == 53_000 * 8 // 64  # a partition never grows beyond it
+
+
 def test_lzw_round_trips():
     rng = np.random.default_rng(3)
     for data in (b"", b"\0", b"aaaaaaaa", bytes(range(256)) * 3, rng.integers(0, 256, 40_000).astype(np.uint8).tobytes(), bytes(20_000), rng.integers(0, 3, 30_000).astype(np.uint8).tobytes()):
