@@ -20,7 +20,7 @@ from framegrid.sources.frame_files import FRAMES, write_frames
 #: Alpha from which a pixel is visible, by default, and bits of a channel that tell the colours of colourful clips apart.
 VISIBLE, BITS = 128, 5
 #: Different colours that a task counts before it hands them on.
-HELD = 1 << 22
+HELD = 1 << 18
 
 
 def colour_counts(frames: DataFrame, visible: int = VISIBLE) -> DataFrame:
@@ -148,7 +148,7 @@ def read_gifs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 clip = batch.column("path")[k].as_py().rsplit("/", 1)[1].removesuffix(".gif")
-                for i, (rgb, a) in enumerate(G.decode(batch.column("content")[k].as_py())):
+                for i, (rgb, a) in enumerate(G.decoded(batch.column("content")[k].as_py())):
                     values = (clip, i, *a.shape, rgb.tobytes(), a.tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=[f.split()[0] for f in FRAMES.split(", ")])
 

@@ -97,6 +97,19 @@ def test_lzw_round_trips():
         G.unlzw(G.lzw(b"abcabc")[:-2], 8)
 
 
+def test_gifs_are_held_frame_by_frame(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    frames = [rng.integers(0, 255, (4, 5)).astype(np.uint8) for _ in range(3)]
+    data = G.head(5, 4, rng.integers(0, 256, (255, 3)).astype(np.uint8)) + b"".join(G.frame(f, 4) for f in frames)
+    out = G.decoded(data)  # without its end the file is an error, but the frames before it have been given
+    assert len([next(out) for _ in frames]) == 3
+    with pytest.raises(ValueError):
+        next(out)
+    monkeypatch.setattr(gif, "HELD", 30)  # counts leave a task in parts and are summed
+    rows = packed(spark, [(np.full((4, 5, 3), k % 2, np.uint8), np.full((4, 5), 255, np.uint8)) for k in range(9)])
+    assert gif.HELD < 1 << 20 and sorted((r.colour, r.n) for r in gif.colour_counts(rows).collect()) == [(0, 100), (65793, 80)]
+
+
 def test_median_cut():
     rng = np.random.default_rng(4)
     colours = rng.integers(0, 256, (3000, 3))
