@@ -8,12 +8,14 @@ of one or two pieces that no other choice can beat, and best-fit decreasing pack
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,20 @@ BUCKET, MANY, LARGE = 500, 4096, 100_000
 #: a table of so many hash slots tells which were met.
 CACHED_PIECES, SEEN = 150_000, 1 << 23
 
+#: So many new pieces are encoded as one string.
+JOINED = 64
+
 # Fixed: how the byte-level tokenizers cut a text into pieces, for ASCII and Latin-1 letters.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_PIECE = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(rf"[^\t\n\r -~{_LETTERS}]")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters by which byte-level tokenizers write the bytes, from 0 to 255.
+_BYTES = "".join(chr(b if b in _PLAIN else 256 + b - sum(x < b for x in _PLAIN)) for b in range(256))
 
 _tokenizers: dict[tuple[str, bool], object] = {}
-_pieces: dict[tuple[str, bool], tuple[dict[str, bytes], bytearray]] = {}
+_joiners: dict[tuple[str, bool], tuple | None] = {}
+_pieces: dict[tuple[str, bool], tuple[dict[str, bytes], np.ndarray]] = {}
 
 
 def tokenizer(path: str, plain: bool = False):
@@ -56,17 +65,35 @@ def _ids(texts: list[str], path: str, plain: bool) -> list[bytes]:
     return [np.asarray(x.ids, dtype="<u4").tobytes() for x in out]
 
 
+def _joiner(path: str, plain: bool) -> tuple | None:
+    """The tokenizer without its cut into pieces, and a byte that texts cut here don't hold and no merge does, with its id.
+
+    None where there is no such byte, or where more than merges decides on the ids of a piece.
+    """
+    if (path, plain) not in _joiners:
+        from tokenizers import Tokenizer, models
+
+        own = tokenizer(path, plain)
+        model, vocabulary = own.model, own.get_vocab(False)
+        merged = set().union(*(t for t in vocabulary if len(t) > 1))
+        free = [b for b in (*range(9), *range(14, 32)) if _BYTES[b] not in merged and _BYTES[b] in vocabulary]
+        simple = isinstance(model, models.BPE) and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix or model.ignore_merges)
+        _joiners[path, plain] = (Tokenizer(model), chr(free[0]), vocabulary[_BYTES[free[0]]]) if free and simple and own.normalizer is None else None
+    return _joiners[path, plain]
+
+
 def _piece_ids(pieces: list[str], path: str, plain: bool) -> list[bytes]:
-    """Ids of pieces without line breaks, encoded as lines of one text: a line break is a piece and an id of its own."""
-    if not pieces:
-        return []
-    lines = "\n".join(["", *pieces, ""])
-    ids = np.asarray(tokenizer(path, plain).encode_batch_fast([lines], add_special_tokens=False)[0].ids, dtype="<u4")
-    cuts = np.flatnonzero(ids == ids[0])
-    if len(cuts) != len(pieces) + 1:
+    """Ids of pieces, many encoded as one string: no merge crosses the byte between them."""
+    joiner = _joiner(path, plain)
+    if not joiner or not pieces:
         return _ids(pieces, path, plain)
+    whole, between, id = joiner
+    lines = (between.join([*pieces[at : at + JOINED], ""]).encode() for at in range(0, len(pieces), JOINED))
+    found = whole.encode_batch_fast([codecs.charmap_decode(x, "strict", _BYTES)[0] for x in lines], add_special_tokens=False)
+    ids = np.concatenate([np.asarray(x.ids, dtype="<u4") for x in found])
+    ends = 4 * np.flatnonzero(ids == id)
     data = ids.tobytes()
-    return [data[a:b] for a, b in zip((4 * cuts[:-1] + 4).tolist(), (4 * cuts[1:]).tolist())]
+    return [data[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
 
 
 def token_bytes(texts: list[str], path: str, plain: bool = False) -> list[bytes]:
@@ -77,25 +104,29 @@ def token_bytes(texts: list[str], path: str, plain: bool = False) -> list[bytes]
     these are found here, and the ids of pieces that come again are kept.  Texts with other
     characters, or that may hold a special token, are encoded whole.
     """
-    known, seen = _pieces.setdefault((path, plain), ({}, bytearray(SEEN)))
-    if len(known) > CACHED_PIECES:
-        known.clear()
-        seen[:] = bytes(SEEN)
+    known, seen = _pieces.setdefault((path, plain), ({}, np.zeros(SEEN, bool)))
+    if len(known) > CACHED_PIECES:  # those met twice first are the most frequent
+        for p in list(islice(known, CACHED_PIECES // 2, None)):
+            del known[p]
+        seen[:] = False
     whole = [i for i, t in enumerate(texts) if _OTHER.search(t) or "<|" in t]
     out = dict(zip(whole, _ids([texts[i] for i in whole], path, plain)))
-    cut = {i: _PIECE.findall(t) for i, t in enumerate(texts) if i not in out}
-    new = set().union(*cut.values()).difference(known)
-    lines = [p for p in new if not p.isspace()]
-    blanks = [p for p in new if p.isspace()]
-    known.update(zip(lines, _piece_ids(lines, path, plain)))
-    known.update(zip(blanks, _ids(blanks, path, plain)))
-    for i, pieces in cut.items():
-        out[i] = b"".join(map(known.__getitem__, pieces))
-    for p in lines:  # most different pieces never come again
-        at = hash(p) % SEEN
-        if not seen[at]:
-            seen[at] = 1
-            del known[p]
+    cut: dict[int, tuple[list, list[int], list[str]]] = {}  # ids by piece, the places of those that aren't kept, and these
+    for i, t in enumerate(texts):
+        if i not in out:
+            pieces = _PIECE.findall(t)
+            ids = list(map(known.get, pieces))
+            gaps = [k for k, x in enumerate(ids) if x is None]
+            cut[i] = ids, gaps, [pieces[k] for k in gaps]
+    new = list(set().union(*(gone for _, _, gone in cut.values())))
+    fresh = dict(zip(new, _piece_ids(new, path, plain)))
+    for i, (ids, gaps, gone) in cut.items():
+        for k, p in zip(gaps, gone):
+            ids[k] = fresh[p]
+        out[i] = b"".join(ids)
+    slots = np.fromiter(map(hash, new), np.int64, len(new)) % SEEN
+    known.update((p, fresh[p]) for p in compress(new, seen[slots].tolist()))  # most different pieces never come again
+    seen[slots] = True
     return [out[i] for i in range(len(texts))]
 
 
